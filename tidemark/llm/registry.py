@@ -12,12 +12,13 @@ from tidemark.llm.packing import op10_packing
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.quality import op7_quality_rules
 from tidemark.llm.sharding import op5_sharding
+from tidemark.llm.substrings import op2_substring_dedup
 from tidemark.llm.token_counts import op4_token_counts
 from tidemark.llm.token_files import op1_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_license_scans, op4_token_counts, op5_sharding, op7_quality_rules, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_license_scans, op4_token_counts, op5_sharding, op7_quality_rules, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

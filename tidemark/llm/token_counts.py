@@ -225,7 +225,7 @@ def count_batch(texts: pa.Array, machine: Transducer) -> np.ndarray:
     if plain.any():
         lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         parts = pc.list_flatten(lists).dictionary_encode()
-        counts = machine.counts([MARK + p for p in parts.dictionary.to_pylist()])
+        counts = machine.counts([MARK + p for p in parts.dictionary.to_numpy(zero_copy_only=False).tolist()])
         ends = np.concatenate([[0], np.cumsum(counts[np.asarray(parts.indices)])])
         out[plain] = np.diff(ends[np.asarray(lists.offsets)])
     return out
