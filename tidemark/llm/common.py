@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts are long, so the default of 10,000 rows has no useful bound in bytes.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 _SHIPPED: set[str] = set()
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
+from tidemark.llm.contamination import op8_benchmark_decontamination
 from tidemark.llm.licenses import op3_license_scans
 from tidemark.llm.packing import op10_packing
 from tidemark.llm.pii import op9_pii
@@ -18,7 +19,7 @@ from tidemark.llm.token_files import op1_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_license_scans, op4_token_counts, op5_sharding, op7_quality_rules, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_license_scans, op4_token_counts, op5_sharding, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
