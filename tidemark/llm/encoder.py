@@ -119,7 +119,7 @@ class Encoder:
             # each list begins with the empty string before the line feed that was put in front of the text
             drop = np.zeros(len(indices), bool)
             drop[of_list[:-1]] = True
-            place = self._places(parts.dictionary.to_pylist())
+            place = self._places(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
             size, at, pool = self.size[place], self.at[place], self.pool
             which = indices
             length = np.where(drop, 0, size[which])

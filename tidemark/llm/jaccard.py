@@ -2,13 +2,13 @@
 
 Sets. A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one set from then on.
 
-Matrix. Two sets with similarity of 0.8 or more share a token among the first fifth of each, in any common order of tokens. The
-order here puts tokens that many documents share last (found with one count over all documents; it affects the work, never the
-result), so common passages make no candidates. Tokens that only one set has there are dropped. Sets that the rest concerns are
-partitioned into groups of similar ones of a bounded size, and the matrix has an entry for each token that a group's union holds,
-with the sizes of the sets behind it.
+Matrix. Take the tokens of all sets in one common order, and of a set of n the first fifth and then m = n // 10 more, at least one.
+Two sets with similarity of 0.8 or more have at least the smaller m of those in common. The order here puts tokens that many
+documents share last (found with one count over all documents; it affects the work, never the result). Tokens that only one set has
+there are dropped, and then sets that have too few left. The others are partitioned into groups of similar ones of a bounded size,
+and the matrix has an entry for each token that a group's union holds, with the sizes of the sets behind it.
 
-Opening. A pair of groups that share an entry with sizes that can agree is opened: a member of one is checked against the union of
+Opening. A pair of groups that share enough entries, with sizes that can agree, is opened: a member of one is checked against the union of
 the other first, and only where the overlap with the union reaches the bound are the members of that group compared one by one.
 
 Links in a large group of near copies are far too many to compare them all, and components need few of them. So groups are opened in
@@ -33,6 +33,8 @@ from tidemark.llm import common, textkit
 from tidemark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
+#: Tokens of a set, divided by this, are those that similar sets share at the beginning of the order, at least.
+MORE = 10
 #: A token in that many documents of a slice is counted as common; in that many overall it is put last.
 SEEN_HERE, COMMON = 3, 24
 #: Common tokens and set ids that are broadcast at most (8 bytes each). With more, only commoner tokens are; with more sets, they are joined.
@@ -92,28 +94,41 @@ def _set_hashes(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def describe_sets(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """(row, doc_id, n, h1, h2, key, prefix) of each document; ``last`` are the tokens at the end of the order."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def describe_sets(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, h1, h2, key) of each document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             h, off = shingle_sets(common.texts(batch))
             n = np.diff(off)
             h1, h2 = _set_hashes(h, off)
+            key = np.zeros(len(n), np.int64)
+            key[n > 0] = textkit.signed(h)[off[:-1][n > 0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(h1), pa.array(h2), pa.array(key)], names=["row", "doc_id", "n", "h1", "h2", "key"])
+
+    return _text(docs, "row", "doc_id").mapInArrow(describe, "row long, doc_id long, n long, h1 long, h2 long, key long")
+
+
+def first_tokens(docs: DataFrame, last: np.ndarray) -> DataFrame:
+    """(t, h1, h2): the first tokens of each set, in the order by hash with the tokens of ``last`` at the end. Equal sets of a task are sent once."""
+    shared = docs.sparkSession.sparkContext.broadcast(last)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in common.slices(batches):
+            h, off = shingle_sets(common.texts(batch))
+            n = np.diff(off)
+            h1, h2 = _set_hashes(h, off)
+            fresh = np.array([x not in sent and not sent.add(x) for x in h1.tolist()], bool)
+            if len(sent) > MOST_SETS:
+                sent.clear()
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, np.isin(h, shared.value), of))
-            size = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+            size = np.where((n > 0) & fresh, n - (PERCENT * n + 99) // 100 + np.maximum(n // MORE, 1), 0)
             head = np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(size, n)
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            key = np.zeros(len(n), np.int64)
-            key[n > 0] = textkit.signed(h)[off[:-1][n > 0]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(h1), pa.array(h2), pa.array(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(textkit.signed(h[order][head])))],
-                names=["row", "doc_id", "n", "h1", "h2", "key", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h[order][head])), pa.array(h1[of[head]]), pa.array(h2[of[head]])], names=["t", "h1", "h2"])
 
-    return _text(docs, "row", "doc_id").mapInArrow(describe, "row long, doc_id long, n long, h1 long, h2 long, key long, prefix array<long>")
+    return _text(docs).mapInArrow(cut, "t long, h1 long, h2 long")
 
 
 def set_tokens(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -151,11 +166,22 @@ def matrix(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return entries.join(groups.select("s", "g", "n", "whole"), "s").groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
+def _enough(smaller: Column) -> Column:
+    """Fewest entries that groups share in which two sets of at least ``smaller`` tokens are similar."""
+    return F.greatest(F.floor(smaller / MORE), F.lit(1))
+
+
 def _agree(a: str, b: str) -> Column:
     """Some sets behind the two entries can be similar by their sizes."""
     return (100 * F.col(f"{a}most") >= PERCENT * F.col(f"{b}least")) & (100 * F.col(f"{b}most") >= PERCENT * F.col(f"{a}least"))
 
 
+def _shared_enough(rows: DataFrame) -> DataFrame:
+    """(g1, g2) of the groups that share enough entries; ``rows`` has one for each entry that two groups share."""
+    counted = rows.groupBy("g", "b_g").agg(F.count(F.lit(1)).alias("entries"), F.min(F.least("least", "b_least")).alias("smaller"))
+    return counted.filter(F.col("entries") >= _enough(F.col("smaller"))).select(F.col("g").alias("g1"), F.col("b_g").alias("g2"))
+
+
 def open_pairs(pairs: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """Links (u, v) between the groups of each pair (g1, g2); g1 = g2 opens a group against itself."""
     held = groups.select("s", "g", "whole").join(tokens, "s").groupBy("g").agg(F.first("whole").alias("whole"), F.collect_list("s").alias("ids"), F.collect_list("tokens").alias("tokens"))
@@ -213,21 +239,24 @@ def join_similar(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_shingles, component_id), one row a document. ``docs`` has ``doc_id`` and ``text``."""
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = common.materialize(describe_sets(docs, common_tokens(docs)), "described")
+    described = common.materialize(describe_sets(docs), "described")
     same = ["h1", "h2", "n"]
-    filled = described.filter("n > 0")
-    sets = common.materialize(filled.groupBy(*same).agg(F.min("row").alias("s"), F.min("doc_id").alias("least_doc"), F.first("key").alias("key")), "sets")
-    prefixes = filled.groupBy(*same).agg(F.min("row").alias("s"), F.first("prefix").alias("prefix")).select("s", F.explode("prefix").alias("t")).repartition(common.partitions(spark), "t")
-    shared = prefixes.groupBy("t").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("t")
-    entries = common.materialize(prefixes.join(shared, "t"), "entries")
-
-    concerned = common.materialize(sets.join(entries.select("s").distinct(), "s"), "concerned")
+    sets = common.materialize(described.filter("n > 0").groupBy(*same).agg(F.min("row").alias("s"), F.min("doc_id").alias("least_doc"), F.first("key").alias("key")), "sets")
+    # one shuffle: both the count of a token's sets and the join with it read the same partitions
+    first = first_tokens(docs, common_tokens(docs)).select("t", F.xxhash64("h1", "h2").alias("x")).repartition(common.partitions(spark), "t").distinct()
+    shared = first.groupBy("t").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("t")
+    having = common.materialize(first.join(shared, "t"), "shared")
+    # a similar set has at least four fifths of this one's tokens
+    concerned = having.groupBy("x").agg(F.count(F.lit(1)).alias("has")).join(sets.withColumn("x", F.xxhash64("h1", "h2")), "x").filter(F.col("has") >= _enough(F.col("n") * PERCENT / 100))
+    concerned = common.materialize(concerned.drop("has"), "concerned")
+    entries = common.materialize(having.join(concerned.select("x", "s"), "x").select("t", "s"), "entries")
     tokens = common.materialize(set_tokens(docs, concerned), "tokens")
-    groups = common.materialize(form_groups(concerned, "key").withColumn("whole", F.lit(None).cast("long")), "groups")
+
+    groups = common.materialize(form_groups(concerned.drop("x"), "key").withColumn("whole", F.lit(None).cast("long")), "groups")
     cells = matrix(entries, groups)
     least = cells.groupBy("t").agg(F.min(F.struct("g", "least", "most")).alias("first"))
-    to_least = cells.join(least, "t").select("g", "least", "most", F.col("first.g").alias("g2"), F.col("first.least").alias("b_least"), F.col("first.most").alias("b_most"))
-    pairs = to_least.filter((F.col("g") != F.col("g2")) & _agree("", "b_")).select(F.col("g").alias("g1"), "g2").distinct()
+    to_least = cells.join(least, "t").select("g", "least", "most", F.col("first.g").alias("b_g"), F.col("first.least").alias("b_least"), F.col("first.most").alias("b_most"))
+    pairs = _shared_enough(to_least.filter((F.col("g") != F.col("b_g")) & _agree("", "b_")))
     alone = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     links = common.materialize(open_pairs(pairs.unionByName(alone), groups, tokens), "links")
 
@@ -238,7 +267,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     cells = common.materialize(matrix(entries, again), "matrix")
     other = cells.select("t", *[F.col(c).alias(f"b_{c}") for c in ("g", "whole", "least", "most")])
     apart = (F.col("g") < F.col("b_g")) & ~F.coalesce(F.col("whole") == F.col("b_whole"), F.lit(False)) & _agree("", "b_")
-    pairs = cells.join(other, (cells["t"] == other["t"]) & apart).select(F.col("g").alias("g1"), F.col("b_g").alias("g2")).distinct()
+    pairs = _shared_enough(cells.join(other, "t").filter(apart))
     more = common.materialize(open_pairs(pairs, again, tokens), "links")
 
     linked = components(links.unionByName(more)).withColumnRenamed("node", "s")
