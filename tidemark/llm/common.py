@@ -11,12 +11,15 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts are long, so the default of 10,000 rows has no useful bound in bytes.
 ARROW_ROWS = 128
 _SHIPPED: set[str] = set()
+#: The temporary folder of a local application that names no shared one.
+_LOCAL: dict[str, str] = {}
 
 
 def _ship(spark: SparkSession) -> None:
@@ -54,8 +57,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
@@ -67,6 +70,15 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose numbers, as ``monotonically_increasing_id`` gives them, are in ``gone`` (row)."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti").select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

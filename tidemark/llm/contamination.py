@@ -45,14 +45,13 @@ class Rules:
     share: float = 0.8
 
 
-def canonical(text: str) -> tuple[list[str], list[str | None]]:
+def canonical(text: str, begins: bool = True) -> tuple[list[str], list[str | None]]:
     """Template words, and for each placeholder the value that it stands for.
 
-    A name is a capitalised word that isn't the first of its sentence. Words of capitals only are no names, as whole texts may be
+    A name is a capitalised word that isn't the first of its sentence; ``begins`` tells whether the text begins one. Words of capitals only are no names, as whole texts may be
     written so.
     """
     words, values = [], []
-    begins = True
     for raw in _WORD.findall(text):
         core = raw.strip(_EDGE)
         ends = raw[-1:] in ".!?:" or raw[-2:-1] in ".!?"
@@ -102,7 +101,12 @@ def benchmark_windows(benchmark: DataFrame, rules: Rules) -> DataFrame:
             h, of, pos = _windows(items, rules.window)
             n = np.array([len(w) for w, _ in items])
             count = np.maximum(n - rules.window + 1, np.minimum(n, 1))
-            slots = [_slots(items[i], int(p), rules.window) for i, p in zip(of, pos, strict=True)]
+            # inside a sentence the item's first word may be read as a name
+            inner = [canonical(t or "", begins=False) for t in batch.column(1).to_pylist()]
+            h2, of2, pos2 = _windows([i if i[0][:1] != j[0][:1] else ([], []) for i, j in zip(inner, items, strict=True)], rules.window)
+            first = pos2 == 0
+            slots = [_slots(x[i], int(p), rules.window) for x, o, q in ((items, of, pos), (inner, of2[first], pos2[first])) for i, p in zip(o, q, strict=True)]
+            h, of, pos = np.concatenate([h, h2[first]]), np.concatenate([of, of2[first]]), np.concatenate([pos, pos2[first]])
             yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(count[of].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], names=["hash", "item_id", "item_words", "n_windows", "at", "item_values"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -166,16 +170,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
 
 
 def number_rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.monotonically_increasing_id())
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
-    name = "__row"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    found = find_items(numbered.select(F.col(name).alias("row"), "doc_id", "text"), benchmark, rules)
-    bad = common.materialize(found.select(F.col("row").alias(name)).distinct(), "contaminated")
-    return numbered.join(bad, name, "left_anti").select(*docs.columns)
+    return common.without_rows(docs, find_items(number_rows(docs.select("doc_id", "text")), benchmark, rules))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

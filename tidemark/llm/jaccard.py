@@ -236,7 +236,11 @@ def compare_groups(left: dict, right: dict, same: bool) -> list[tuple[int, int]]
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id), one row a document. ``docs`` has ``doc_id`` and ``text``."""
+    """(row, doc_id, n_shingles, component, component_id), one row a document. ``docs`` has ``doc_id`` and ``text``.
+
+    ``row`` is the number that ``monotonically_increasing_id`` gives each row of ``docs``, which so must be read from files or the like;
+    ``component`` is the least row of the component's sets, or null for an empty set.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = common.materialize(describe_sets(docs), "described")
@@ -273,17 +277,18 @@ def join_similar(docs: DataFrame) -> DataFrame:
     linked = components(links.unionByName(more)).withColumnRenamed("node", "s")
     of_set = sets.join(linked, "s", "left").withColumn("component", F.coalesce("component", "s"))
     least_doc = of_set.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    by_set = of_set.join(least_doc, "component").select(*same, "component_id")
+    by_set = of_set.join(least_doc, "component").select(*same, "component", "component_id")
     out = described.select("row", "doc_id", *same).join(by_set, same, "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a similar document with a smaller id stands for; empty documents stay."""
-    found = join_similar(docs)
-    gone = common.materialize(found.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays: the one with the least id, null last, and of equal ones the first. Empty documents stay."""
+    found = common.materialize(join_similar(docs), "similar")
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("row"))
+    gone = found.filter("n_shingles > 0").join(first, "row", "left_anti")
+    return common.without_rows(docs, gone)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(common.table(spark, sf_dir, "documents")).drop("row")
+    return join_similar(common.table(spark, sf_dir, "documents")).drop("row", "component")
