@@ -11,14 +11,13 @@ from tidemark.llm.encoder import vocabulary_path
 from tidemark.llm.jaccard import keep_one
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import redact_documents
-from tidemark.llm.quality import judge
+from tidemark.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     common.prepare(spark)
-    rejected = judge(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    return keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
