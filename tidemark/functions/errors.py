@@ -15,7 +15,7 @@ def retry_after_seconds(header: Column, now_ms: Column) -> Column:
     number = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(number, F.ceil((F.unix_millis(date) - now_ms) / 1000).cast("double"))
-    return F.greatest(seconds, F.lit(0.0))
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
 
 
 def classify_http(status: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import paths
-from tidemark.operators import tree
+from tidemark.operators import stages, tree
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,11 @@ def apply_delta(nodes: DataFrame, delta: DataFrame, root: str = "root", reserved
     last = latest(delta)
     kept = nodes.join(last.select("id"), "id", "left_anti").withColumn("at", F.lit(None).cast("struct<page:int,seq:int>"))
     put = last.filter(~F.col("tombstone")).select(*nodes.columns, F.struct(F.col("page").cast("int").alias("page"), F.col("seq").cast("int").alias("seq")).alias("at"))
-    merged = kept.unionByName(put)
-    inside = _inside(merged, root)
+    merged = stages.cut(kept.unionByName(put))
+    inside = stages.cut(_inside(merged, root))
     resolved = inside.join(tree.resolve_paths(inside, root), "id")
     claim = Window.partitionBy("path").orderBy(F.col("at").desc_nulls_last(), "id")
-    ranked = resolved.withColumn("claim", F.row_number().over(claim))
+    ranked = stages.cut(resolved.withColumn("claim", F.row_number().over(claim)))
     losers = ranked.filter("claim > 1").select("id")
     tracked = _below(inside, losers, keep=False)
     after = ranked.join(tracked.select("id"), "id", "left_semi")
@@ -61,11 +61,11 @@ def _inside(nodes: DataFrame, root: str) -> DataFrame:
 
 def _below(nodes: DataFrame, tops: DataFrame, keep: bool) -> DataFrame:
     """Nodes that are, or aren't, one of ``tops`` or below one, level by level until none is added."""
-    found, level = tops.select("id").distinct(), tops.select("id").distinct()
+    found = level = stages.cut(tops.select("id").distinct())
     edges = nodes.select("id", F.explode("parent_ids").alias("parent"))
     while not level.isEmpty():
-        level = edges.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti")
-        found = found.union(level).distinct()
+        level = stages.cut(edges.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti"))
+        found = found.union(level)
     return nodes.join(found, "id", "left_semi" if keep else "left_anti")
 
 

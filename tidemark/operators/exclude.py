@@ -63,7 +63,7 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
     return F.exists(F.array_append(above, path), judged)
 
 
-def excluded(path: Column, *, reserved: Sequence[str] = (".airlock",), roots: Sequence[str] = (), patterns: Sequence[str] = ()) -> Column:
+def excluded(path: Column, *, reserved: Sequence[str] = (), roots: Sequence[str] = (), patterns: Sequence[str] = ()) -> Column:
     held = F.lit(False)
     for r in reserved:
         held = held | (path == r) | F.startswith(path, F.lit(f"{r}/"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
+from tidemark.operators import stages
 
 
 def relevant_parent(nodes: DataFrame, root: str) -> DataFrame:
@@ -23,7 +24,6 @@ def resolve_paths(nodes: DataFrame, root: str = "root", most_levels: int = 60) -
     A node whose chain ends outside of the tree has the path from there on. Members of a cycle, and what hangs below one, are cut off at
     a fixed place: a member of a cycle is its name alone, whatever the input's order.
     """
-    spark = nodes.sparkSession
     linked = relevant_parent(nodes.select("id", "parent_ids", "name"), root)
     up = F.when(F.col("parent_id") == root, None).otherwise(F.col("parent_id"))
     state = linked.select("id", F.col("name").alias("path"), up.alias("up"), F.array("id").alias("seen"))
@@ -39,10 +39,9 @@ def resolve_paths(nodes: DataFrame, root: str = "root", most_levels: int = 60) -
             F.when(F.col("seen_above").isNull() | cyclic, F.col("seen")).otherwise(F.concat("seen", "seen_above")).alias("seen"),
         )
         levels *= 2
-        if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
-            if state.filter("up is not null").isEmpty():
-                break
+        state = stages.cut(state)
+        if state.filter("up is not null").isEmpty():
+            break
     return _cut_cycles(linked, state, root)
 
 
