@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import common, textkit
 
@@ -140,9 +141,10 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
 
     columns = ["row", "text"] if broadcast else ["row", "text", "anchors"]
     here = docs.select(*columns).mapInArrow(seen_here, "row long, start int, stop int")
-    windows = docs.select(*columns).mapInArrow(sent, "h1 long, h2 long, row long, start int").repartition(common.partitions(spark), "h1", "h2")
-    elsewhere = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    there = windows.join(elsewhere.select("h1", "h2"), ["h1", "h2"], "left_semi").select("row", "start", (F.col("start") + 1).alias("stop"))
+    windows = docs.select(*columns).mapInArrow(sent, "h1 long, h2 long, row long, start int")
+    # one shuffle and one sort; a group has a row for each slice of documents that holds the window, and Spark spills large ones
+    places = windows.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")))
+    there = places.filter("places > 1").select("row", "start", (F.col("start") + 1).alias("stop"))
     runs = here.unionByName(there).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
