@@ -39,6 +39,8 @@ MORE = 10
 SEEN_HERE, COMMON = 3, 24
 #: Common tokens and set ids that are broadcast at most (8 bytes each). With more, only commoner tokens are; with more sets, they are joined.
 MOST_COMMON, MOST_SETS = 1_000_000, 3_000_000
+#: Rows of a few numbers that are broadcast at most.
+MOST_ROWS = 400_000
 #: Tokens in a group, about.
 GROUP_TOKENS = 4096
 
@@ -132,26 +134,22 @@ def first_tokens(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 def set_tokens(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(s, tokens): the whole sets of ``sets`` (s, n, h1, h2), from the texts."""
-    spark = docs.sparkSession
-    wanted = np.unique(sets.select("h1").toArrow()["h1"].to_numpy()) if sets.count() <= MOST_SETS else None
-    shared = spark.sparkContext.broadcast(wanted)
+    """(s, tokens): the whole sets of ``sets`` (s), each from the text of the row that it is named after."""
+    wanted = np.sort(sets.select("s").toArrow()["s"].to_numpy()) if sets.count() <= MOST_SETS else None
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    if wanted is None:
+        docs = docs.join(sets.select(F.col("s").alias("row")), "row", "left_semi")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
-        for batch in common.slices(batches):
-            h, off = shingle_sets(common.texts(batch))
-            h1, h2 = _set_hashes(h, off)
-            n = np.diff(off)
-            at = np.flatnonzero((np.isin(h1, shared.value) if shared.value is not None else np.ones(len(n), bool)) & (n > 0))
-            fresh = [i for i in at if (p := (int(h1[i]), int(h2[i]))) not in sent and not sent.add(p)]
-            if len(sent) > MOST_SETS:
-                sent.clear()
-            raw = [h[off[i] : off[i + 1]].tobytes() for i in fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[fresh]), pa.array(h2[fresh]), pa.array(n[fresh]), pa.array(raw, pa.binary())], names=["h1", "h2", "n", "tokens"])
+        for batch in batches:
+            if shared.value is not None:
+                batch = batch.filter(pa.array(np.isin(np.asarray(batch.column(0)), shared.value)))
+            for part in common.slices([batch]):
+                h, off = shingle_sets(common.texts(part))
+                raw = [h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["s", "tokens"])
 
-    found = _text(docs).mapInArrow(tokens, "h1 long, h2 long, n long, tokens binary")
-    return found.join(sets.select("s", "n", "h1", "h2"), ["h1", "h2", "n"]).groupBy("s").agg(F.first("tokens").alias("tokens"))
+    return _text(docs, "row").mapInArrow(tokens, "s long, tokens binary")
 
 
 def form_groups(sets: DataFrame, by: str) -> DataFrame:
@@ -161,9 +159,18 @@ def form_groups(sets: DataFrame, by: str) -> DataFrame:
     return sets.join(total, by, "left").withColumn("g", F.when(F.col("n") >= GROUP_TOKENS, F.xxhash64(F.lit("alone"), "s")).otherwise(F.xxhash64(F.col(by), F.pmod(F.xxhash64("s"), parts)))).drop("total")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, written before: broadcast while there are at most ``MOST_ROWS``; with more, Spark joins them as it likes."""
+    return F.broadcast(rows) if rows.count() <= MOST_ROWS else rows
+
+
 def matrix(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """(t, g, whole, least, most): the tokens of each group's union, and the sizes of the sets that have them. ``whole`` is the component of all members, or null."""
-    return entries.join(groups.select("s", "g", "n", "whole"), "s").groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
+    """(t, g, whole, least, most): the tokens of each group's union, and the sizes of the sets that have them. ``whole`` is the component of all members, or null.
+
+    It is dealt by the token, so what is grouped and joined by token next needs no other shuffle.
+    """
+    placed = entries.join(_few(groups.select("s", "g", "n", "whole")), "s").select("t", "g", "n", "whole")
+    return placed.repartition(common.partitions(entries.sparkSession), "t").groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def _enough(smaller: Column) -> Column:
@@ -184,7 +191,9 @@ def _shared_enough(rows: DataFrame) -> DataFrame:
 
 def open_pairs(pairs: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """Links (u, v) between the groups of each pair (g1, g2); g1 = g2 opens a group against itself."""
-    held = groups.select("s", "g", "whole").join(tokens, "s").groupBy("g").agg(F.first("whole").alias("whole"), F.collect_list("s").alias("ids"), F.collect_list("tokens").alias("tokens"))
+    used = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
+    members = common.materialize(groups.select("s", "g", "whole").join(used, "g", "left_semi"), "members")
+    held = tokens.join(_few(members), "s").groupBy("g").agg(F.first("whole").alias("whole"), F.collect_list("s").alias("ids"), F.collect_list("tokens").alias("tokens"))
     sides = [held.select(F.col("g").alias(f"g{i}"), F.struct("whole", "ids", "tokens").alias(f"side{i}")) for i in (1, 2)]
     rows = pairs.join(sides[0], "g1").join(sides[1], "g2").select("g1", "g2", "side1", "side2")
 
@@ -253,25 +262,26 @@ def join_similar(docs: DataFrame) -> DataFrame:
     # a similar set has at least four fifths of this one's tokens
     concerned = having.groupBy("x").agg(F.count(F.lit(1)).alias("has")).join(sets.withColumn("x", F.xxhash64("h1", "h2")), "x").filter(F.col("has") >= _enough(F.col("n") * PERCENT / 100))
     concerned = common.materialize(concerned.drop("has"), "concerned")
-    entries = common.materialize(having.join(concerned.select("x", "s"), "x").select("t", "s"), "entries")
+    entries = common.materialize(having.join(_few(concerned.select("x", "s")), "x").select("t", "s"), "entries")
     tokens = common.materialize(set_tokens(docs, concerned), "tokens")
 
     groups = common.materialize(form_groups(concerned.drop("x"), "key").withColumn("whole", F.lit(None).cast("long")), "groups")
     cells = matrix(entries, groups)
     least = cells.groupBy("t").agg(F.min(F.struct("g", "least", "most")).alias("first"))
     to_least = cells.join(least, "t").select("g", "least", "most", F.col("first.g").alias("b_g"), F.col("first.least").alias("b_least"), F.col("first.most").alias("b_most"))
-    pairs = _shared_enough(to_least.filter((F.col("g") != F.col("b_g")) & _agree("", "b_")))
+    near = _shared_enough(to_least.filter((F.col("g") != F.col("b_g")) & _agree("", "b_")))
     alone = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    links = common.materialize(open_pairs(pairs.unionByName(alone), groups, tokens), "links")
+    pairs = common.materialize(near.unionByName(alone), "pairs")
+    links = common.materialize(open_pairs(pairs, groups, tokens), "links")
 
     part = components(links).withColumnRenamed("node", "s").withColumnRenamed("component", "whole")
     placed = groups.drop("whole").join(part, "s", "left")
     again = form_groups(placed.filter(F.col("whole").isNotNull()).drop("g"), "whole").select("s", "n", "g", "whole").unionByName(placed.filter(F.col("whole").isNull()).select("s", "n", "g", "whole"))
     again = common.materialize(again, "groups")
-    cells = common.materialize(matrix(entries, again), "matrix")
+    cells = matrix(entries, again)
     other = cells.select("t", *[F.col(c).alias(f"b_{c}") for c in ("g", "whole", "least", "most")])
     apart = (F.col("g") < F.col("b_g")) & ~F.coalesce(F.col("whole") == F.col("b_whole"), F.lit(False)) & _agree("", "b_")
-    pairs = _shared_enough(cells.join(other, "t").filter(apart))
+    pairs = common.materialize(_shared_enough(cells.join(other, "t").filter(apart)), "pairs")
     more = common.materialize(open_pairs(pairs, again, tokens), "links")
 
     linked = components(links.unionByName(more)).withColumnRenamed("node", "s")
