@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered; beyond that all are forgotten, so memory stays bounded.
-REMEMBER = 900_000
+REMEMBER = 700_000
 #: White space apart from single spaces and line feeds between other characters.
 _IRREGULAR = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -51,6 +51,9 @@ class Encoder:
         pre = said.get("pre_tokenizer") or {}
         self.splittable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and len(feed) == 1
         self.feed = feed[0] if feed else -1
+        #: Tokens that begin with a space, which the byte-level alphabet writes as one letter.
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t[:1] == "Ġ"]] = True
         special = "|".join("".join(f"\\x{{{ord(c):X}}}" for c in t["content"]) for t in said.get("added_tokens", []) if t["content"])
         self.irregular = f"{_IRREGULAR}|{special}" if special else _IRREGULAR
         self._forget()
@@ -59,19 +62,19 @@ class Encoder:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call, parted by line feeds. A piece with a line feed in front keeps it."""
+        """Encode new pieces, many in one call. Each begins with a line feed of its own or gets a space in front, and its first token shows that."""
         for lead in (True, False):
             group = [p for p in pieces if (p[:1] == "\n") is lead]
-            for at in range(0, len(group), 2048):
-                part = group[at : at + 2048]
-                joined = "".join(part) if lead else "\n " + "\n ".join(part)
-                ids = np.array(self.library.encode_batch_fast([joined + "\nx"], add_special_tokens=False)[0].ids, np.int32)
-                cuts = np.flatnonzero(ids == self.feed)
-                if len(cuts) != len(part) + 1:  # a piece has the line feed's id for another reason
+            for at in range(0, len(group), 8192):
+                part = group[at : at + 8192]
+                joined = "".join(part) if lead else " " + " ".join(part)
+                ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(ids == self.feed if lead else self.spaced[ids])
+                if len(cuts) != len(part):  # a token inside of a piece looks like a first one
                     for p in part:
                         self._add([p], self._whole([p if lead else f" {p}"])[0], np.zeros(1, np.int64), None)
                     continue
-                self._add(part, ids, cuts[:-1] + (0 if lead else 1), cuts[1:])
+                self._add(part, ids, cuts, np.append(cuts[1:], len(ids)))
 
     def _add(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray | None) -> None:
         end = np.array([len(ids)]) if end is None else end
@@ -92,8 +95,9 @@ class Encoder:
             self._forget()
         found = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(found < 0)):
-            self._learn([pieces[i] for i in new])
-            found[new] = np.fromiter((self.place[pieces[i]] for i in new), np.int64, len(new))
+            fresh = [pieces[i] for i in new]
+            self._learn(fresh)
+            found[new] = np.fromiter(map(self.place.__getitem__, fresh), np.int64, len(fresh))
         return found
 
     def _forget(self) -> None:

@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     ranged = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    writer = ranged.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").option("maxRecordsPerFile", 0)
+    writer = ranged.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("maxRecordsPerFile", 0)
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.writer.version", "PARQUET_2_0")
     for column in ("doc_id", "start_in_part", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
