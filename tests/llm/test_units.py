@@ -155,3 +155,12 @@ def test_kneser_ney_is_a_distribution(spark, sf_dir):
 def test_empty_slices():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 10, ""])], names=["text"])
     assert [b.num_rows for b in common.slices([batch], limit=12)] == [2, 2]
+
+
+def test_similar_documents_do_not_depend_on_the_layout(spark):
+    from tidemark.llm.jaccard import join_similar
+
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    laid = [common.materialize(docs.repartition(n, "doc_id"), "layout") for n in (3, 11)]
+    a, b = (dict(join_similar(x).select("doc_id", "component_id").collect()) for x in laid)
+    assert a == b

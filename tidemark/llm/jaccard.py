@@ -201,7 +201,9 @@ def open_pairs(pairs: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 left, right = (batch.column(c)[i].as_py() for c in (2, 3))
-                links = compare_groups(left, right, batch.column(0)[i].as_py() == batch.column(1)[i].as_py())
+                # the two sides are collected apart, so their orders can differ; a group is compared with itself in one order
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                links = compare_groups(left, left if same else right, same)
                 if links:
                     u, v = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
