@@ -84,6 +84,41 @@ def test_packing_keeps_every_capacity():
         assert sum(p.lengths) <= 1024 and len(p.lengths) <= 5 and sum(n * n for n in p.lengths) <= 600_000
 
 
+def plain_best_fit(histogram, capacity) -> int:
+    """Sequences that vector best fit needs, a piece at a time."""
+    limits = (capacity.tokens, capacity.documents, capacity.attention)
+    free: list[tuple[int, int, int]] = []
+    for n in sorted(Counter(histogram).elements(), reverse=True):
+        after = [(sum(w * ((r - c) / m) ** 2 for w, r, c, m in zip(capacity.weights, room, (n, 1, n * n), limits, strict=True)), i) for i, room in enumerate(free) if room[0] >= n and room[1] >= 1 and room[2] >= n * n]
+        if not after:
+            free.append(limits)
+        i = min(after)[1] if after else len(free) - 1
+        free[i] = (free[i][0] - n, free[i][1] - 1, free[i][2] - n * n)
+    return len(free)
+
+
+@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(documents=5, attention=1_100_000)])
+@pytest.mark.parametrize(("spread", "hot", "times"), [(0, 100, 5000), (600, 100, 300), (600, 200, 300), (300, 1, 3000)])
+def test_packing_fills_sequences_with_a_hot_length(capacity, spread, hot, times):
+    rng = random.Random(3)
+    histogram = Counter(rng.randrange(1, 1025) for _ in range(spread))
+    histogram[hot] += times
+    patterns = packing.plan(histogram, capacity)
+    assert Counter(n for p in patterns for n in p.lengths for _ in range(p.count)) == histogram
+    assert all(sum(p.lengths) <= capacity.tokens and len(p.lengths) <= capacity.documents and sum(n * n for n in p.lengths) <= capacity.attention for p in patterns)
+    assert sum(p.count for p in patterns) <= plain_best_fit(histogram, capacity)
+
+
+def test_equal_pieces_of_a_sequence_have_places_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "a b c d e") for i in range(900)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    packed = packing.pack(common.prepare(spark).read.parquet(str(tmp_path / "docs")), vocabulary=public_tokenizers.path("byte_bpe_50k.json"), capacity=packing.Capacity(tokens=64)).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(900))
+    places = [(r["sequence_id"], at) for r in packed for at in range(r["offset"], r["offset"] + r["length"])]
+    assert len(set(places)) == len(places) and max(at for _, at in places) < 64
+    assert len({s for s, _ in places}) == -(-len(places) // 64)
+
+
 def test_token_files_are_read_selectively(spark, sf_dir):
     path = common.stage_path(spark, "tokens")
     token_files.write_token_files(common.table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -57,37 +58,43 @@ def plan(histogram: dict[int, int], capacity: Capacity) -> list[Pattern]:
         after = (room[0] - length, room[1] - 1, room[2] - length * length)
         return sum(w * (a / m) ** 2 for w, a, m in zip(capacity.weights, after, limits, strict=True))
 
+    def most(room: tuple[int, int, int], length: int) -> int:
+        return min(room[0] // length, room[1], room[2] // (length * length))
+
     smallest = min(histogram, default=0)
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
             fits = [c for c in classes if free[c][0] >= length and free[c][1] >= 1 and free[c][2] >= length * length]
             into = min(fits, key=lambda c: (norm(free[c], length), c)) if fits else ()
-            take = min(left, classes[into]) if into else left
+            # a sequence that has just got a piece has the least room of those that fit, so best fit fills it before it takes another
+            each = min(left, max(most(free[into], length), 1))
+            take = min(left // each, classes[into]) if into else left // each
             if into:
                 classes[into] -= take
                 if not classes[into]:
                     del classes[into]
-            room, new = free[into], (*into, length)
-            free[new] = (room[0] - length, room[1] - 1, room[2] - length * length)
+            room, new = free[into], into + (length,) * each
+            free[new] = (room[0] - length * each, room[1] - each, room[2] - length * length * each)
             if free[new][0] < smallest or not free[new][1] or free[new][2] < smallest * smallest:
                 done.append(Pattern(new, take))
             else:
                 classes[new] = classes.get(new, 0) + take
-            left -= take
+            left -= take * each
     return done + [Pattern(c, n) for c, n in classes.items()]
 
 
-def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset): the pieces of a length with these ranks stand in these sequences."""
+def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, pieces, pieces a sequence, first sequence, offset): the pieces of a length with these ranks stand in these sequences."""
     ranks: dict[int, int] = {}
     out, sequence = [], 0
     for p in patterns:
         offset = 0
-        for length in p.lengths:
-            out.append((length, ranks.get(length, 0), p.count, sequence, offset))
-            ranks[length] = ranks.get(length, 0) + p.count
-            offset += length
+        for length, run in groupby(p.lengths):
+            each = len(list(run))
+            out.append((length, ranks.get(length, 0), p.count * each, each, sequence, offset))
+            ranks[length] = ranks.get(length, 0) + p.count * each
+            offset += length * each
         sequence += p.count
     return out
 
@@ -131,14 +138,16 @@ def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 2, capacity: Capacit
     counts = cut.groupBy("length", "part").agg((F.max("rank_in_part") + 1).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity.tokens rows
     planned = slots(plan(histogram, capacity))
-    places = spark.createDataFrame(planned or [(0, 0, 0, 0, 0)], "length long, first_rank long, n_rank long, first_sequence long, offset long")
+    places = spark.createDataFrame(planned or [(0, 0, 0, 1, 0, 0)], "length long, first_rank long, n_rank long, each long, first_sequence long, first_offset long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rank = F.col("before") + F.col("rank_in_part")
     ranked = cut.join(first, ["length", "part"]).withColumn("rank", rank)
     at = F.col("rank") - F.col("first_rank")
-    # bounded: a few thousand rows, by the number of distinct lengths
-    return ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (at >= 0) & (at < F.col("n_rank"))).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first_sequence") + at).alias("sequence_id"), "offset")
+    # bounded: by the number of distinct lengths, as equal pieces of a pattern are one row
+    placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (at >= 0) & (at < F.col("n_rank")))
+    sequence, offset = F.col("first_sequence") + F.floor(at / F.col("each")), F.col("first_offset") + at % F.col("each") * places["length"]
+    return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
