@@ -159,6 +159,33 @@ def test_unrelated_text_is_left_alone(spark):
     assert canonical_pair(spark, ITEM, "The cities of the coast are apart by many hours, and the train was late again that day.") == []
 
 
+MARBLES = "Tom has 5 marbles. Tom gives 2 marbles to Ann. How many does Tom have left?"
+OTHER_MARBLES = "Bob has 7 marbles. Bob gives 3 marbles to Sue. How many does Bob have left?"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "held"),
+    [
+        (ITEM, ITEM.replace("another", "one more"), True),  # edited
+        (ITEM, ITEM.replace("hours do", "hours will").replace("leaves Boston", "departs Boston"), True),
+        (ITEM, ITEM.replace("per hour and", "per hour , as we know, and"), True),
+        (ITEM, " ".join(ITEM.split()[3:-2]), True),  # partial
+        (ITEM, " ".join(ITEM.split()[:16]), False),
+        (MARBLES, OTHER_MARBLES, True),  # other names, at the start of sentences too
+        (MARBLES, OTHER_MARBLES.lower(), True),
+        (MARBLES, OTHER_MARBLES.upper(), True),
+        (ITEM, ITEM.replace("Boston", "Lyon").replace("Denver", "Turin").lower(), True),
+        (MARBLES, OTHER_MARBLES.replace("Bob gives 3", "Bob gives 7"), False),
+        (MARBLES, "Bob has 7 cats. They came to Sue in May. How many does he feed now?", False),
+    ],
+)
+@pytest.mark.parametrize("most", [contamination.MOST_WINDOWS, 0])
+def test_altered_copies_of_items(spark, monkeypatch, item, text, held, most):
+    monkeypatch.setattr(contamination, "MOST_WINDOWS", most)
+    around = "It was said before, and nobody minded. " * 30
+    assert bool(canonical_pair(spark, item, around + text + " " + around)) == held
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [

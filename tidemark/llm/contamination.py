@@ -1,13 +1,16 @@
-"""Benchmark decontamination by template canonicalisation.
+"""Benchmark decontamination by short seeds and alignment of words.
 
-A text becomes a template: numbers, names and units turn into typed placeholders, other words are lower-cased. So a question asked
-again with other numbers or names has the same template. All windows of ``window`` template words of the documents are joined by
-hash to those of the benchmark. The hits of a document and an item are counted by offset, and an item is found where at least
-``share`` of its windows stand in order and, if any value differs from the item's, the slots are consistent: equal values of the item
-stand for equal values in the document, and the other way round, per type.
+Words are read without case and edge marks; numbers and units are typed placeholders, and capitalised words may be names. All windows
+of ``window`` words, once with the names' own words and once with a placeholder for names, are joined by hash to those of the
+benchmark. Where a document and an item share such a seed, the item is aligned to the words around it. A word of the item is covered by
+the same word, by a value of its type for a number or a unit, and by any word where one of the sides reads a name. An item is found where
+at least ``share`` of its words are covered in order, and ``literal`` of them by themselves or a value of their type. Slots have to be
+consistent: equal values of the item stand for equal values in the document, and the other way round, per type. If numbers or units
+aren't, the item is not found; names that aren't cover nothing.
 
-Benchmark windows are broadcast while there are at most ``MOST_WINDOWS`` of them; with more, the documents' windows are shuffled to
-them. An item shorter than a window is one window of its own length.
+A document that shares no seed with an item is not compared with it, so an item of which no ``window`` words in a row are left is not found.
+The benchmark is broadcast while it has at most ``MOST_WINDOWS`` seeds; with more, seeds and then texts are joined by shuffle. An item
+shorter than a window is one seed of its own length.
 
 Defined results: a null text is empty and matches nothing; an item without words matches nothing; null ids are kept apart by row;
 repeated rows and ties each get a result; other columns are not read; with an empty table on either side nothing is found.
@@ -15,6 +18,7 @@ repeated rows and ties each get a result; other columns are not read; with an em
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm import common, textkit
 
@@ -36,137 +39,257 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*")
 _EDGE = "\"'()[]{}<>.,;:!?¿¡…"
 _UNITS = frozenset(UNITS)
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+#: How a word is read. A capitalised word that begins a sentence may be a name or not.
+WORD, NUMBER, UNIT, NAME, FIRST = range(5)
+#: Distinct words that a worker remembers.
+MOST_WORDS = 300_000
+PAIRS = "row long, doc_id long, item_id long, share double, exact boolean"
 
 
 @dataclass(frozen=True)
 class Rules:
-    window: int = 8
+    window: int = 4
     share: float = 0.8
+    literal: float = 0.5
 
 
-def canonical(text: str, begins: bool = True) -> tuple[list[str], list[str | None]]:
-    """Template words, and for each placeholder the value that it stands for.
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
-    A name is a capitalised word that isn't the first of its sentence; ``begins`` tells whether the text begins one. Words of capitals only are no names, as whole texts may be
-    written so.
-    """
-    words, values = [], []
-    for raw in _WORD.findall(text):
+
+_PLACEHOLDERS = np.array([0, _hash(" number"), _hash(" unit"), _hash(" name"), 0], np.uint64)
+
+
+class _Words(dict):
+    """For each word: its value (None without letters or digits), how it is read inside and at the start of a sentence, whether it ends one."""
+
+    def __missing__(self, raw: str) -> tuple[int | None, int, int, bool]:
         core = raw.strip(_EDGE)
         ends = raw[-1:] in ".!?:" or raw[-2:-1] in ".!?"
         low = core.lower()
-        value = None
-        if not core:
-            begins = begins or ends
-            continue
-        if _NUMBER.fullmatch(core) or _NUMBER.fullmatch(core.strip("$€£¥%")):
-            word, value = NUMBER, low
+        if _NUMBER.fullmatch(core) or (core and _NUMBER.fullmatch(core.strip("$€£¥%"))):
+            kind = first = NUMBER
         elif low in _UNITS:
-            word, value = UNIT, low
-        elif not begins and core[0].isupper() and core[1:].islower():
-            word, value = NAME, low
+            kind = first = UNIT
+        elif core and core[0].isupper() and core[1:].islower():
+            kind, first = NAME, FIRST
         else:
-            word = low
-        words.append(word)
+            kind = first = WORD
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[raw] = found = (_hash(low) if core else None, kind, first, ends)
+        return found
+
+
+_WORDS = _Words()
+
+
+@dataclass
+class Text:
+    """Value and kind of each word, and the values with placeholders for numbers and units."""
+
+    value: np.ndarray
+    kind: np.ndarray
+    word: np.ndarray
+
+
+def read(text: str) -> Text:
+    values, kinds, begins = [], [], True
+    for raw in _WORD.findall(text):
+        value, kind, first, ends = _WORDS[raw]
+        if value is None:
+            begins = begins or ends
+            continue
         values.append(value)
+        kinds.append(first if begins else kind)
         begins = ends
-    return words, values
-
-
-def _windows(batch: list[tuple[list[str], list[str | None]]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position) of all windows; a text of fewer words has one window of them all."""
-    joined = pa.array([" ".join(w) for w, _ in batch], pa.large_string())
-    words = textkit.split_words(joined)
-    hashes = words.hashes()
-    h, at = textkit.windows(words, hashes, k)
-    of = words.text_of_word()[at]
-    hs, texts, pos = [h], [of], [at - words.first[of]]
-    for n in {int(c) for c in words.count if 0 < c < k}:
-        h, at = textkit.windows(words, hashes, n)
-        of = words.text_of_word()[at]
-        whole = words.count[of] == n
-        hs.append(h[whole])
-        texts.append(of[whole])
-        pos.append(np.zeros(int(whole.sum()), np.int64))
-    return np.concatenate(hs), np.concatenate(texts), np.concatenate(pos)
+    value, kind = np.array(values, np.uint64), np.array(kinds, np.int8)
+    return Text(value, kind, np.where((kind == NUMBER) | (kind == UNIT), _PLACEHOLDERS[kind], value))
+
+
+def read_item(text: str) -> Text:
+    """A word that is a name in one place is one in all."""
+    item = read(text)
+    item.kind[np.isin(item.value, item.value[item.kind == NAME]) & (item.kind != NUMBER) & (item.kind != UNIT)] = NAME
+    return item
+
+
+def seeds(texts: list[Text], k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of all windows of ``k`` words; ``whole`` asks for those of texts of just ``k`` words alone."""
+    count = np.array([len(t.value) for t in texts], np.int64)
+    first = np.concatenate([[0], np.cumsum(count)])
+    none = np.zeros(0, np.int64)
+    words = textkit.Words(none, none, none, first, none)
+    word = np.concatenate([t.word for t in texts]) if texts else np.zeros(0, np.uint64)
+    kind = np.concatenate([t.kind for t in texts]) if texts else np.zeros(0, np.int8)
+    of_word = words.text_of_word()
+    h, at = textkit.windows(words, word, k)
+    forms = [(h, at)]
+    # with a placeholder for names; a word that begins a sentence is a name in a third form
+    for names in (kind == NAME, (kind == NAME) | (kind == FIRST)):
+        h, at = textkit.windows(words, np.where(names, _PLACEHOLDERS[NAME], word), k)
+        held = np.concatenate([[0], np.cumsum(names)])
+        some = held[at + k] > held[at]
+        forms.append((h[some], at[some]))
+    h, at = (np.concatenate(x) for x in zip(*forms, strict=True))
+    of = of_word[at]
+    pos = at - first[of]
+    if whole:
+        keep = count[of] == k
+        h, of, pos = h[keep], of[keep], pos[keep]
+    return h, of, pos
+
+
+def item_seeds(items: list[Text], rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    short = {len(t.value) for t in items} & {*range(1, rules.window)}
+    parts = [seeds(items, rules.window), *(seeds(items, n, whole=True) for n in sorted(short))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def align(item: Text, doc: Text, rules: Rules) -> tuple[float, bool] | None:
+    """The covered share of the item in these words of a document, and whether it stands there word for word; None if it isn't held."""
+    n, m = len(item.value), len(doc.value)
+    if not n or np.isin(item.word, doc.word).sum() < rules.literal * n:
+        return None
+    typed = (item.kind == NUMBER) | (item.kind == UNIT), (doc.kind == NUMBER) | (doc.kind == UNIT)
+    rows = np.zeros((n + 1, m + 1), np.float32)
+    for i in range(n):
+        same = np.where(doc.value == item.value[i], 1.0, 0.99 * (doc.word == item.word[i]))
+        if not typed[0][i]:
+            named = (doc.kind == NAME) | ((doc.kind == FIRST) & (item.kind[i] == FIRST)) | (item.kind[i] == NAME)
+            same = np.maximum(same, 0.5 * (named & ~typed[1]))
+        step = rows[i, :-1] + same
+        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], step))
+    at = []
+    i, j = n, m
+    while i and j:
+        if rows[i, j] == rows[i - 1, j]:
+            i -= 1
+        elif rows[i, j] == rows[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            at.append((i, j))
+    slots = {(int(item.kind[i]) if typed[0][i] else NAME, int(item.value[i]), int(doc.value[j])) for i, j in at if typed[0][i] or item.value[i] != doc.value[j] or item.kind[i] == NAME}
+    there, back = {}, {}
+    for kind, a, b in slots:
+        there.setdefault((kind, a), set()).add(b)
+        back.setdefault((kind, b), set()).add(a)
+    torn = {(k, a, b) for k, a, b in slots if len(there[k, a]) > 1 or len(back[k, b]) > 1}
+    if any(k != NAME for k, _, _ in torn):
+        return None
+    covered = [(i, j) for i, j in at if typed[0][i] or (NAME, int(item.value[i]), int(doc.value[j])) not in torn]
+    literal = sum(item.word[i] == doc.word[j] for i, j in covered)
+    if len(covered) < rules.share * n or literal < rules.literal * n:
+        return None
+    exact = all(item.value[i] == doc.value[j] for i, j in at) and len(at) == n and at[0][1] - at[-1][1] == n - 1
+    return len(covered) / n, bool(exact)
+
+
+def verify(item: Text, doc: Text, diagonals: np.ndarray, rules: Rules) -> tuple[float, bool] | None:
+    """The best alignment near the places (document word of the item's first) that share a seed."""
+    n, best = len(item.value), None
+    drift = 2 + n // 4
+    found = np.unique(diagonals)
+    for near in np.split(found, np.flatnonzero(np.diff(found) > drift) + 1):
+        # a long chain of places is gone through in overlapping parts
+        for start in range(int(near[0]), int(near[-1]) + 1, n + drift):
+            inside = near[(near >= start) & (near < start + n + drift)]
+            if len(inside):
+                a, b = max(int(inside[0]) - drift, 0), int(inside[-1]) + n + drift
+                got = align(item, Text(doc.value[a:b], doc.kind[a:b], doc.word[a:b]), rules)
+                best = max(filter(None, (best, got)), default=None)
+    return best
 
 
 def benchmark_windows(benchmark: DataFrame, rules: Rules) -> DataFrame:
-    """(hash, item_id, n_words, n_windows, at, values): a row a window, with the values in it."""
+    """(hash, item, at, item_words) of all seeds; ``item`` is the row's number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            items = [canonical(t or "") for t in batch.column(1).to_pylist()]
-            h, of, pos = _windows(items, rules.window)
-            n = np.array([len(w) for w, _ in items])
-            count = np.maximum(n - rules.window + 1, np.minimum(n, 1))
-            # inside a sentence the item's first word may be read as a name
-            inner = [canonical(t or "", begins=False) for t in batch.column(1).to_pylist()]
-            h2, of2, pos2 = _windows([i if i[0][:1] != j[0][:1] else ([], []) for i, j in zip(inner, items, strict=True)], rules.window)
-            first = pos2 == 0
-            slots = [_slots(x[i], int(p), rules.window) for x, o, q in ((items, of, pos), (inner, of2[first], pos2[first])) for i, p in zip(o, q, strict=True)]
-            h, of, pos = np.concatenate([h, h2[first]]), np.concatenate([of, of2[first]]), np.concatenate([pos, pos2[first]])
-            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(count[of].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], names=["hash", "item_id", "item_words", "n_windows", "at", "item_values"])
-
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "hash long, item_id long, item_words int, n_windows int, at int, item_values array<string>")
-
-
-def _slots(item: tuple[list[str], list[str | None]], at: int, k: int) -> list[str]:
-    """Type and value of each placeholder of a window."""
-    words, values = item
-    return [f"{w}={v}" for w, v in zip(words[at : at + k], values[at : at + k], strict=True) if v is not None]
-
-
-def document_windows(docs: DataFrame, rules: Rules, wanted: DataFrame) -> DataFrame:
-    """(row, doc_id, hash, pos, doc_values) of the windows that the benchmark has, if it is small; else of all windows."""
-    spark = docs.sparkSession
-    hashes = wanted.select("hash").distinct()
-    lengths = sorted(r[0] for r in wanted.select("item_words").filter(F.col("item_words") < rules.window).distinct().collect())  # fewer than a window
-    shared = spark.sparkContext.broadcast(np.sort(hashes.toArrow()["hash"].to_numpy())) if hashes.count() <= MOST_WINDOWS else None
+            items = [read_item(t or "") for t in batch.column(1).to_pylist()]
+            h, of, at = item_seeds(items, rules)
+            n = np.array([len(t.value) for t in items], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(at), pa.array(n[of])], names=["hash", "item", "at", "item_words"])
+
+    return benchmark.select("item", "text").mapInArrow(cut, "hash long, item long, at long, item_words int")
+
+
+def _near_items(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """Items that are small enough to be held by each worker."""
+    held = items.select("item_id", "text").collect()  # bounded by MOST_WINDOWS
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"] or "") for r in held])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [read_item(t) for _, t in shared.value]
+        ids = [i for i, _ in shared.value]
+        h, of, at = item_seeds(known, rules)
+        order = np.argsort(h, kind="stable")
+        h, of, at = h[order], of[order], at[order]
+        lengths = (rules.window, *sorted({len(t.value) for t in known} & {*range(1, rules.window)}))
+        for batch in common.slices(batches):
+            docs = [read(t or "") for t in batch.column(2).to_pylist()]
+            hits = []
+            for k in lengths:
+                seen, text, pos = seeds(docs, k)
+                left = np.searchsorted(h, seen)
+                hit = left < len(h)
+                hit[hit] = h[left[hit]] == seen[hit]
+                left, text, pos = left[hit], text[hit], pos[hit]
+                times = np.searchsorted(h, h[left], "right") - left
+                each = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+                hits.append((np.repeat(text, times), of[each], np.repeat(pos, times) - at[each]))
+            text, item, diagonal = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.lexsort((item, text))
+            text, item, diagonal = text[order], item[order], diagonal[order]
+            ends = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
+            out = []
+            for group in np.split(np.arange(len(text)), ends) if len(text) else []:
+                t, i = int(text[group[0]]), int(item[group[0]])
+                if got := verify(known[i], docs[t], diagonal[group], rules):
+                    out.append((batch.column(0)[t].as_py(), batch.column(1)[t].as_py(), ids[i], *got))
+            yield _pairs(out)
+
+    return docs.mapInArrow(find, PAIRS)
+
+
+def _pairs(out: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["row", "doc_id", "item_id", "share", "exact"])
+
+
+def _joined_items(docs: DataFrame, items: DataFrame, windows: DataFrame, rules: Rules) -> DataFrame:
+    """Seeds and then texts joined by shuffle, for any number of items."""
+    lengths = [rules.window, *sorted(r[0] for r in windows.select("item_words").filter(F.col("item_words") < rules.window).distinct().collect())]  # fewer than a window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            texts = [canonical(t or "") for t in batch.column(2).to_pylist()]
-            words = textkit.split_words(pa.array([" ".join(w) for w, _ in texts], pa.large_string()))
-            value = words.hashes()
-            for k in (rules.window, *lengths):
-                h, at = textkit.windows(words, value, k)
-                of = words.text_of_word()[at]
-                if shared is not None:
-                    hit = np.isin(textkit.signed(h), shared.value)
-                    h, at, of = h[hit], at[hit], of[hit]
-                pos = at - words.first[of]
-                slots = [_slots(texts[i], int(p), k) for i, p in zip(of, pos, strict=True)]
-                index = pa.array(of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(textkit.signed(h)), pa.array(pos.astype(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["row", "doc_id", "hash", "pos", "doc_values"])
-
-    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "row long, doc_id long, hash long, pos long, doc_values array<string>")
+            texts = [read(t or "") for t in batch.column(2).to_pylist()]
+            for k in lengths:
+                h, of, pos = seeds(texts, k)
+                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(pos)], names=["hash", "row", "pos"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            out = []
+            for r in batch.to_pylist():
+                if got := verify(read_item(r["item_text"] or ""), read(r["text"] or ""), np.array(r["places"], np.int64), rules):
+                    out.append((r["row"], r["doc_id"], r["item_id"], *got))
+            yield _pairs(out)
+
+    hits = docs.mapInArrow(cut, "hash long, row long, pos long").join(windows, "hash")
+    near = hits.groupBy("row", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("places"))
+    texts = near.join(docs, "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    return texts.select("row", "doc_id", "text", "item_id", "item_text", "places").mapInArrow(check, PAIRS)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(row, doc_id, item_id, share, exact): the items that each document holds. ``docs`` has ``row`` to tell equal ids apart."""
-    items = common.materialize(benchmark_windows(benchmark, rules), "items")
-    if items.count() <= MOST_WINDOWS:
-        items = F.broadcast(items)
-    hits = document_windows(docs, rules, items).join(items, "hash")
-    # a re-asked item keeps its length in template words, so its windows share one offset; a few offsets are merged for words put in
-    placed = hits.withColumn("offset", F.col("pos") - F.col("at"))
-    key = ["row", "doc_id", "item_id", "n_windows"]
-    by_offset = placed.groupBy(*key, "offset").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_values", "doc_values")))).alias("pairs"))
-    along = Window.partitionBy("row", "item_id").orderBy("offset")
-    apart = F.coalesce(F.col("offset") - F.lag("offset").over(along) > 2, F.lit(True))
-    placed_at = by_offset.withColumn("place", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    found = placed_at.groupBy(*key, "place").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    pairs = F.col("pairs")
-    one_way = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_values"])))
-    other_way = F.size(F.array_distinct(F.transform(pairs, lambda p: p["doc_values"])))
-    consistent = (one_way == F.size(pairs)) & (other_way == F.size(pairs))
-    exact = F.forall(pairs, lambda p: p["item_values"].eqNullSafe(p["doc_values"]))
-    judged = found.withColumn("share", F.size("ats") / F.col("n_windows")).filter((F.col("share") >= rules.share) & (consistent | exact))
-    return judged.groupBy("row", "doc_id", "item_id").agg(F.max("share").alias("share"), F.max(exact).alias("exact"))
+    items = common.materialize(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "items")
+    windows = common.materialize(benchmark_windows(items, rules), "windows")
+    texts = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _near_items(texts, items, rules) if windows.count() <= MOST_WINDOWS else _joined_items(texts, items, windows, rules)
+    return found.groupBy("row", "doc_id", "item_id").agg(F.max("share").alias("share"), F.max("exact").alias("exact"))
 
 
 def number_rows(docs: DataFrame) -> DataFrame:
