@@ -153,3 +153,15 @@ def test_rename_chains_in_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     last = {(r["stream_key"], r["new_path"]): r["old_path"] for r in spark.table("chains").collect()}
     assert {k: v for k, v in last.items() if v} == {("s", "c"): "a", ("t", "q"): "p"}
+
+
+def test_paths_of_any_depth(spark):
+    from tidemark.operators import tree
+
+    deep = [(f"d{i}", [f"d{i - 1}" if i else "root"], f"n{i}") for i in range(150)]
+    cycle = [(f"c{i}", [f"c{(i + 1) % 5}"], f"m{i}") for i in range(5)]
+    below = [(f"b{i}", [f"b{i - 1}" if i else "c2"], f"k{i}") for i in range(70)]
+    nodes = spark.createDataFrame(deep + cycle + below, "id string, parent_ids array<string>, name string")
+    wanted = {f"d{i}": "/".join(f"n{j}" for j in range(i + 1)) for i in range(150)} | {f"c{i}": f"m{i}" for i in range(5)}
+    wanted |= {f"b{i}": "/".join(["m2", *(f"k{j}" for j in range(i + 1))]) for i in range(70)}
+    assert dict(map(tuple, tree.resolve_paths(nodes).collect())) == wanted

@@ -18,29 +18,29 @@ def relevant_parent(nodes: DataFrame, root: str) -> DataFrame:
     return nodes.join(first, "id", "left").withColumn("parent_id", F.when(at_root, F.lit(root)).otherwise(F.col("known_parent"))).drop("known_parent")
 
 
-def resolve_paths(nodes: DataFrame, root: str = "root", most_levels: int = 60) -> DataFrame:
-    """(id, path) of each node (id, parent_ids, name). Each round doubles the number of levels that are resolved.
+def resolve_paths(nodes: DataFrame, root: str = "root") -> DataFrame:
+    """(id, path) of each node (id, parent_ids, name). Each round doubles the number of levels that are resolved, until all are.
 
     A node whose chain ends outside of the tree has the path from there on. Members of a cycle, and what hangs below one, are cut off at
     a fixed place: a member of a cycle is its name alone, whatever the input's order.
     """
     linked = relevant_parent(nodes.select("id", "parent_ids", "name"), root)
     up = F.when(F.col("parent_id") == root, None).otherwise(F.col("parent_id"))
-    state = linked.select("id", F.col("name").alias("path"), up.alias("up"), F.array("id").alias("seen"))
-    levels = 1
-    while levels < most_levels:
-        above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"), F.col("seen").alias("seen_above"))
+    state = linked.select("id", F.col("name").alias("path"), up.alias("up"), F.array("id").alias("seen"), F.lit(False).alias("looped"))
+    while True:
+        above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"), F.col("seen").alias("seen_above"), F.col("looped").alias("looped_above"))
         joined = state.join(above, "up", "left")
-        cyclic = F.coalesce(F.arrays_overlap("seen", "seen_above"), F.lit(False))
+        # such a node has seen all of the cycle, in the chain's order, and is done
+        cyclic = F.col("looped") | F.coalesce(F.col("looped_above") | F.arrays_overlap("seen", "seen_above"), F.lit(False))
         state = joined.select(
             "id",
             F.when(F.col("above").isNull() | cyclic, F.col("path")).otherwise(F.concat_ws("/", "above", "path")).alias("path"),
             F.when(cyclic, F.col("up")).otherwise(F.col("next")).alias("up"),
-            F.when(F.col("seen_above").isNull() | cyclic, F.col("seen")).otherwise(F.concat("seen", "seen_above")).alias("seen"),
+            F.when(F.col("seen_above").isNull() | F.col("looped"), F.col("seen")).otherwise(F.array_distinct(F.concat("seen", "seen_above"))).alias("seen"),
+            cyclic.alias("looped"),
         )
-        levels *= 2
         state = stages.cut(state)
-        if state.filter("up is not null").isEmpty():
+        if state.filter("up is not null and not looped").isEmpty():
             break
     return _cut_cycles(linked, state, root)
 
