@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -113,6 +114,54 @@ def quality(rows, window=8):
     return out
 
 
+def perplexities(rows, order=5):
+    """Perplexity of a character of each text under an interpolated modified Kneser-Ney model of its language."""
+    out = []
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r[2] or "", []).append(r[1] or "")
+    models = {}
+    for lang, texts in by_lang.items():
+        grams = Counter(g for t in texts for g in _grams(t, order))
+        levels = {order: grams}
+        for n in range(order - 1, 0, -1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+        p = {"": 1 / max(len(levels[1]), 1)}
+        for n in range(1, order + 1):
+            seen = Counter(levels[n].values())
+            d = {k: v for k, v in ((1, 0.5), (2, 0.75), (3, 0.9))}
+            if seen[1] and seen[2]:
+                y = seen[1] / (seen[1] + 2 * seen[2])
+                for k in d:
+                    value = k - (k + 1) * y * seen[k + 1] / seen[k] if seen[k] else 0
+                    d[k] = value if 0 < value < k else d[k]
+            total, kept = Counter(), Counter()
+            for g, c in levels[n].items():
+                total[g[:-1]] += c
+                kept[g[:-1]] += d[min(c, 3)]
+            p |= {g: (c - d[min(c, 3)]) / total[g[:-1]] + kept[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, c in levels[n].items()}
+        models[lang] = p
+    for r in rows:
+        found = [math.log(models[r[2] or ""][g]) for g in _grams(r[1] or "", order)]
+        out.append(math.exp(-sum(found) / max(len(found), 1)))
+    return out
+
+
+def _grams(text, order):
+    padded = "\n" * (order - 1) + text
+    return [padded[i : i + order] for i in range(len(text))]
+
+
+URL = re.compile(r"(?i:https?://|ftp://)([A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+)")
+SECRET = re.compile(r"""(?i:api_key|apikey|api-key|secret|token|password|passwd|access_key)[\x20"']{0,2}[:=][\x20]?["']?([A-Za-z0-9+/_.-]{16,})""")
+
+
+def added_pii(text):
+    """Addresses of the web and secrets, by expressions over the whole text."""
+    out = [("url", m.start(), m.start(1) + len(m[1].rstrip(".,;:!?)'"))) for m in URL.finditer(text)]
+    return out + [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text)]
+
+
 def _luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 

@@ -12,8 +12,18 @@ LONG = " ".join(f"w{i % 977} and w{i % 31}." for i in range(40_000))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
 
 
+def thue_morse(levels: int) -> tuple[str, str]:
+    """Two words of as many bytes, over the same two letters, that polynomials modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
 def awkward() -> list[tuple]:
     """(doc_id, text, lang, source): nulls, empty and long texts, repeated rows, ties and shared passages."""
+    one, other = thue_morse(12)
+    same = [f"lead{i} of it" for i in range(7)]
     para = "The small harbour town kept its lamps lit through the long winter, and every boat that came home late found the quay by their glow. " * 2
     return [
         (9001, None, "en", "s1"),
@@ -40,6 +50,12 @@ def awkward() -> list[tuple]:
         (9019, "IBAN DE89 3704 0044 0532 0130 00 see https://example.org/a?b=c. password: hunter2hunter2hunter2", "en", "s9"),
         (9020, "released under the MIT license. All rights reserved, GENERAL public License cc-by cc by all rights reserved", "en", "s9"),
         (9021, "a b " * 500, "en", "s9"),
+        (9022, " ".join([*same, one, *same, "and more of it"]) + f"\n{one}\n{other}\n", "en", "s9"),
+        (9023, " ".join([*same, other, *same, "and more of it"]) + f"\n{other}\n{other}\n", "en", "s9"),
+        (9024, f"{one} {one} {other}", "en", "s9"),
+        (9025, f"{one} {other} {other}", "en", "s9"),
+        (9026, "API_Key: abcdefghijklmnop99 HTTPS://a.example/b, Iban de89 3704 0044 0532 0130 00 tel +49 30 1234567.", "en", "s9"),
+        (9027, "http://" * 3000 + "x@" * 3000 + "1.1" * 2000, "en", "s9"),
     ]
 
 
@@ -67,6 +83,7 @@ def write_documents(folder, rows: list[tuple]) -> None:
         "row": pa.array(["clash"] * n, pa.string()),
         "hash": pa.array(["clash"] * n, pa.string()),
         "kept": pa.array([None] * n, pa.bool_()),
+        **{name: pa.array(["clash"] * n, pa.string()) for name in ("s", "t", "g", "row_", "part", "tokens", "anchors", "file_", "at_", "block", "size", "surprise", "Number_")},
     }
     table = pa.table(columns)
     (folder / "documents.parquet").mkdir()

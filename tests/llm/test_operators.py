@@ -68,6 +68,12 @@ def test_ngram_jaccard_join(spark, sf_dir, rows):
 def test_quality_rules(spark, sf_dir, rows):
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed"
     same(collected(spark, "op7_quality_rules", sf_dir, columns), brute.quality(rows))
+    # the language model: a plain one over the same texts
+    got = collected(spark, "op7_quality_rules", sf_dir, "doc_id n_words perplexity")
+    wanted = [(r[0], q[1], p) for r, q, p in zip(rows, brute.quality(rows), brute.perplexities(rows), strict=True)]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    assert [r[:2] for r in sorted(got, key=order)] == [r[:2] for r in sorted(wanted, key=order)]
+    assert all(abs(a[2] - b[2]) < 1e-4 * b[2] for a, b in zip(sorted(got, key=order), sorted(wanted, key=order), strict=True))
     verdicts = collected(spark, "op7_quality_rules", sf_dir, "base_failed kept")
     assert not any(failed and kept for failed, kept in verdicts)
     sound = [kept for failed, kept in verdicts if not failed]
@@ -78,6 +84,14 @@ def test_pii(spark, sf_dir, rows):
     same(collected(spark, "op9_pii", sf_dir, "doc_id n_email n_ip n_card n_phone base_sha256"), brute.pii(rows))
 
 
+def test_every_span_of_personal_data(spark, sf_dir, rows):
+    got = {r[0]: r[1] for r in collected(spark, "op9_pii", sf_dir, "doc_id spans")}
+    for r in rows:
+        if r[0] is not None:
+            spans = [s.rsplit(":", 2) for s in got[r[0]].split(",") if s]
+            assert [(k, int(a), int(b)) for k, a, b in spans if k in ("url", "secret")] == brute.added_pii(r[1] or ""), r[0]
+
+
 def test_packing(spark, sf_dir, rows):
     got = collected(spark, "op10_packing", sf_dir, "doc_id piece start length ids_crc32 sequence_id offset")
     ids = brute.library_ids(public_tokenizers.path("byte_bpe_50k.json"), [r[1] or "" for r in rows])

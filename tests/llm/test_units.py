@@ -136,7 +136,7 @@ def test_token_files_are_read_selectively(spark, sf_dir):
 def canonical_pair(spark, item: str, text: str) -> list:
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
-    return contamination.find_items(contamination.number_rows(docs), bench).collect()
+    return contamination.find_items(common.with_rows(common.materialize(docs, "docs")), bench).collect()
 
 
 ITEM = "A train leaves Boston at 40 km per hour and another leaves Denver at 60 km per hour; after how many hours do they meet if the cities are 500 km apart?"
@@ -176,6 +176,11 @@ OTHER_MARBLES = "Bob has 7 marbles. Bob gives 3 marbles to Sue. How many does Bo
         (MARBLES, OTHER_MARBLES.upper(), True),
         (ITEM, ITEM.replace("Boston", "Lyon").replace("Denver", "Turin").lower(), True),
         (MARBLES, OTHER_MARBLES.replace("Bob gives 3", "Bob gives 7"), False),
+        ("42", "we have sold 7 boats", False),  # a short item is found word for word alone
+        ("42", "we have 12 and 42", True),
+        ("12 and 42", "we have 12 and 42", True),
+        ("12 and 42", "we have 13 and 43", False),
+        ("How many apples?", "asked how many apples?", True),
         (MARBLES, "Bob has 7 cats. They came to Sue in May. How many does he feed now?", False),
     ],
 )
@@ -197,6 +202,9 @@ def test_altered_copies_of_items(spark, monkeypatch, item, text, held, most):
         ("IBAN DE88 3704 0044 0532 0130 00", []),
         ("1.2.3.256 1.2.3.4", ["ip"]),
         ("1" * 50_000, []),
+        ("HTTP://a.org", ["url"]),
+        ("ApI_kEy: abcdefghijklmnop1", ["secret"]),
+        ("http://" * 100_000, ["url"]),
     ],
 )
 def test_personal_data(text, kinds):
@@ -207,11 +215,88 @@ def test_redaction_joins_overlapping_spans():
     assert pii.redact("abcdef", [("url", 0, 4), ("email", 2, 5)]) == "<URL>f"
 
 
-def test_kneser_ney_is_a_distribution(spark, sf_dir):
+def test_a_model_that_is_joined_gives_what_a_broadcast_one_does(spark, sf_dir, monkeypatch):
     docs = common.table(spark, sf_dir, "documents")
-    model = quality.gather(quality.kneser_ney(quality.ngram_counts(docs)))
-    table = np.exp(quality.expand(model["en"])).reshape(-1, quality.CLASSES)
-    assert np.allclose(table.sum(1), 1, atol=1e-3)
+    few = sorted(map(tuple, quality.judge(docs).collect()), key=str)
+    monkeypatch.setattr(quality, "MOST_GRAMS", 0)
+    monkeypatch.setattr(quality, "BLOCK_BITS", 3)
+    assert sorted(map(tuple, quality.judge(docs).collect()), key=str) == few
+
+
+def test_many_languages_and_counts_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_GRAMS", 50)
+    docs = common.materialize(spark.createDataFrame([(i, f"text {i} in a tongue of its own " * 3, f"l{i % 40}") for i in range(200)], "doc_id long, text string, lang string"), "docs")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    import brute
+
+    wanted = {r[0]: p for r, p in zip(rows, brute.perplexities(rows), strict=True)}
+    got = quality.judge(docs).select("doc_id", "perplexity").collect()
+    assert len(got) == 200 and all(abs(r["perplexity"] - wanted[r["doc_id"]]) < 1e-4 * wanted[r["doc_id"]] for r in got)
+
+
+def test_gibberish_is_rejected_and_clean_documents_stay(spark):
+    rng = random.Random(11)
+    words = "the small harbour town kept its lamps lit through a long winter and every boat that came home late found quay by their glow".split()
+    clean = [(i, " ".join(rng.choices(words, k=rng.choice([22, 60, 200]))), "en") for i in range(400)]
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789#%&"
+    noise = [(1000 + i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(rng.choice([22, 60, 200]))), "en") for i in range(12)]
+    docs = common.materialize(spark.createDataFrame([*clean, *noise], "doc_id long, text string, lang string"), "docs")
+    kept = {r["doc_id"] for r in quality.keep_good(docs).select("doc_id").collect()}
+    assert not kept & {r[0] for r in noise}
+    failed = {r[0] for r, q in zip(clean, __import__("brute").quality(clean), strict=True) if q[-1]}
+    assert len(kept) >= 0.98 * (400 - len(failed))
+
+
+@pytest.mark.parametrize("files", [common.MOST_FILES, 0])
+def test_rows_are_the_same_in_every_job(spark, tmp_path, monkeypatch, files):
+    """What is read with other cores, and so in other tasks, loses the right rows."""
+    monkeypatch.setattr(common, "MOST_FILES", files)
+    spark.range(3000).selectExpr("id doc_id", "cast(id as string) text").repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(key, "16")
+        gone = common.materialize(common.with_rows(docs).filter("doc_id % 10 = 0").select("row"), "gone")
+        spark.conf.set(key, "4")
+        left = common.without_rows(spark.read.parquet(str(tmp_path / "docs")), gone) if files else None
+    finally:
+        spark.conf.unset(key)
+    if left is not None:
+        assert sorted(r[0] for r in left.select("doc_id").collect()) == [i for i in range(3000) if i % 10]
+    assert common.with_rows(docs.selectExpr("explode(array(1, 2)) x")).select("row").distinct().count() == 6000
+
+
+def test_long_unlike_words_have_unlike_hashes():
+    one, other = "a", "b"
+    for _ in range(13):
+        one, other = one + other, other + one
+        words = textkit.split_words(pa.array([f"{one} {other}"], pa.large_string()))
+        for lane in (0, 1):
+            assert len(set(words.hashes(lane).tolist())) == 2
+    values = textkit.mix(np.arange(2, dtype=np.uint64))
+    order = [0]
+    for _ in range(6):
+        order += [1 - x for x in order]
+    run = values[order + [1 - x for x in order]]
+    assert textkit.runs(run, 64)[0] != textkit.runs(run, 64)[64]
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 500)
+    monkeypatch.setattr(encoder, "REMEMBER_BYTES", 1000)
+    machine = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghij", k=20_000))
+    assert token_counts.count_batch(pa.array([text], pa.large_string()), machine).tolist() == [len(machine.library.encode(text))]
+    assert len(machine.states) <= 502 and not any(len(s) > token_counts.LONGEST for s in machine.segments)
+    tool = encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for part in range(3):
+        tool.encode(pa.array([f"piece{i} of part{part}" for i in range(100)], pa.large_string()))
+    assert len(tool.place) < 300
+    forgotten = []
+    common.remember(machine, lambda: forgotten.append(1))
+    common.remember(None)
+    assert forgotten == [1]
 
 
 def test_empty_slices():

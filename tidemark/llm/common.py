@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts are long, so the default of 10,000 rows has no useful bound in bytes.
 ARROW_ROWS = 128
+#: Files of an input that are numbered by a broadcast table; rows of more are written once with their numbers.
+MOST_FILES = 200_000
+#: Rows of a file that its numbers leave room for.
+FILE_ROWS = 1 << 40
 _SHIPPED: set[str] = set()
 #: The temporary folder of a local application that names no shared one.
 _LOCAL: dict[str, str] = {}
@@ -70,21 +78,75 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers, as ``monotonically_increasing_id`` gives them, are in ``gone`` (row)."""
-    name = "row"
-    while name in docs.columns:
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` has one row for each row of the files that it reads, or fewer."""
+    plan = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    nodes = [re.match(r"[\s:+|-]*(\w*)", line)[1] for line in plan if line.strip()]
+    return nodes[-1] == "Relation" and {*nodes[:-1]} <= {"Project", "Filter", "SubqueryAlias"}
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has; Spark compares names without case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    return numbered.join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti").select(*docs.columns)
+    return name
+
+
+def with_rows(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a long column that tells its rows apart and is the same in every job.
+
+    Rows of files are numbered by file and place in it, whatever the tasks that read them. Spark numbers anything else by task, and
+    tasks follow the cores that are there when a job is planned; such rows are written once with their numbers.
+    """
+    spark = docs.sparkSession
+    file, at, number = (free_name(docs, x) for x in ("file_", "at_", "number_"))
+    if _reads_files(docs):
+        try:
+            placed = docs.withColumns({file: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
+            # no more paths than the driver lists to read the files
+            files = sorted(r[0] for r in placed.select(file).distinct().collect())
+        except AnalysisException:  # a column of that name, or a format without places
+            files = None
+        if files is not None and len(files) <= MOST_FILES:
+            numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{file} string, {number} long")
+            return placed.join(F.broadcast(numbers), file).withColumn(name, F.col(number) * FILE_ROWS + F.col(at)).drop(file, at, number)
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose numbers, as ``with_rows`` gives them, are in ``gone`` (row). Both are read from files or written."""
+    name = free_name(docs, "row_")
+    numbered = with_rows(docs, name)
+    return numbered.join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds at most ``limit`` bytes of ``column``, or one row."""
+#: What this worker remembers between tasks, with the way to forget it. A worker outlives its task and serves other operators.
+_REMEMBERED: dict[int, Callable[[], None]] = {}
+
+
+def remember(owner: object | None, forget: Callable[[], None] | None = None) -> None:
+    """Only ``owner`` keeps what it remembers; all others forget, and the memory goes back to the machine."""
+    others = [k for k in _REMEMBERED if k != id(owner)]
+    for k in others:
+        _REMEMBERED.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    if owner is not None and forget is not None:
+        _REMEMBERED[id(owner)] = forget
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, memory: object | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds at most ``limit`` bytes of ``column``, or one row. All but ``memory`` forgets what it remembers."""
+    remember(memory, getattr(memory, "release", None))
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -179,7 +179,7 @@ def _with_seeds(docs: DataFrame, seeds: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     """One row a document with its spans and the words that stay."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    numbered = common.with_rows(docs.select("doc_id", "text")).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = common.materialize(repeat_spans(numbered.select("row", "text"), length), "spans")
     return numbered.join(spans, "row", "left").select("doc_id", "text", "spans")
 

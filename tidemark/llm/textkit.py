@@ -1,20 +1,20 @@
 """Vectorised words and hashes over the UTF-8 bytes of many texts at once.
 
-A word is a maximal run of bytes that are not separators. Words are hashed with a polynomial over random byte values
-modulo 2**64 and then mixed; windows of words are hashed from the words' hashes. Two hashes with other constants (``lane``
-0 and 1) make 128 bits where equality is decided by the hash alone.
+A word is a maximal run of bytes that are not separators. A word is hashed by eights of bytes: each eight is mixed together with its
+place, by a permutation that isn't linear, and the results are summed and mixed again. Windows of words are hashed by doubling, from
+the mixed hashes of their halves. So no arrangement of equal parts, such as a Thue-Morse word and its complement, meets another one
+but by chance. Two hashes with other constants (``lane`` 0 and 1) make 128 bits where equality is decided by the hash alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are hashed at once, so that a very long text needs a bounded amount of memory besides its words.
-BLOCK = 1 << 20
+#: Eights that are hashed at once, so that a very long text needs a bounded amount of memory besides its words.
+BLOCK = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 SPACE = np.zeros(256, bool)
@@ -35,16 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
-def _tables(lane: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = _BASES[lane]
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-    if lower:
-        values = values[LOWER]
-    power = np.full(BLOCK + 1, base | 1, np.uint64)
-    inverse = np.full(BLOCK + 1, pow(base | 1, -1, 1 << 64), np.uint64)
-    power[0] = inverse[0] = 1
-    return values, np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+#: Eights of a word that are hashed for all words together.
+SHORT = 64
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def join(left: np.ndarray, right: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The hash of two things in a row from the hash of each."""
+    return mix(left * np.uint64(_BASES[1 - lane] | 2) + right)
 
 
 @dataclass
@@ -66,32 +64,24 @@ class Words:
 
     def hashes(self, lane: int = 0, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word."""
-        values, power, inverse = _tables(lane, lower)
-        out = np.empty(len(self.start), np.uint64)
-        i, n = 0, len(self.start)
-        while i < n:
-            at = self.start[i]
-            j = int(np.searchsorted(self.end, at + BLOCK, "right"))
-            if j <= i:  # one word of more than a block
-                out[i] = self._long(int(at), int(self.end[i]), lane, lower)
-                i += 1
-                continue
-            stop = self.end[j - 1]
-            sums = np.zeros(stop - at + 1, np.uint64)
-            np.cumsum(values[self.data[at:stop]] * power[: stop - at], out=sums[1:])
-            s, e = self.start[i:j] - at, self.end[i:j] - at
-            out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
-            i = j
-        return mix(out)
-
-    def _long(self, start: int, end: int, lane: int, lower: bool) -> np.uint64:
-        values, power, _ = _tables(lane, lower)
-        total, factor = 0, 1
-        for at in range(start, end, BLOCK):
-            part = values[self.data[at : min(end, at + BLOCK)]]
-            total += factor * int(np.sum(part * power[: len(part)], dtype=np.uint64))
-            factor = factor * int(power[len(part)]) % (1 << 64)
-        return np.uint64((total + end - start) % (1 << 64))
+        size = self.end - self.start
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = LOWER[self.data] if lower else self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        keys = mix(np.arange(1, SHORT + 1, dtype=np.uint64) * np.uint64(_BASES[lane]))
+        out = mix((eight[self.start] & _MASKS[np.minimum(size, 8)]) ^ keys[0])
+        for place in range(1, SHORT):
+            at = np.flatnonzero(size > 8 * place)
+            if not len(at):
+                break
+            out[at] += mix((eight[self.start[at] + 8 * place] & _MASKS[np.minimum(size[at] - 8 * place, 8)]) ^ keys[place])
+        for i in np.flatnonzero(size > 8 * SHORT):  # in blocks, as such a word can be a whole text
+            for first in range(SHORT, int(size[i] + 7) >> 3, BLOCK):
+                place = np.arange(first, min(first + BLOCK, int(size[i] + 7) >> 3))
+                key = mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASES[lane]))
+                value = eight[self.start[i] + 8 * place] & _MASKS[np.minimum(size[i] - 8 * place, 8)]
+                out[i : i + 1] += np.sum(mix(value ^ key), dtype=np.uint64)
+        return mix(out + size.astype(np.uint64) * np.uint64(_BASES[lane]))
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +109,27 @@ def split_words(text: pa.Array, separators: np.ndarray = SPACE) -> Words:
     return Words(data, start, end, np.searchsorted(start, off), off[:-1])
 
 
+def runs(hashes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``k`` values, by doubling."""
+    width, held, out, done = 1, hashes, None, 0
+    while True:
+        if k & width:
+            out = held[: len(hashes) - k + 1] if out is None else join(out, held[done : done + len(hashes) - k + 1], lane)
+            done += width
+        if 2 * width > k:
+            return mix(out + np.uint64(k))
+        held = join(held[:-width], held[width:], lane)
+        width *= 2
+
+
 def windows(words: Words, hashes: np.ndarray, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``k`` consecutive words of one text, and the index of each window's first word."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    base = np.uint64(_BASES[1 - lane] | 1)
-    out = hashes[: n - k + 1].copy()
-    for j in range(1, k):
-        out *= base
-        out += hashes[j : n - k + 1 + j]
     text = words.text_of_word()
     at = np.flatnonzero(text[: n - k + 1] == text[k - 1 :])
-    return mix(out[at] + np.uint64(k)), at
+    return runs(hashes, k, lane)[at], at
 
 
 def signed(x: np.ndarray) -> np.ndarray:
