@@ -1,15 +1,23 @@
-"""Quality rules: counted rules and a band of n-gram perplexity per language.
-
-The language model is a modified Kneser-Ney model of order 4 over classes of UTF-8 bytes, one per language, counted by Spark over
-all documents. There are 40 classes, so a language has at most 40**4 n-grams of the highest order however large the corpus is;
-counts are summed in each task before they are shuffled. The model is kept as sorted arrays of n-gram codes with probabilities and
-back-off weights. A document's perplexity is that of its whole text. Over the documents of a language that pass the counted rules,
-the band runs from the median of the log perplexity by ``width`` times the median deviation from it, up and down; what lies outside
-is rejected. Deviations under ``least_deviation`` count as that, so a uniform corpus rejects nothing for tiny differences.
-
-Defined results: a null text has no words and fails; texts of a null language share a model under the empty name; texts of fewer
-than ``least_bytes`` bytes are judged by the counted rules alone, as their perplexity says little; other columns are not read;
-repeated rows get a result each; an empty table gives no rows.
+"""Quality rules: counted rules and bands of n-gram perplexity per language.
+
+The language model is a modified Kneser-Ney model of five code points, one per language, counted by Spark over the whole texts of all
+documents. Nothing is folded, so every script keeps its letters, and what is counted grows with the corpus. Each task counts its own
+distinct n-grams before they are shuffled; the lower orders, discounts, contexts and interpolation are joins and groupings on the n-grams.
+The model is kept as a sorted array of n-gram hashes with their log probabilities. As it is counted over the documents that it scores,
+each of their n-grams is in it.
+
+Scoring. While the model has at most ``MOST_GRAMS`` n-grams, the array is broadcast. With more, each block of rows asks for the n-grams
+that it holds, once each; they are joined to the model by hash, and the answers meet the block's texts in one more shuffle. Both ways
+give the same figures, and there is no limit on languages or n-grams.
+
+Bands. A document's figure is the mean log perplexity of its characters. Over the documents that pass the counted rules, by language:
+the middle is the median, and the spread is the median deviation from it among documents of like size (powers of two of their characters),
+as short texts vary more; a size with few documents takes the spread of the next size that has enough, larger for shorter texts by the
+root of the lengths. What lies more than ``width`` spreads above or below the middle is rejected. Spreads under ``least_deviation`` count
+as that, so a uniform corpus rejects nothing for tiny differences.
+
+Defined results: a null text has no words and fails; texts of a null language share a model under the empty name; other columns are not
+read; repeated rows get a result each; an empty table gives no rows. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,26 +35,15 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import common, textkit
 
-CLASSES, ORDER = 40, 4
-CODES = CLASSES**ORDER
-#: Models that a worker expands to direct tables at once, and rows of a model that are broadcast at most.
-EXPANDED, MOST_ROWS = 6, 24_000_000
-
-
-def _byte_classes() -> np.ndarray:
-    """a-z apart; then upper case, digits, space, line feed, other controls, full stop, comma, quotes, other marks, and bytes from 0x80 by their low bits."""
-    c = np.full(256, 34, np.uint8)
-    c[0x61:0x7B] = np.arange(26)
-    c[0x41:0x5B] = 26
-    c[0x30:0x3A] = 27
-    c[:0x20] = 30
-    c[0x20], c[0x0A], c[0x2E], c[0x2C] = 28, 29, 31, 32
-    c[[0x22, 0x27]] = 33
-    c[0x80:] = 35 + np.arange(128) % 5
-    return c
-
-
-BYTE_CLASS = _byte_classes()
+ORDER = 5
+#: N-grams of a model that is broadcast, at most (12 bytes each).
+MOST_GRAMS = 4_000_000
+#: Distinct n-grams that a task counts before it sends them (about 50 bytes each).
+HELD_GRAMS = 1_000_000
+#: Rows of a file that ask for their n-grams together, as a power of two.
+BLOCK_BITS = 14
+#: Documents that a size needs for a spread of its own.
+LEAST_DOCUMENTS = 30
 
 
 @dataclass(frozen=True)
@@ -55,152 +53,208 @@ class Rules:
     least_words: int = 20
     most_repeated_percent: int = 30
     window: int = 8
-    least_bytes: int = 400
-    width: float = 6.0
+    width: float = 8.0
     least_deviation: float = 0.02
 
 
-def codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends at each byte, and the texts' offsets. Before a text stand line feeds."""
-    data, off = textkit.buffers(text)
-    c = BYTE_CLASS[data].astype(np.int32)
-    n, starts = len(c), off[:-1]
-    out = c.copy()
-    for back in range(1, ORDER):
-        shifted = np.full(n, 29, np.int32)
-        shifted[back:] = c[:-back] if back < n else c[:0]
-        for j in range(back):
-            at = starts + j
-            at = at[(at < off[1:]) & (at < n)]
-            shifted[at] = 29
-        out += shifted * CLASSES**back
-    return out, off
+@dataclass
+class Grams:
+    """The n-gram that ends at each character of several texts. ``key`` hashes language and n-gram, ``text_start`` has one entry more than texts."""
+
+    points: np.ndarray
+    at: np.ndarray
+    key: np.ndarray
+    text_start: np.ndarray
+
+    def spelled(self, which: np.ndarray) -> np.ndarray:
+        """The code points of some of the n-grams, a row each."""
+        return self.points[self.at[which][:, None] + np.arange(ORDER)]
+
+
+def _salts(langs: list[str]) -> np.ndarray:
+    words = textkit.split_words(pa.array([x.encode().hex() or "-" for x in langs], pa.large_string()))
+    return words.hashes(1)
+
+
+def _key(columns: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
+    key = salt
+    for c in columns:
+        key = textkit.join(key, c.astype(np.uint64))
+    return key
+
+
+def grams(texts: list[str], langs: list[str]) -> Grams:
+    """Before a text stand line feeds, so that its first characters have n-grams too."""
+    points = np.frombuffer("".join("\n" * (ORDER - 1) + t for t in texts).encode("utf-32-le"), "<u4")
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(start[-1]) + np.repeat(np.arange(len(texts)) * (ORDER - 1), size)
+    names, of = np.unique(np.array(langs, object), return_inverse=True) if langs else ([], np.zeros(0, np.int64))
+    salt = np.repeat(_salts(list(names))[of], size) if len(texts) else np.zeros(0, np.uint64)
+    return Grams(points, at, _key([points[at + i] for i in range(ORDER)], salt), start)
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """Counts of all n-grams of the highest order by language; each task sums its own first."""
+    """(lang, gram, n) of all n-grams of the highest order; each task sums its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, object))
+        key, n, points, lang = empty
 
-        def out(lang: str) -> pa.RecordBatch:
-            total = held.pop(lang)
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "code", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(key), 1 << 16):
+                spelled = points[i : i + (1 << 16)].astype("<u4").tobytes().decode("utf-32-le")
+                part = [spelled[j : j + ORDER] for j in range(0, len(spelled), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array(lang[i : i + (1 << 16)], pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + (1 << 16)])], names=["lang", "gram", "n"])
 
         for batch in common.slices(batches):
-            grams, off = codes(common.texts(batch))
             langs = pc.fill_null(batch.column(1), "").to_pylist()
-            for lang in set(langs):
-                if lang not in held:
-                    if len(held) >= EXPANDED:
-                        yield out(next(iter(held)))
-                    held[lang] = np.zeros(CODES, np.int64)
-                parts = [grams[off[i] : off[i + 1]] for i, x in enumerate(langs) if x == lang]
-                at, n = np.unique(np.concatenate(parts), return_counts=True)
-                held[lang][at] += n
-        for lang in list(held):
-            yield out(lang)
+            found = grams([t or "" for t in batch.column(0).to_pylist()], langs)
+            code, own = pd.factorize(found.key)
+            first = np.empty(len(own), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            times = np.bincount(code, minlength=len(own))
+            i = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+            known = key[i] == own if len(key) else np.zeros(len(own), bool)
+            n[i[known]] += times[known]
+            fresh = first[~known]
+            doc = np.searchsorted(found.text_start, fresh, "right") - 1
+            key, n = np.concatenate([key, own[~known]]), np.concatenate([n, times[~known]])
+            points, lang = np.concatenate([points, found.spelled(fresh)]), np.concatenate([lang, np.array(langs, object)[doc]])
+            order = np.argsort(key)
+            key, n, points, lang = key[order], n[order], points[order], lang[order]
+            if len(key) > HELD_GRAMS:
+                yield from out()
+                key, n, points, lang = empty
+        yield from out()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows (lang, length, code, p, b): the discounted probability of an n-gram, and the weight that its context gives to the next shorter model.
+    """(lang, gram, p): the interpolated probability of the last character of each n-gram of the highest order after the others.
 
-    The highest order uses counts, each lower order the number of different symbols in front. The three discounts are estimated by
-    order and language from the numbers of n-grams seen once to four times.
+    The highest order uses counts, each lower order the number of different characters in front. The three discounts are estimated by
+    order and language from the numbers of n-grams seen once to four times. Below one character, all that the language has are alike.
     """
-    levels, grams = [], counts
-    for length in range(ORDER, 0, -1):
-        levels.append(grams.withColumn("length", F.lit(length)))
-        shorter = (F.col("code") % F.lit(CLASSES ** (length - 1))).cast("int")
-        grams = grams.groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    seen = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).over(Window.partitionBy("lang", "length")).cast("double").alias(f"n{k}") for k in range(1, 5)]
-    counted = every.select("*", *seen)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-    def discount(k: int, fallback: float) -> Column:
-        value = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0) & (value > 0) & (value < k)
-        return F.when(usable, value).otherwise(F.lit(fallback))
-
-    d = F.when(F.col("n") == 1, discount(1, 0.5)).when(F.col("n") == 2, discount(2, 0.75)).otherwise(discount(3, 0.9))
-    context = Window.partitionBy("lang", "length", F.floor(F.col("code") / CLASSES))
-    weighted = counted.withColumn("d", d).withColumn("total", F.sum("n").over(context)).withColumn("kept", F.sum("d").over(context))
-    return weighted.select("lang", "length", "code", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("p"), (F.col("kept") / F.col("total")).cast("float").alias("b"))
-
-
-Model = dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
-
-
-def gather(model: DataFrame) -> Model:
-    """Sorted arrays for each language and length. Bounded by the classes: checked before it is brought together."""
-    if (rows := model.count()) > MOST_ROWS:
-        raise ValueError(f"the model has {rows} n-grams, more than {MOST_ROWS}; score the languages in groups")
-    t = model.toArrow()
-    out: Model = {}
-    length, code = t["length"].to_numpy(), t["code"].to_numpy()
-    p, b = t["p"].to_numpy(), t["b"].to_numpy()
-    lang = t["lang"].combine_chunks().dictionary_encode() if t.num_rows else pa.array([], pa.string()).dictionary_encode()
-    index = np.asarray(lang.indices)
-    for i, name in enumerate(lang.dictionary.to_pylist()):
-        levels = []
-        for n in range(1, ORDER + 1):
-            at = np.flatnonzero((index == i) & (length == n))
-            at = at[np.argsort(code[at])]
-            levels.append((code[at], p[at], b[at]))
-        out[name] = levels
-    return out
-
-
-def expand(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log probabilities of all n-grams of the highest order, by interpolation from the shortest."""
-    lower = np.full(1, 1.0 / CLASSES, np.float32)
-    for length, (code, p, b) in enumerate(levels, 1):
-        size = CLASSES**length
-        back = np.ones(size // CLASSES, np.float32)
-        back[code // CLASSES] = b
-        table = np.repeat(back, CLASSES)
-        table *= lower[np.arange(size, dtype=np.int32) % len(lower)]
-        table[code] += p
-        lower = table
-    return np.log(lower, out=lower)
+    levels, of = {ORDER: counts}, counts
+    for length in range(ORDER - 1, 0, -1):
+        of = of.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[length] = of
+    lower = None
+    for length in range(1, ORDER + 1):
+        rows = levels[length]
+        seen = rows.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in range(1, 5)], F.count(F.lit(1)).alias("all"))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+        def discount(k: int, fallback: float, y: Column = y) -> Column:
+            value = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+            usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0) & (value > 0) & (value < k)
+            return F.when(usable, value).otherwise(F.lit(fallback))
+
+        d = F.when(F.col("n") == 1, discount(1, 0.5)).when(F.col("n") == 2, discount(2, 0.75)).otherwise(discount(3, 0.9))
+        # a context has at most as many rows as there are characters
+        context = Window.partitionBy("lang", F.expr(f"substring(gram, 1, {length - 1})"))
+        weighted = rows.join(seen, "lang").withColumn("d", d).withColumn("total", F.sum("n").over(context)).withColumn("kept", F.sum("d").over(context))
+        own, weight = (F.col("n") - F.col("d")) / F.col("total"), F.col("kept") / F.col("total")
+        if lower is None:
+            lower = weighted.select("lang", "gram", (own + weight / F.col("all")).alias("p"))
+        else:
+            below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
+            joined = weighted.withColumn("tail", F.expr("substring(gram, 2)")).join(below, ["lang", "tail"])
+            lower = joined.select("lang", "gram", (own + weight * F.col("below")).alias("p"))
+    return lower
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """(key, surprise): the hash of each n-gram with its negative log probability, sorted within parts of the range of hashes."""
+
+    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "gram"):
+            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+            lang = batch.column(0).dictionary_encode()
+            salt = _salts(lang.dictionary.to_pylist())[np.asarray(lang.indices)]
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(_key(list(points.T), salt))), pa.array(-np.log(np.asarray(batch.column(2))).astype(np.float32))], names=["key", "surprise"])
+
+    return model.select("lang", "gram", "p").mapInArrow(hash_, "key long, surprise float").repartitionByRange(common.partitions(model.sparkSession), "key").sortWithinPartitions("key")
+
+
+_SCORED = "row long, doc_id long, lang string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
+
+
+def _score(rows: list, text: pa.Array, langs: list[str], key: np.ndarray, surprise: np.ndarray, rules: Rules) -> pa.RecordBatch:
+    found = grams(text.to_pylist(), langs)
+    code, own = pd.factorize(found.key)
+    value = surprise[np.searchsorted(key, textkit.signed(own))].astype(np.float64) if len(own) else np.zeros(0)
+    size = np.diff(found.text_start)
+    total = np.bincount(np.repeat(np.arange(len(size)), size), value[code], len(size)) if len(code) else np.zeros(len(size))
+    counted = counted_rules(text, rules.window)
+    return pa.RecordBatch.from_arrays([*rows, pa.array(langs, pa.string()), pa.array(size), *map(pa.array, counted), pa.array(total / np.maximum(size, 1))], names=[c.split()[0] for c in _SCORED.split(", ")])
 
 
 def score_documents(docs: DataFrame, rules: Rules) -> DataFrame:
-    """The counted values and the mean log perplexity of a byte, with the row numbers, ids and languages of ``docs``."""
+    """The counted values and the mean log perplexity of a character, with the row numbers, ids and languages of ``docs``."""
     spark = docs.sparkSession
-    # the counts are read at every order, the model twice
-    counts = common.materialize(ngram_counts(docs), "counts")
-    shared = spark.sparkContext.broadcast(gather(common.materialize(kneser_ney(counts), "model")))
+    model = common.materialize(hashed(kneser_ney(common.materialize(ngram_counts(docs), "counts"))), "model")
+    rows = common.with_rows(docs.select("doc_id", "lang", "text"))
+    rows = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    if model.count() > MOST_GRAMS:
+        return _score_by_blocks(rows, model, rules)
+    table = model.toArrow()
+    order = np.argsort(table["key"].to_numpy())
+    shared = spark.sparkContext.broadcast((table["key"].to_numpy()[order], table["surprise"].to_numpy()[order]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            yield _score([batch.column(0), batch.column(1)], common.texts(batch), batch.column(2).to_pylist(), *shared.value, rules)
+
+    return rows.mapInArrow(score, _SCORED)
+
+
+def _score_by_blocks(rows: DataFrame, model: DataFrame, rules: Rules) -> DataFrame:
+    rows = rows.withColumn("block", F.shiftright("row", BLOCK_BITS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each block that a task reads; the rows of a block follow one another."""
+        block, held = None, np.zeros(0, np.uint64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block or 0, np.int64)), pa.array(textkit.signed(held))], names=["block", "key"])
+        for batch in common.slices(batches):
+            of = np.asarray(batch.column(0))
+            ends = np.flatnonzero(np.diff(of)) + 1
+            for part in np.split(np.arange(len(of)), ends):
+                if of[part[0]] != block or len(held) > HELD_GRAMS:
+                    yield out()
+                    block, held = int(of[part[0]]), held[:0]
+                some = batch.slice(int(part[0]), len(part))
+                found = grams([t or "" for t in some.column(2).to_pylist()], some.column(1).to_pylist())
+                held = np.union1d(held, pd.unique(found.key))
+        yield out()
+
+    asked = rows.select("block", "lang", "text").mapInArrow(ask, "block long, key long")
+    none = F.lit(None)
+    answers = asked.join(model, "key").select("block", F.lit(0).alias("kind"), "key", "surprise", none.cast("long").alias("row"), none.cast("long").alias("doc_id"), none.cast("string").alias("lang"), none.cast("string").alias("text"))
+    asking = rows.select("block", F.lit(1).alias("kind"), none.cast("long").alias("key"), none.cast("float").alias("surprise"), "row", "doc_id", "lang", "text")
+    met = answers.unionByName(asking).repartition(common.partitions(rows.sparkSession), "block").sortWithinPartitions("block", "kind", "key")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
+        """Answers come before the texts of their block."""
+        block, keys, values = None, [], []
         for batch in common.slices(batches):
-            text = common.texts(batch)
-            grams, off = codes(text)
-            langs = pc.fill_null(batch.column(2), "").to_pylist()
-            total = np.zeros(len(langs))
-            for i, lang in enumerate(langs):
-                if lang not in tables:
-                    if len(tables) >= EXPANDED:
-                        tables.pop(next(iter(tables)))
-                    tables[lang] = expand(shared.value[lang])
-                total[i] = -tables[lang][grams[off[i] : off[i + 1]]].sum(dtype=np.float64)
-            size = np.diff(off)
-            counted = counted_rules(text, rules.window)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(size), *map(pa.array, counted), pa.array(total / np.maximum(size, 1))],
-                names=["row", "doc_id", "lang", "n_bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "row long, doc_id long, lang string, n_bytes long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double")
+            of, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for part in np.split(np.arange(len(of)), np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1):
+                some = batch.slice(int(part[0]), len(part))
+                if of[part[0]] != block:
+                    block, keys, values = int(of[part[0]]), [], []
+                if kind[part[0]] == 0:
+                    keys.append(some.column(2).to_numpy().copy())
+                    values.append(some.column(3).to_numpy().copy())
+                    continue
+                if len(keys) != 1:
+                    keys, values = [np.concatenate(keys or [np.zeros(0, np.int64)])], [np.concatenate(values or [np.zeros(0, np.float32)])]
+                yield _score([some.column(4), some.column(5)], common.texts(some), some.column(6).to_pylist(), keys[0], values[0], rules)
+
+    return met.select("block", "kind", "key", "surprise", "row", "doc_id", "lang", "text").mapInArrow(score, _SCORED)
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -249,17 +303,30 @@ def _seen_before_or_after(h: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(sound: DataFrame, rules: Rules) -> DataFrame:
+    """(lang, size, middle, reach) of each size that a document of a language has; a row a language and size, some dozens a language."""
+    middle = sound.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
+    deviation = F.percentile_approx(F.abs(F.col("surprise") - F.col("middle")), 0.5, 10_000)
+    spread = sound.join(middle, "lang").groupBy("lang", "middle", "size").agg(deviation.alias("deviation"), F.count(F.lit(1)).alias("documents"))
+    spread = common.materialize(spread, "spread")
+    enough = spread.filter(F.col("documents") >= LEAST_DOCUMENTS).select("lang", F.col("size").alias("from"), F.col("deviation").alias("of"))
+    apart = F.col("from") - F.col("size")
+    # a shorter text than those with a spread varies more; a longer one doesn't vary more than they do
+    taken = F.col("of") * F.pow(F.lit(2.0), F.greatest(apart, F.lit(0)) / 2)
+    near = spread.join(enough, "lang", "left").groupBy("lang", "middle", "size").agg(F.min_by(taken, F.struct(F.abs(apart), apart)).alias("deviation"))
+    reach = F.greatest("deviation", F.lit(rules.least_deviation)) * rules.width
+    return near.select("lang", "size", "middle", reach.alias("reach"))
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row a document with its number in ``docs``, the counted values and the verdict."""
-    spark = docs.sparkSession
-    scored = common.materialize(score_documents(docs, rules), "scores").withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words")))
-    sound = scored.filter(~F.col("base_failed") & (F.col("n_bytes") >= rules.least_bytes))
-    middle = sound.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
-    # bounded: a row a language, of those whose model has been gathered
-    deviation = sound.join(F.broadcast(middle), "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("surprise") - F.col("middle")), 0.5, 10_000).alias("deviation"))
-    bands = deviation.select("lang", "middle", (F.greatest("deviation", F.lit(rules.least_deviation)) * rules.width).alias("reach"))
-    inside = (F.col("n_bytes") < rules.least_bytes) | F.coalesce(F.abs(F.col("surprise") - F.col("middle")) <= F.col("reach"), F.lit(True))
-    return scored.join(F.broadcast(bands), "lang", "left").select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("surprise").alias("perplexity"))
+    scored = common.materialize(score_documents(docs, rules), "scores")
+    failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words"))
+    sized = scored.withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int"))
+    found = common.materialize(bands(sized.filter(~F.col("base_failed")), rules), "bands")
+    inside = F.coalesce(F.abs(F.col("surprise") - F.col("middle")) <= F.col("reach"), F.lit(True))
+    columns = ("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return sized.join(found, ["lang", "size"], "left").select(*columns, (~F.col("base_failed") & inside).alias("kept"), F.exp("surprise").alias("perplexity"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
