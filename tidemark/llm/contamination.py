@@ -8,9 +8,12 @@ at least ``share`` of its words are covered in order, and ``literal`` of them by
 consistent: equal values of the item stand for equal values in the document, and the other way round, per type. If numbers or units
 aren't, the item is not found; names that aren't cover nothing.
 
+What stands in a document word for word is found at its own place, whatever its length. An item of fewer than ``least_plain`` words that are
+no numbers, units and names says too little to be known by its form, so it is found in no other way.
+
 A document that shares no seed with an item is not compared with it, so an item of which no ``window`` words in a row are left is not found.
 The benchmark is broadcast while it has at most ``MOST_WINDOWS`` seeds; with more, seeds and then texts are joined by shuffle. An item
-shorter than a window is one seed of its own length.
+shorter than a window is one seed of its own length and its own words.
 
 Defined results: a null text is empty and matches nothing; an item without words matches nothing; null ids are kept apart by row;
 repeated rows and ties each get a result; other columns are not read; with an empty table on either side nothing is found.
@@ -41,8 +44,8 @@ _EDGE = "\"'()[]{}<>.,;:!?¿¡…"
 _UNITS = frozenset(UNITS)
 #: How a word is read. A capitalised word that begins a sentence may be a name or not.
 WORD, NUMBER, UNIT, NAME, FIRST = range(5)
-#: Distinct words that a worker remembers.
-MOST_WORDS = 300_000
+#: Distinct words that a worker remembers, and the characters of the longest.
+MOST_WORDS, LONGEST_WORD = 200_000, 60
 PAIRS = "row long, doc_id long, item_id long, share double, exact boolean"
 
 
@@ -51,6 +54,7 @@ class Rules:
     window: int = 4
     share: float = 0.8
     literal: float = 0.5
+    least_plain: int = 4
 
 
 def _hash(word: str) -> int:
@@ -75,11 +79,16 @@ class _Words(dict):
             kind, first = NAME, FIRST
         else:
             kind = first = WORD
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[raw] = found = (_hash(low) if core else None, kind, first, ends)
+        found = (_hash(low) if core else None, kind, first, ends)
+        if len(raw) <= LONGEST_WORD:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[raw] = found
         return found
 
+    def release(self) -> None:
+        self.clear()
+
 
 _WORDS = _Words()
 
@@ -114,19 +123,23 @@ def read_item(text: str) -> Text:
     return item
 
 
-def seeds(texts: list[Text], k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place) of all windows of ``k`` words; ``whole`` asks for those of texts of just ``k`` words alone."""
+def seeds(texts: list[Text], k: int, short: bool = False, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of all windows of ``k`` words.
+
+    ``short`` windows are those of items that are shorter than a seed; they hold literal values alone. ``whole`` asks for the windows of
+    texts of just ``k`` words.
+    """
     count = np.array([len(t.value) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(count)])
     none = np.zeros(0, np.int64)
     words = textkit.Words(none, none, none, first, none)
-    word = np.concatenate([t.word for t in texts]) if texts else np.zeros(0, np.uint64)
+    word = np.concatenate([t.value if short else t.word for t in texts]) if texts else np.zeros(0, np.uint64)
     kind = np.concatenate([t.kind for t in texts]) if texts else np.zeros(0, np.int8)
     of_word = words.text_of_word()
     h, at = textkit.windows(words, word, k)
     forms = [(h, at)]
     # with a placeholder for names; a word that begins a sentence is a name in a third form
-    for names in (kind == NAME, (kind == NAME) | (kind == FIRST)):
+    for names in () if short else (kind == NAME, (kind == NAME) | (kind == FIRST)):
         h, at = textkit.windows(words, np.where(names, _PLACEHOLDERS[NAME], word), k)
         held = np.concatenate([[0], np.cumsum(names)])
         some = held[at + k] > held[at]
@@ -142,7 +155,7 @@ def seeds(texts: list[Text], k: int, whole: bool = False) -> tuple[np.ndarray, n
 
 def item_seeds(items: list[Text], rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     short = {len(t.value) for t in items} & {*range(1, rules.window)}
-    parts = [seeds(items, rules.window), *(seeds(items, n, whole=True) for n in sorted(short))]
+    parts = [seeds(items, rules.window), *(seeds(items, n, short=True, whole=True) for n in sorted(short))]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -189,8 +202,18 @@ def align(item: Text, doc: Text, rules: Rules) -> tuple[float, bool] | None:
 def verify(item: Text, doc: Text, diagonals: np.ndarray, rules: Rules) -> tuple[float, bool] | None:
     """The best alignment near the places (document word of the item's first) that share a seed."""
     n, best = len(item.value), None
-    drift = 2 + n // 4
     found = np.unique(diagonals)
+    inside = found[(found >= 0) & (found + n <= len(doc.value))]
+    for i in range(n):  # each place by itself first: what stands there word for word is found, whatever else is near
+        if not len(inside):
+            break
+        inside = inside[doc.value[inside + i] == item.value[i]]
+    if n and len(inside):
+        return 1.0, True
+    plain = ~np.isin(item.kind, (NUMBER, UNIT, NAME))
+    if plain.sum() < rules.least_plain:
+        return None
+    drift = 2 + n // 4
     for near in np.split(found, np.flatnonzero(np.diff(found) > drift) + 1):
         # a long chain of places is gone through in overlapping parts
         for start in range(int(near[0]), int(near[-1]) + 1, n + drift):
@@ -206,7 +229,7 @@ def benchmark_windows(benchmark: DataFrame, rules: Rules) -> DataFrame:
     """(hash, item, at, item_words) of all seeds; ``item`` is the row's number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=_WORDS):
             items = [read_item(t or "") for t in batch.column(1).to_pylist()]
             h, of, at = item_seeds(items, rules)
             n = np.array([len(t.value) for t in items], np.int32)
@@ -227,11 +250,11 @@ def _near_items(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
         order = np.argsort(h, kind="stable")
         h, of, at = h[order], of[order], at[order]
         lengths = (rules.window, *sorted({len(t.value) for t in known} & {*range(1, rules.window)}))
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=_WORDS):
             docs = [read(t or "") for t in batch.column(2).to_pylist()]
             hits = []
             for k in lengths:
-                seen, text, pos = seeds(docs, k)
+                seen, text, pos = seeds(docs, k, short=k < rules.window)
                 left = np.searchsorted(h, seen)
                 hit = left < len(h)
                 hit[hit] = h[left[hit]] == seen[hit]
@@ -263,14 +286,14 @@ def _joined_items(docs: DataFrame, items: DataFrame, windows: DataFrame, rules:
     lengths = [rules.window, *sorted(r[0] for r in windows.select("item_words").filter(F.col("item_words") < rules.window).distinct().collect())]  # fewer than a window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=_WORDS):
             texts = [read(t or "") for t in batch.column(2).to_pylist()]
             for k in lengths:
-                h, of, pos = seeds(texts, k)
+                h, of, pos = seeds(texts, k, short=k < rules.window)
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(pos)], names=["hash", "row", "pos"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=_WORDS):
             out = []
             for r in batch.to_pylist():
                 if got := verify(read_item(r["item_text"] or ""), read(r["text"] or ""), np.array(r["places"], np.int64), rules):
@@ -292,17 +315,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
     return found.groupBy("row", "doc_id", "item_id").agg(F.max("share").alias("share"), F.max("exact").alias("exact"))
 
 
-def number_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
-    return common.without_rows(docs, find_items(number_rows(docs.select("doc_id", "text")), benchmark, rules))
+    return common.without_rows(docs, find_items(common.with_rows(docs.select("doc_id", "text")), benchmark, rules))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a contaminated document: the items that it holds, whether one is held word for word, and the largest share."""
-    docs = number_rows(common.table(spark, sf_dir, "documents"))
+    docs = common.with_rows(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = find_items(docs, common.table(spark, sf_dir, "benchmark"))
     return found.groupBy("row", "doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"), F.count(F.lit(1)).alias("n_items"), F.max("share").alias("share"), F.max("exact").alias("exact")).drop("row")
