@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, plus signs, URL schemes and cues such as "token". From each anchor a small
-deterministic parser expands to the borders of the span and validates it. Runs of digits are the anchors of addresses and card
-numbers. Everything happens in one pass where a text is read, without a shuffle.
+An Aho-Corasick automaton finds anchors, ASCII letters of either case alike: at-signs, plus signs, digits, URL schemes and cues such as
+"token". From each anchor a small deterministic parser expands to the borders of the span and validates it; digits anchor network
+addresses and card numbers. A parser never starts where the one before of its kind has read, so a text is read a bounded number of
+times whatever it holds. Everything happens in one pass where a text is read, without a shuffle.
 
 Spans are (kind, start, end) in code points. Base kinds: email, ip, card, phone, each leftmost and non-overlapping within its kind.
 The method adds: url, secret (the value after a credential cue) and iban (with its check digits).
@@ -30,8 +31,8 @@ KINDS = (*BASE_KINDS, "url", "secret", "iban")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# matches begin where a run of digits does, so a long run is read once
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_RUN = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
@@ -40,7 +41,7 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
 #: What announces a value to hide.
 CUES = ("api_key", "apikey", "api-key", "secret", "token", "password", "passwd", "access_key")
 SCHEMES = ("http://", "https://", "ftp://")
-_DIGITS = re.compile(r"[0-9]")
+_FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 @lru_cache(1)
@@ -48,7 +49,7 @@ def _anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("+", "plus"), *[(s, "scheme") for s in SCHEMES], *[(c, "cue") for c in CUES], *[(c.upper(), "cue") for c in CUES], *[(c.capitalize(), "cue") for c in CUES], ("IBAN", "iban")]:
+    for word, kind in [("@", "at"), ("+", "plus"), *[(d, "digit") for d in "0123456789"], *[(s, "scheme") for s in SCHEMES], *[(c, "cue") for c in CUES], ("iban", "iban")]:
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
@@ -90,30 +91,36 @@ def find_spans(text: str) -> list[Span]:
             out[span[0]].append(span)
             end[span[0]] = span[2]
 
-    for last, (kind, size) in _anchors().iter(text):
+    for last, (kind, size) in _anchors().iter(text.translate(_FOLD)):
         start = last - size + 1
-        if kind == "at":
+        if kind == "digit":
+            # a match that fails its check still uses its characters up
+            if start >= end["ip"]:
+                m = _IP.match(text, start)
+                end["ip"] = (m or _RUN.match(text, start)).end()
+                if m and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                    out["ip"].append(("ip", start, m.end()))
+            if start >= end["card"]:
+                m = _CARD.match(text, start)
+                end["card"] = m.end() if m else start + 1
+                digits = m[0].replace(" ", "").replace("-", "") if m else ""
+                if 16 <= len(digits) <= 19 and luhn(digits):
+                    out["card"].append(("card", start, m.end()))
+        elif kind == "at":
             take(_email(text, start, end["email"]))
         elif kind == "plus":
-            # a match that fails its check still uses its characters up
             if start >= end["phone"] and (m := _PHONE.match(text, start)):
                 end["phone"] = m.end()
                 if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                     out["phone"].append(("phone", start, m.end()))
         elif kind == "scheme":
-            m = _URL.match(text, last + 1)
-            take(("url", start, last + 1 + len(m[0].rstrip(".,;:!?)'"))) if m else None)
+            if start >= end["url"] and (m := _URL.match(text, last + 1)):
+                take(("url", start, last + 1 + len(m[0].rstrip(".,;:!?)'"))))
         elif kind == "cue":
-            m = _SECRET.match(text, last + 1)
-            take(("secret", m.start(1), m.end(1)) if m else None)
+            if start >= end["secret"] and (m := _SECRET.match(text, last + 1)):
+                take(("secret", m.start(1), m.end(1)))
         else:
             take(_iban(text, last + 1))
-    if _DIGITS.search(text):
-        out["ip"] = [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 16 <= len(digits) <= 19 and luhn(digits):
-                out["card"].append(("card", m.start(), m.end()))
     return [s for k in KINDS for s in out[k]]
 
 
