@@ -141,22 +141,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     levels, of = {ORDER: counts}, counts
     for length in range(ORDER - 1, 0, -1):
         of = of.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels[length] = of
+        levels[length] = of = common.materialize(of, f"grams{length}")
     lower = None
     for length in range(1, ORDER + 1):
-        rows = levels[length]
-        seen = rows.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in range(1, 5)], F.count(F.lit(1)).alias("all"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-        def discount(k: int, fallback: float, y: Column = y) -> Column:
-            value = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-            usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0) & (value > 0) & (value < k)
-            return F.when(usable, value).otherwise(F.lit(fallback))
-
-        d = F.when(F.col("n") == 1, discount(1, 0.5)).when(F.col("n") == 2, discount(2, 0.75)).otherwise(discount(3, 0.9))
-        # a context has at most as many rows as there are characters
-        context = Window.partitionBy("lang", F.expr(f"substring(gram, 1, {length - 1})"))
-        weighted = rows.join(seen, "lang").withColumn("d", d).withColumn("total", F.sum("n").over(context)).withColumn("kept", F.sum("d").over(context))
+        weighted = _discounted(levels[length], length)
         own, weight = (F.col("n") - F.col("d")) / F.col("total"), F.col("kept") / F.col("total")
         if lower is None:
             lower = weighted.select("lang", "gram", (own + weight / F.col("all")).alias("p"))
@@ -167,6 +155,24 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower
 
 
+def _discounted(rows: DataFrame, length: int) -> DataFrame:
+    """Rows with their discount ``d``, the ``total`` of their context and its sum ``kept`` of discounts, and ``all`` n-grams of the language."""
+    seen = rows.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in range(1, 5)], F.count(F.lit(1)).alias("all"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+
+    def discount(k: int, fallback: float) -> Column:
+        value = F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
+        usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0) & (value > 0) & (value < k)
+        return F.when(usable, value).otherwise(F.lit(fallback))
+
+    limits = seen.select("lang", "all", discount(1, 0.5).alias("d1"), discount(2, 0.75).alias("d2"), discount(3, 0.9).alias("d3"))
+    limits = common.materialize(limits, f"discounts{length}")
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    # a context has at most as many rows as there are characters
+    context = Window.partitionBy("lang", F.expr(f"substring(gram, 1, {length - 1})"))
+    return rows.join(limits, "lang").withColumn("d", d).withColumn("total", F.sum("n").over(context)).withColumn("kept", F.sum("d").over(context))
+
+
 def hashed(model: DataFrame) -> DataFrame:
     """(key, surprise): the hash of each n-gram with its negative log probability, sorted within parts of the range of hashes."""
 
