@@ -38,8 +38,8 @@ from tidemark.llm import common, textkit
 ORDER = 5
 #: N-grams of a model that is broadcast, at most (12 bytes each).
 MOST_GRAMS = 4_000_000
-#: Distinct n-grams that a task counts before it sends them (about 50 bytes each).
-HELD_GRAMS = 1_000_000
+#: N-grams that a task holds, slice by slice, before it sums them (about 40 bytes each); more than half as many sums are sent.
+HELD_GRAMS = 1_500_000
 #: Rows of a file that ask for their n-grams together, as a power of two.
 BLOCK_BITS = 14
 #: Documents that a size needs for a spread of its own.
@@ -59,16 +59,22 @@ class Rules:
 
 @dataclass
 class Grams:
-    """The n-gram that ends at each character of several texts. ``key`` hashes language and n-gram, ``text_start`` has one entry more than texts."""
+    """The n-gram that ends at each character of several texts. ``code`` tells them apart by language; ``text_start`` has one entry more than texts."""
 
     points: np.ndarray
     at: np.ndarray
-    key: np.ndarray
+    code: np.ndarray
     text_start: np.ndarray
+    salts: np.ndarray
 
-    def spelled(self, which: np.ndarray) -> np.ndarray:
-        """The code points of some of the n-grams, a row each."""
-        return self.points[self.at[which][:, None] + np.arange(ORDER)]
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each character the number of its n-gram; for each different n-gram a text that has it, its code points, and the hash of language and n-gram."""
+        number, own = pd.factorize(self.code)
+        first = np.empty(len(own), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        text = np.searchsorted(self.text_start, first, "right") - 1
+        points = self.points[self.at[first][:, None] + np.arange(ORDER)]
+        return number, text, points, _key(list(points.T), self.salts[text] if len(own) else np.zeros(0, np.uint64))
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -89,44 +95,72 @@ def grams(texts: list[str], langs: list[str]) -> Grams:
     size = np.array([len(t) for t in texts], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
     at = np.arange(start[-1]) + np.repeat(np.arange(len(texts)) * (ORDER - 1), size)
-    names, of = np.unique(np.array(langs, object), return_inverse=True) if langs else ([], np.zeros(0, np.int64))
-    salt = np.repeat(_salts(list(names))[of], size) if len(texts) else np.zeros(0, np.uint64)
-    return Grams(points, at, _key([points[at + i] for i in range(ORDER)], salt), start)
+    tongues = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+    of = np.array([tongues[x] for x in langs], np.int64)
+    # the characters of these texts are few, so that an n-gram is a number
+    there = np.zeros(int(points.max(initial=0)) + 1, bool)
+    there[points] = True
+    few = (np.cumsum(there, dtype=np.uint32) - 1).astype(np.uint64)[points]
+    bits = int(there.sum()).bit_length()
+    packs = ORDER * bits + len(tongues).bit_length() <= 64
+    n = max(len(few) - ORDER + 1, 0)
+    code = few[:n]
+    for i in range(1, ORDER):
+        code = code << np.uint64(bits) | few[i : n + i] if packs else textkit.join(code, few[i : n + i])
+    tongue = np.repeat(of, size).astype(np.uint64)
+    code = code[at] | tongue << np.uint64(ORDER * bits) if packs else textkit.join(code[at], tongue)
+    return Grams(points, at, code, start, _salts(list(tongues))[of] if len(texts) else np.zeros(0, np.uint64))
+
+
+@dataclass
+class Counted:
+    """Distinct n-grams with their hashes, counts, code points and languages."""
+
+    key: np.ndarray
+    n: np.ndarray
+    points: np.ndarray
+    lang: np.ndarray
+
+
+def summed(parts: list[Counted]) -> Counted:
+    key = np.concatenate([p.key for p in parts])
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(np.concatenate([p.n for p in parts])[order], first) if len(key) else np.zeros(0, np.int64)
+    one = order[first]
+    return Counted(key[first], n, np.concatenate([p.points for p in parts])[one], np.concatenate([p.lang for p in parts])[one])
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) of all n-grams of the highest order; each task sums its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, object))
-        key, n, points, lang = empty
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(key), 1 << 16):
-                spelled = points[i : i + (1 << 16)].astype("<u4").tobytes().decode("utf-32-le")
+        tongues: dict[str, int] = {}
+        waiting: list[Counted] = []
+        held = 0
+
+        def out(total: Counted) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(tongues), pa.string())
+            for i in range(0, len(total.n), 1 << 16):
+                spelled = total.points[i : i + (1 << 16)].astype("<u4").tobytes().decode("utf-32-le")
                 part = [spelled[j : j + ORDER] for j in range(0, len(spelled), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array(lang[i : i + (1 << 16)], pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + (1 << 16)])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(total.lang[i : i + (1 << 16)])), pa.array(part, pa.string()), pa.array(total.n[i : i + (1 << 16)])], names=["lang", "gram", "n"])
 
         for batch in common.slices(batches):
             langs = pc.fill_null(batch.column(1), "").to_pylist()
-            found = grams([t or "" for t in batch.column(0).to_pylist()], langs)
-            code, own = pd.factorize(found.key)
-            first = np.empty(len(own), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            times = np.bincount(code, minlength=len(own))
-            i = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
-            known = key[i] == own if len(key) else np.zeros(len(own), bool)
-            n[i[known]] += times[known]
-            fresh = first[~known]
-            doc = np.searchsorted(found.text_start, fresh, "right") - 1
-            key, n = np.concatenate([key, own[~known]]), np.concatenate([n, times[~known]])
-            points, lang = np.concatenate([points, found.spelled(fresh)]), np.concatenate([lang, np.array(langs, object)[doc]])
-            order = np.argsort(key)
-            key, n, points, lang = key[order], n[order], points[order], lang[order]
-            if len(key) > HELD_GRAMS:
-                yield from out()
-                key, n, points, lang = empty
-        yield from out()
+            number, text, points, key = grams([t or "" for t in batch.column(0).to_pylist()], langs).distinct()
+            of = np.array([tongues.setdefault(x, len(tongues)) for x in langs], np.int32)
+            waiting.append(Counted(key, np.bincount(number, minlength=len(key)), points, of[text]))
+            held += len(key)
+            if held > HELD_GRAMS:
+                waiting = [summed(waiting)]
+                held = len(waiting[0].n)
+                if 2 * held > HELD_GRAMS:
+                    yield from out(waiting[0])
+                    waiting, held = [], 0
+        if waiting:
+            yield from out(summed(waiting))
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -174,7 +208,7 @@ def _discounted(rows: DataFrame, length: int) -> DataFrame:
 
 
 def hashed(model: DataFrame) -> DataFrame:
-    """(key, surprise): the hash of each n-gram with its negative log probability, sorted within parts of the range of hashes."""
+    """(key, surprise): the hash of each n-gram with its negative log probability, sorted within parts by hash."""
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "gram"):
@@ -183,7 +217,7 @@ def hashed(model: DataFrame) -> DataFrame:
             salt = _salts(lang.dictionary.to_pylist())[np.asarray(lang.indices)]
             yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(_key(list(points.T), salt))), pa.array(-np.log(np.asarray(batch.column(2))).astype(np.float32))], names=["key", "surprise"])
 
-    return model.select("lang", "gram", "p").mapInArrow(hash_, "key long, surprise float").repartitionByRange(common.partitions(model.sparkSession), "key").sortWithinPartitions("key")
+    return model.select("lang", "gram", "p").mapInArrow(hash_, "key long, surprise float").repartition(common.partitions(model.sparkSession), "key").sortWithinPartitions("key")
 
 
 _SCORED = "row long, doc_id long, lang string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"
@@ -191,10 +225,10 @@ _SCORED = "row long, doc_id long, lang string, n_chars long, n_words long, word_
 
 def _score(rows: list, text: pa.Array, langs: list[str], key: np.ndarray, surprise: np.ndarray, rules: Rules) -> pa.RecordBatch:
     found = grams(text.to_pylist(), langs)
-    code, own = pd.factorize(found.key)
+    number, _, _, own = found.distinct()
     value = surprise[np.searchsorted(key, textkit.signed(own))].astype(np.float64) if len(own) else np.zeros(0)
     size = np.diff(found.text_start)
-    total = np.bincount(np.repeat(np.arange(len(size)), size), value[code], len(size)) if len(code) else np.zeros(len(size))
+    total = np.bincount(np.repeat(np.arange(len(size)), size), value[number], len(size)) if len(number) else np.zeros(len(size))
     counted = counted_rules(text, rules.window)
     return pa.RecordBatch.from_arrays([*rows, pa.array(langs, pa.string()), pa.array(size), *map(pa.array, counted), pa.array(total / np.maximum(size, 1))], names=[c.split()[0] for c in _SCORED.split(", ")])
 
@@ -233,8 +267,7 @@ def _score_by_blocks(rows: DataFrame, model: DataFrame, rules: Rules) -> DataFra
                     yield out()
                     block, held = int(of[part[0]]), held[:0]
                 some = batch.slice(int(part[0]), len(part))
-                found = grams([t or "" for t in some.column(2).to_pylist()], some.column(1).to_pylist())
-                held = np.union1d(held, pd.unique(found.key))
+                held = np.union1d(held, grams([t or "" for t in some.column(2).to_pylist()], some.column(1).to_pylist()).distinct()[3])
         yield out()
 
     asked = rows.select("block", "lang", "text").mapInArrow(ask, "block long, key long")
