@@ -78,6 +78,15 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers or names that are broadcast at most.
+MOST_ROWS = 400_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, written before: broadcast while there are at most ``MOST_ROWS``; with more, Spark joins them as it likes."""
+    return F.broadcast(rows) if rows.count() <= MOST_ROWS else rows
+
+
 def _reads_files(docs: DataFrame) -> bool:
     """Whether ``docs`` has one row for each row of the files that it reads, or fewer."""
     plan = docs._jdf.queryExecution().analyzed().toString().splitlines()

@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join with a token-group matrix, and the components of its links.
 
-Sets. A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one set from then on.
+Sets. A document's set holds the 64-bit hashes of its distinct word shingles; only those of two documents at a time are compared. Documents
+with equal sets, by 128 bits and size, are one set from then on.
 
 Matrix. Take the tokens of all sets in one common order, and of a set of n the first fifth and then m = n // 10 more, at least one.
 Two sets with similarity of 0.8 or more have at least the smaller m of those in common. The order here puts tokens that many
@@ -39,8 +40,8 @@ MORE = 10
 SEEN_HERE, COMMON = 3, 24
 #: Common tokens and set ids that are broadcast at most (8 bytes each). With more, only commoner tokens are; with more sets, they are joined.
 MOST_COMMON, MOST_SETS = 1_000_000, 3_000_000
-#: Rows of a few numbers that are broadcast at most.
-MOST_ROWS = 400_000
+#: Sets that a task knows to have sent, a power of two: the last one with each low part of the hash.
+SENT = 1 << 16
 #: Tokens in a group, about.
 GROUP_TOKENS = 4096
 
@@ -116,14 +117,16 @@ def first_tokens(docs: DataFrame, last: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent = np.zeros(SENT, np.int64)
         for batch in common.slices(batches):
             h, off = shingle_sets(common.texts(batch))
             n = np.diff(off)
             h1, h2 = _set_hashes(h, off)
-            fresh = np.array([x not in sent and not sent.add(x) for x in h1.tolist()], bool)
-            if len(sent) > MOST_SETS:
-                sent.clear()
+            slot = h1 & (SENT - 1)
+            fresh = np.zeros(len(n), bool)
+            fresh[np.unique(h1, return_index=True)[1]] = True
+            fresh &= sent[slot] != h1
+            sent[slot] = h1
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, np.isin(h, shared.value), of))
             size = np.where((n > 0) & fresh, n - (PERCENT * n + 99) // 100 + np.maximum(n // MORE, 1), 0)
@@ -159,17 +162,12 @@ def form_groups(sets: DataFrame, by: str) -> DataFrame:
     return sets.join(total, by, "left").withColumn("g", F.when(F.col("n") >= GROUP_TOKENS, F.xxhash64(F.lit("alone"), "s")).otherwise(F.xxhash64(F.col(by), F.pmod(F.xxhash64("s"), parts)))).drop("total")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Rows of a few numbers, written before: broadcast while there are at most ``MOST_ROWS``; with more, Spark joins them as it likes."""
-    return F.broadcast(rows) if rows.count() <= MOST_ROWS else rows
-
-
 def matrix(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """(t, g, whole, least, most): the tokens of each group's union, and the sizes of the sets that have them. ``whole`` is the component of all members, or null.
 
     It is dealt by the token, so what is grouped and joined by token next needs no other shuffle.
     """
-    placed = entries.join(_few(groups.select("s", "g", "n", "whole")), "s").select("t", "g", "n", "whole")
+    placed = entries.join(common.few(groups.select("s", "g", "n", "whole")), "s").select("t", "g", "n", "whole")
     return placed.repartition(common.partitions(entries.sparkSession), "t").groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
@@ -193,7 +191,7 @@ def open_pairs(pairs: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFr
     """Links (u, v) between the groups of each pair (g1, g2); g1 = g2 opens a group against itself."""
     used = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
     members = common.materialize(groups.select("s", "g", "whole").join(used, "g", "left_semi"), "members")
-    held = tokens.join(_few(members), "s").groupBy("g").agg(F.first("whole").alias("whole"), F.collect_list("s").alias("ids"), F.collect_list("tokens").alias("tokens"))
+    held = tokens.join(common.few(members), "s").groupBy("g").agg(F.first("whole").alias("whole"), F.collect_list("s").alias("ids"), F.collect_list("tokens").alias("tokens"))
     sides = [held.select(F.col("g").alias(f"g{i}"), F.struct("whole", "ids", "tokens").alias(f"side{i}")) for i in (1, 2)]
     rows = pairs.join(sides[0], "g1").join(sides[1], "g2").select("g1", "g2", "side1", "side2")
 
@@ -249,11 +247,10 @@ def compare_groups(left: dict, right: dict, same: bool) -> list[tuple[int, int]]
 def join_similar(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_shingles, component, component_id), one row a document. ``docs`` has ``doc_id`` and ``text``.
 
-    ``row`` is the number that ``monotonically_increasing_id`` gives each row of ``docs``, which so must be read from files or the like;
-    ``component`` is the least row of the component's sets, or null for an empty set.
+    ``row`` is the number that ``common.with_rows`` gives each row of ``docs``; ``component`` is the least row of the component's sets, or null for an empty set.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = common.with_rows(docs.select("doc_id", "text")).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = common.materialize(describe_sets(docs), "described")
     same = ["h1", "h2", "n"]
     sets = common.materialize(described.filter("n > 0").groupBy(*same).agg(F.min("row").alias("s"), F.min("doc_id").alias("least_doc"), F.first("key").alias("key")), "sets")
@@ -264,7 +261,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     # a similar set has at least four fifths of this one's tokens
     concerned = having.groupBy("x").agg(F.count(F.lit(1)).alias("has")).join(sets.withColumn("x", F.xxhash64("h1", "h2")), "x").filter(F.col("has") >= _enough(F.col("n") * PERCENT / 100))
     concerned = common.materialize(concerned.drop("has"), "concerned")
-    entries = common.materialize(having.join(_few(concerned.select("x", "s")), "x").select("t", "s"), "entries")
+    entries = common.materialize(having.join(common.few(concerned.select("x", "s")), "x").select("t", "s"), "entries")
     tokens = common.materialize(set_tokens(docs, concerned), "tokens")
 
     groups = common.materialize(form_groups(concerned.drop("x"), "key").withColumn("whole", F.lit(None).cast("long")), "groups")

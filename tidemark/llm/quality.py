@@ -344,7 +344,7 @@ def _seen_before_or_after(h: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 def bands(sound: DataFrame, rules: Rules) -> DataFrame:
     """(lang, size, middle, reach) of each size that a document of a language has; a row a language and size, some dozens a language."""
-    middle = sound.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
+    middle = common.few(common.materialize(sound.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle")), "middle"))
     deviation = F.percentile_approx(F.abs(F.col("surprise") - F.col("middle")), 0.5, 10_000)
     spread = sound.join(middle, "lang").groupBy("lang", "middle", "size").agg(deviation.alias("deviation"), F.count(F.lit(1)).alias("documents"))
     spread = common.materialize(spread, "spread")
@@ -354,7 +354,7 @@ def bands(sound: DataFrame, rules: Rules) -> DataFrame:
     taken = F.col("of") * F.pow(F.lit(2.0), F.greatest(apart, F.lit(0)) / 2)
     near = spread.join(enough, "lang", "left").groupBy("lang", "middle", "size").agg(F.min_by(taken, F.struct(F.abs(apart), apart)).alias("deviation"))
     reach = F.greatest("deviation", F.lit(rules.least_deviation)) * rules.width
-    return near.select("lang", "size", "middle", reach.alias("reach"))
+    return common.few(common.materialize(near.select("lang", "size", "middle", reach.alias("reach")), "bands"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -362,7 +362,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     scored = common.materialize(score_documents(docs, rules), "scores")
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words"))
     sized = scored.withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int"))
-    found = common.materialize(bands(sized.filter(~F.col("base_failed")), rules), "bands")
+    found = bands(sized.filter(~F.col("base_failed")), rules)
     inside = F.coalesce(F.abs(F.col("surprise") - F.col("middle")) <= F.col("reach"), F.lit(True))
     columns = ("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return sized.join(found, ["lang", "size"], "left").select(*columns, (~F.col("base_failed") & inside).alias("kept"), F.exp("surprise").alias("perplexity"))
