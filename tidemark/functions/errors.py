@@ -18,6 +18,13 @@ def retry_after_seconds(header: Column, now_ms: Column) -> Column:
     return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
 
 
+def error_info(response: Column, now_ms: Column) -> Column:
+    """struct(status, retry_after) of struct(status, headers map): the header by either spelling; nulls where there is nothing."""
+    headers = response["headers"]
+    header = F.coalesce(headers["retry-after"], headers["Retry-After"])
+    return F.struct(response["status"].alias("status"), F.when(header != "", retry_after_seconds(header, now_ms)).alias("retry_after"))
+
+
 def classify_http(status: Column) -> Column:
     return F.when(status == 401, "auth").when(status == 403, "permission").when(status == 404, "notFound").when(status == 429, "rateLimit").otherwise("transient")
 

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import paths
 from tidemark.operators import predicates as p
+from tidemark.operators import stages
 from tidemark.operators.merge import merge_texts
 
+#: Fixed value: what marks a conflict in a merged text.
 MARKER = "[!sync-conflict]"
 #: Fixed value: names that are tried before a time is put in.
 NAMES = 100
@@ -38,14 +40,18 @@ def duplicate(conflicts: DataFrame) -> DataFrame:
 def sibling_names(wanted: DataFrame, taken: DataFrame, now_ms: int = 0) -> DataFrame:
     """(path, duplicate_path): for each path that needs a sibling, the first free name on both sides.
 
-    Names are tried for all paths at once: taken numbers of each stem are looked up by equality. Different paths can't want one name,
-    as a name keeps its path's stem, extension and number.
+    The number is read from each taken name, so one row a name meets the paths; the least gap among a path's numbers is free. Different
+    paths can't want one name, as a name keeps its path's stem, extension and number.
     """
-    candidates = wanted.select("path").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(NAMES)))).withColumn("name", paths.conflict_name(F.col("path"), F.col("n")))
-    free = candidates.join(taken.select(F.col("path").alias("name")).distinct(), "name", "left_anti")
-    first = free.groupBy("path").agg(F.min_by("name", "n").alias("duplicate_path"))
-    fallback = paths.conflict_name(F.col("path"), F.lit(now_ms))
-    return wanted.select("path").distinct().join(first, "path", "left").withColumn("duplicate_path", F.coalesce("duplicate_path", fallback))
+    found = F.regexp_extract(F.col("path"), r"^(.*)\.conflict(?:-([0-9]{1,9}))?(\.[^./]*)?$", 1)
+    number = F.regexp_extract(F.col("path"), r"\.conflict-([0-9]{1,9})(\.[^./]*)?$", 1)
+    rest = F.regexp_extract(F.col("path"), r"\.conflict(?:-[0-9]{1,9})?(\.[^./]*)?$", 1)
+    marked = taken.select("path").filter(F.contains("path", F.lit(".conflict"))).distinct()
+    numbers = marked.select(F.concat(found, rest).alias("of"), F.when(number == "", 1).otherwise(number.try_cast("int")).alias("n"), F.col("path").alias("name"))
+    numbers = numbers.filter(F.col("n").between(1, NAMES) & (paths.conflict_name(F.col("of"), F.col("n")) == F.col("name"))).select(F.col("of").alias("path"), "n")
+    held = wanted.select("path").distinct().join(numbers, "path", "left").groupBy("path").agg(F.collect_set("n").alias("held"))  # at most NAMES
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(NAMES)), "held"))
+    return held.select("path", F.coalesce(paths.conflict_name(F.col("path"), free), paths.conflict_name(F.col("path"), F.lit(now_ms))).alias("duplicate_path"))
 
 
 def resolve(conflicts: DataFrame, taken: DataFrame, texts: DataFrame | None = None, strategy: str = "auto_merge", now_ms: int = 0) -> DataFrame:
@@ -72,9 +78,14 @@ def resolve(conflicts: DataFrame, taken: DataFrame, texts: DataFrame | None = No
 
 
 def audit_rows(resolved: DataFrame, at: int, first_seq: int = 0) -> DataFrame:
-    """Rows for the history, numbered in order of the paths."""
-    number = F.row_number().over(Window.orderBy("path")) + first_seq - 1
-    return resolved.select(number.cast("bigint").alias("seq"), "path", F.col("outcome").alias("action"), "duplicate_path", "has_markers", F.lit(at).cast("bigint").alias("at"))
+    """Rows for the history, numbered in order of the paths: by range, each range after the rows of those before it."""
+    ranged = stages.cut(resolved.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    numbered = ranged.withColumn("place", place).join(F.broadcast(starts), "part")
+    return numbered.select((F.col("before") + F.col("place") - 1 + first_seq).cast("bigint").alias("seq"), "path", F.col("outcome").alias("action"), "duplicate_path", "has_markers", F.lit(at).cast("bigint").alias("at"))
 
 
 def tracked_paths(index: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ def apply_delta(nodes: DataFrame, delta: DataFrame, root: str = "root", reserved
     claim = Window.partitionBy("path").orderBy(F.col("at").desc_nulls_last(), "id")
     ranked = stages.cut(resolved.withColumn("claim", F.row_number().over(claim)))
     losers = ranked.filter("claim > 1").select("id")
-    tracked = _below(inside, losers, keep=False)
-    after = ranked.join(tracked.select("id"), "id", "left_semi")
+    after = ranked.join(tree.reaching(inside, losers, root), "id", "left_anti")
     for r in reserved:
         after = after.filter((F.col("path") != r) & ~F.startswith("path", F.lit(f"{r}/")))
     after = after.filter("path <> ''").select(*nodes.columns, "path")
@@ -56,17 +55,7 @@ def _inside(nodes: DataFrame, root: str) -> DataFrame:
     """Nodes whose chain of parents reaches the root; orphans at the top are kept, as their parents may come later."""
     linked = tree.relevant_parent(nodes, root)
     outside = linked.filter(F.col("parent_id").isNull() & (F.size("parent_ids") > 0) & F.col("at").isNotNull()).select("id")
-    return _below(nodes, outside, keep=False)
-
-
-def _below(nodes: DataFrame, tops: DataFrame, keep: bool) -> DataFrame:
-    """Nodes that are, or aren't, one of ``tops`` or below one, level by level until none is added."""
-    found = level = stages.cut(tops.select("id").distinct())
-    edges = nodes.select("id", F.explode("parent_ids").alias("parent"))
-    while not level.isEmpty():
-        level = stages.cut(edges.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti"))
-        found = found.union(level)
-    return nodes.join(found, "id", "left_semi" if keep else "left_anti")
+    return nodes.join(tree.reaching(nodes, outside, root), "id", "left_anti")
 
 
 @dataclass(frozen=True)
@@ -103,20 +92,46 @@ def classify(changed: DataFrame, cache: DataFrame) -> DataFrame:
     return changed.select("path").distinct().join(cache.select("path").withColumn("there", F.lit(True)), "path", "left").select("path", F.when(F.col("there"), "modified").otherwise("deleted").alias("kind"))
 
 
-def apply_path_delta(cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """The path-addressed form: ``entries`` is (seq, tag, path, ...) where the tag is file, folder or deleted.
+def untrackable(path, reserved: tuple[str, ...] = ()):
+    """Outside of the root (null), the root itself, or reserved."""
+    return path.isNull() | (path == "") | path.isin(*reserved)
+
+
+def apply_path_delta(cache: DataFrame, entries: DataFrame, reserved: tuple[str, ...] = ()) -> Applied:
+    """A whole drained batch of path-addressed entries (seq, tag, id, path, payload) on a cache (path, id, is_directory, payload).
 
-    A deletion takes all below it, but not what the batch puts there; so deletions of claimed paths drop out first.
+    Tags are file, folder or deleted; deleted entries have no id, and others may have none. Upserts come first, then deletions, whatever
+    their order, so a move is one rename. An id that the cache has at another path moves there with all below it, each row with the
+    nearest folder that moved; whatever else stood at the target gives way with all below it. A deletion takes its path and all below,
+    unless an upsert claims the path. An id that moves to a path that isn't tracked is dropped with all below it. ``changed`` tells what
+    the cache has after the batch, and what it has no longer.
     """
-    last = entries.groupBy("path").agg(F.max_by(F.struct(*entries.columns), F.col("seq")).alias("e")).select("e.*")
-    puts = last.filter("tag <> 'deleted'")
-    gone = last.filter("tag = 'deleted'").select("path").join(puts.select("path"), "path", "left_anti")
-    kept = tree.remove_subtrees(cache, gone).join(puts.select("path"), "path", "left_anti")
-    columns = [c for c in cache.columns if c in puts.columns]
-    return kept.unionByName(puts.withColumn("is_directory", F.col("tag") == "folder").select(*dict.fromkeys([*columns, "path", "is_directory"])).select(*[c for c in cache.columns if c in {*columns, "path", "is_directory"}]), allowMissingColumns=True)
-
-
-def drain_order(entries: DataFrame) -> DataFrame:
-    """The order for one-by-one appliers: upserts before deletions, folders first, then by depth."""
-    folder = F.col("tag") == "folder"
-    return entries.orderBy((F.col("tag") == "deleted").cast("int"), (~folder).cast("int"), paths.depth(F.col("path")), "path")
+    kept_columns = ["path", "id", "is_directory", "payload"]
+    last = Window.partitionBy("path").orderBy(F.col("seq").desc())
+    upserts = entries.filter("tag <> 'deleted'")
+    lost_ids = upserts.filter(untrackable(F.col("path"), reserved) & F.col("id").isNotNull()).select("id").distinct()
+    puts = upserts.filter(~untrackable(F.col("path"), reserved)).withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
+    puts = stages.cut(puts.select("path", "id", (F.col("tag") == "folder").alias("is_directory"), "payload"))
+    was = cache.filter("id is not null").select("id", F.col("path").alias("old_path"), F.col("is_directory").alias("was_folder"))
+    renames = stages.cut(puts.filter("id is not null").select("id", F.col("path").alias("new_path")).join(was, "id").filter("old_path <> new_path").select("old_path", "new_path", F.col("was_folder").alias("is_folder")))
+    left = tree.remove_subtrees(cache, cache.join(lost_ids, "id", "left_semi").select("path"))
+    # moved rows are told from those that stand at a target already
+    moved = tree.rewrite_subtrees(left.withColumn("was", F.col("path")), renames.select("old_path", "new_path"))
+    same_place = (F.col("path") == F.col("was")) & F.col("path").isNotNull()
+    targets = puts.select("path", F.col("id").alias("put_id"))
+    evicted = moved.filter(same_place).join(targets, "path").filter(~F.col("id").eqNullSafe(F.col("put_id")) & F.col("id").isNotNull() & F.col("put_id").isNotNull()).select("path")
+    gone_below = moved.filter(same_place).select("path", F.explode(F.array_append(paths.ancestors(F.col("path")), F.col("path"))).alias("top")).join(evicted.select(F.col("path").alias("top")), "top", "left_semi").select("path").distinct().withColumn("evicted", F.lit(True))
+    standing = moved.join(gone_below, "path", "left").filter(F.col("evicted").isNull() | ~same_place).drop("evicted", "was")
+    placed = standing.join(puts.select("path"), "path", "left_anti").dropDuplicates(["path"]).select(*kept_columns).unionByName(puts.select(*kept_columns))
+    deletions = entries.filter("tag = 'deleted'").filter(~untrackable(F.col("path"), reserved)).select("path").join(puts.select("path"), "path", "left_anti")
+    after = stages.cut(tree.remove_subtrees(placed, deletions.join(placed.select("path"), "path", "left_semi")))
+    before, now = cache.select("path", F.struct("id", "is_directory", "payload").alias("a")), after.select("path", F.struct("id", "is_directory", "payload").alias("b"))
+    touched = puts.select("path").withColumn("put", F.lit(True))
+    both = before.join(now, "path", "full").join(touched, "path", "left").filter(F.col("b").isNull() | F.col("a").isNull() | F.col("put") | ~F.col("a").eqNullSafe(F.col("b")))
+    changed = classify(both, after)
+    return Applied(after, changed, renames)
+
+
+def drain_keys(tag, path) -> list:
+    """What one-by-one appliers order a batch by: upserts before deletions, folders first, then by depth."""
+    return [(tag == "deleted").cast("int"), (tag != "folder").cast("int"), paths.depth(path)]

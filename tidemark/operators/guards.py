@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.schema import HISTORY
+
 #: Fixed values.
 DELETION_LIMIT, VELOCITY_LIMIT, VELOCITY_WINDOW = 20, 100, "1 hour"
 LEAST_BASELINE, LEAST_SHARE, HISTORY_CAP = 10, 0.5, 500
@@ -87,3 +90,13 @@ def summary(outcomes: DataFrame, key: str | None = None) -> DataFrame:
 def append_history(history: DataFrame, new: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """The last ``cap`` rows by ``seq``."""
     return history.unionByName(new).orderBy(F.desc("seq")).limit(cap)
+
+
+def load_history(spark, path: str) -> DataFrame:
+    """The stored audit; a history that isn't there, or can't be read, is an empty one."""
+    try:
+        rows = spark.read.schema(HISTORY).json(path)
+        return rows.filter("seq is not null") if not rows.isEmpty() else rows
+    except (AnalysisException, SparkRuntimeException):
+        return spark.createDataFrame([], HISTORY)
+

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import paths
+from tidemark.operators import stages
 from tidemark.operators.predicates import has_hash
 
 EXTRA = "old_path string, is_folder boolean, descendants array<struct<old_path:string,new_path:string>>, needs_pull boolean"
@@ -141,25 +142,37 @@ def refine(plan: DataFrame, local_file_pairs: DataFrame, local_folder_pairs: Dat
     return Rewrite(d.plan, d.remaining, outcome)
 
 
-def collapse_chains(events: DataFrame) -> DataFrame:
-    """(stream_key, new_path, old_path) after following chains of renames in each stream; a chain that comes back to its start is none.
+def chain_steps(events: DataFrame) -> DataFrame:
+    """(stream_key, seq, new_path, source) after each rename of (stream_key, seq, old_path, new_path): where its chain began.
 
-    ``events`` is (stream_key, seq, old_path, new_path). A later rename whose source is an earlier one's target goes on its chain; the
-    fold is in order, so it runs per stream with one row of state for each open chain.
+    A rename goes on the chain of the last earlier one that ended at its source, unless another rename took that end in between. Links
+    are found by one window over the places of a path in a stream, then followed by doubling, so long chains and busy streams need no task
+    of their own.
     """
+    ends = events.select("stream_key", F.col("new_path").alias("at"), "seq", F.lit(1).alias("makes")).unionByName(events.select("stream_key", F.col("old_path").alias("at"), "seq", F.lit(0).alias("makes")))
+    # at one rename a path is taken before one is made
+    along = Window.partitionBy("stream_key", "at").orderBy("seq", "makes")
+    before = ends.withColumn("before", F.when(F.lag("makes").over(along) == 1, F.lag("seq").over(along))).filter("makes = 0").select("stream_key", "seq", "before")
+    state = stages.cut(events.join(before, ["stream_key", "seq"]).select("stream_key", "seq", "new_path", F.col("old_path").alias("source"), F.col("before").alias("up")))
+    # a rename that ends where its chain began closes the chain: what follows begins anew
+    while True:
+        above = state.select("stream_key", F.col("seq").alias("up"), F.col("source").alias("source_above"), F.col("up").alias("next"))
+        joined = state.join(above, ["stream_key", "up"], "left")
+        state = stages.cut(joined.select("stream_key", "seq", "new_path", F.coalesce("source_above", "source").alias("source"), F.col("next").alias("up")))
+        if state.filter("up is not null").isEmpty():
+            return state.select("stream_key", "seq", "new_path", "source")
 
-    def fold(rows):
-        import pandas as pd
 
-        pairs: dict[str, str] = {}
-        for r in rows.sort_values("seq").itertuples():
-            source = pairs.pop(r.old_path, r.old_path)
-            if source != r.new_path:
-                pairs[r.new_path] = source
-        key = rows["stream_key"].iloc[0]
-        return pd.DataFrame({"stream_key": [key] * len(pairs), "new_path": list(pairs), "old_path": list(pairs.values())})
+def collapse_chains(events: DataFrame) -> DataFrame:
+    """(stream_key, new_path, old_path) after following chains of renames in each stream; a chain that comes back to its start is none.
 
-    return events.groupBy("stream_key").applyInPandas(fold, "stream_key string, new_path string, old_path string")
+    ``events`` is (stream_key, seq, old_path, new_path). Only the last rename to a path that no later one took is an open chain.
+    """
+    steps = chain_steps(events)
+    last = steps.groupBy("stream_key", "new_path").agg(F.max("seq").alias("seq"), F.max_by("source", "seq").alias("old_path"))
+    taken = events.groupBy("stream_key", F.col("old_path").alias("new_path")).agg(F.max("seq").alias("taken"))
+    open_ = last.join(taken, ["stream_key", "new_path"], "left").filter(F.col("taken").isNull() | (F.col("taken") < F.col("seq")))
+    return open_.filter("old_path <> new_path").select("stream_key", "new_path", "old_path")
 
 
 def first_of_target(pairs: DataFrame) -> DataFrame:

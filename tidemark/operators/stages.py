@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of a local application that names no shared one.
+_LOCAL: dict[str, str] = {}
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``checkpoint()`` to the folder that the session names; a local session without one gets a temporary folder."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session names for checkpoints; a local session without one gets a temporary one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return rows.checkpoint()
+        root = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[context.applicationId] = root
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back, so that they are computed once and survive lost executors."""
+    path = shared_folder(rows.sparkSession, "cut")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

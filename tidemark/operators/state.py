@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from tidemark.functions import paths
 from tidemark.operators import predicates as p
+from tidemark.operators.schema import ENTITY_FIELDS
 
 
 #: Actions after which a key is agreed on, and those after which it is gone.
@@ -59,6 +64,19 @@ def get_many(baseline: DataFrame, keys: DataFrame) -> DataFrame:
     return baseline.join(keys.select("path").distinct(), "path", "left_semi")
 
 
+def stat(wanted: DataFrame, listing: DataFrame) -> DataFrame:
+    """Each wanted path in its normal form with what the listing has there, null if nothing."""
+    keys = wanted.select(paths.normalize(F.col("path")).alias("path")).distinct()
+    return keys.join(listing.select("path", F.struct(*[c for c in listing.columns if c != "path"]).alias("found")), "path", "left")
+
+
+def read_content(wanted: DataFrame, listing: DataFrame, content: DataFrame) -> DataFrame:
+    """(path, content) of wanted files; one that isn't there, or is a folder, is an error."""
+    found = stat(wanted, listing).join(content.select("path", "content"), "path", "left")
+    missing = F.col("found").isNull() | F.col("found.is_directory") | F.col("content").isNull()
+    return found.select("path", F.when(missing, F.raise_error(F.concat(F.lit("not a file: "), F.col("path")))).otherwise(F.col("content")).alias("content"))
+
+
 def merge_bases(content: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
     """The stored (path, content) after a cycle: kept for what stays and can be merged, replaced for what settled."""
     settled = done.filter(F.col("action").isin(*SETTLED)).select("path", F.coalesce("local.size", F.lit(0)).alias("size")).filter(p.can_merge(F.col("path"), F.col("size")))
@@ -73,8 +91,49 @@ def reconcile_cache(touched: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
     return cache.join(keys, "path", "left_semi"), keys.join(cache.select("path"), "path", "left_anti")
 
 
+def codec_encode(content: Column) -> Column:
+    """One byte of format and the content: deflated where that is shorter, else as it is."""
+    return _encoded(content)
+
+
+def codec_decode(stored: Column) -> Column:
+    """The content behind ``codec_encode``; another format is an error."""
+    return _decoded(stored)
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: None if c is None else _pack(bytes(c)))
+
+
+def _pack(raw: bytes) -> bytes:
+    packer = zlib.compressobj(wbits=-15)
+    short = packer.compress(raw) + packer.flush()
+    return b"\1" + short if len(short) < len(raw) else b"\0" + raw
+
+
+@F.pandas_udf(BinaryType())
+def _decoded(stored: pd.Series) -> pd.Series:
+    def unpack(b: bytes | None) -> bytes | None:
+        if b is None:
+            return None
+        if b[:1] == b"\1":
+            return zlib.decompress(b[1:], wbits=-15)
+        if b[:1] == b"\0":
+            return bytes(b[1:])
+        raise ValueError(f"unknown content format {b[:1]!r}")
+
+    return stored.map(unpack)
+
+
+def after_pull(baseline: DataFrame, pulled: DataFrame, synced_at: int) -> DataFrame:
+    """The baseline after files (path, remote) were written locally with the remote's time."""
+    both = pulled.select("path", F.struct(*[F.lit("").alias(f) if f == "hash" else F.col(f"remote.{f}").alias(f) for f in ENTITY_FIELDS]).alias("local"), "remote")
+    return baseline.join(pulled.select("path"), "path", "left_anti").unionByName(build_records(both, synced_at))
+
+
 class SnapshotStore:
-    """Snapshots under one folder. A version is a folder of Parquet tables and a manifest with the cursor, which is written last.
+    """Snapshots under one folder. A version has Parquet tables, whole or as increments, and a manifest with the cursor, which is written last.
 
     Readers take the highest version with a manifest, so a cycle that dies before it is as if it hadn't run, and the cursor is never
     ahead of the rows. All access goes through Spark, so the folder can be in any store that it reads.
@@ -95,19 +154,58 @@ class SnapshotStore:
         return None if row is None else {**row.asDict(), "tables": json.loads(row["tables"])}
 
     def load(self, table: str) -> DataFrame | None:
+        """The rows of a table: its last whole version with the increments since put on it, the latest word on each key."""
         now = self.current()
-        return self.spark.read.parquet(now["tables"][table]) if now and table in now["tables"] else None
+        if not now or table not in now["tables"]:
+            return None
+        place = now["tables"][table]
+        rows = self.spark.read.parquet(place["base"])
+        if not place["steps"]:
+            return rows
+        steps = None
+        for i, step in enumerate(place["steps"]):
+            part = self.spark.read.parquet(step).withColumn("step_", F.lit(i))
+            steps = part if steps is None else steps.unionByName(part)
+        last = steps.groupBy(place["key"]).agg(F.max_by(F.struct(*steps.columns), "step_").alias("row")).select("row.*")
+        kept = rows.join(last.select(place["key"]), place["key"], "left_anti")
+        return kept.unionByName(last.filter("not gone_").select(*rows.columns))
+
+    def _put(self, places: dict, cursor: str | None, version: int, at: str) -> int:
+        manifest = self.spark.createDataFrame([(version, at, cursor, json.dumps(places))], "version bigint, at string, cursor string, tables string")
+        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifests")
+        return version
 
     def save(self, tables: dict[str, DataFrame], cursor: str | None) -> int:
-        """Write all tables, then the manifest. Tables that aren't given stay as they are."""
+        """Write whole tables, then the manifest. Tables that aren't given stay as they are."""
         now = self.current() or {"version": 0, "tables": {}}
         version, at = now["version"] + 1, uuid.uuid4().hex
         places = dict(now["tables"])
         for name, rows in tables.items():
-            places[name] = f"{self.folder}/data/{version}-{at}/{name}"
-            rows.write.parquet(places[name])
-        manifest = self.spark.createDataFrame([(version, at, cursor, json.dumps(places))], "version bigint, at string, cursor string, tables string")
-        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifests")
-        return version
+            base = f"{self.folder}/data/{version}-{at}/{name}"
+            rows.write.parquet(base)
+            places[name] = {"base": base, "steps": [], "key": None}
+        return self._put(places, cursor, version, at)
 
+    def commit_increment(self, table: str, upserts: DataFrame, deletes: DataFrame, cursor: str | None, key: str = "path", most_steps: int = 20) -> int:
+        """Write only what changed in a table and then the manifest with the cursor. After ``most_steps`` of them the table is written whole."""
+        now = self.current()
+        if not now or table not in now["tables"]:
+            return self.save({table: upserts}, cursor)
+        version, at = now["version"] + 1, uuid.uuid4().hex
+        places = dict(now["tables"])
+        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(upserts.select(key), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
+        step = f"{self.folder}/data/{version}-{at}/{table}"
+        rows.write.parquet(step)
+        places[table] = {"base": places[table]["base"], "steps": [*places[table]["steps"], step], "key": key}
+        self._put(places, cursor, version, at)
+        return self.save({table: self.load(table)}, cursor) if len(places[table]["steps"]) >= most_steps else version
+
+    def has_checkpoint(self) -> bool:
+        now = self.current()
+        return bool(now and now["cursor"])
 
+    def reset_checkpoint(self, *tables: str) -> int:
+        """Forget the cursor and these cached tables, so that the next cycle compares everything; other tables stay."""
+        now = self.current() or {"version": 0, "tables": {}}
+        places = {k: v for k, v in now["tables"].items() if k not in tables}
+        return self._put(places, None, now["version"] + 1, uuid.uuid4().hex)

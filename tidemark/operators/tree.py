@@ -18,46 +18,79 @@ def relevant_parent(nodes: DataFrame, root: str) -> DataFrame:
     return nodes.join(first, "id", "left").withColumn("parent_id", F.when(at_root, F.lit(root)).otherwise(F.col("known_parent"))).drop("known_parent")
 
 
+def _doubled(state: DataFrame, rounds: int = 2) -> DataFrame:
+    """Let every open node take the path of the node that it points at, and point where that one does. Each round doubles the levels that are done."""
+    for _ in range(rounds):
+        above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"))
+        path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat_ws("/", "above", "path"))
+        state = state.join(above, "up", "left").select("id", path.alias("path"), F.col("next").alias("up"))
+    return state
+
+
+def _closed(state: DataFrame) -> DataFrame:
+    """``state`` (id, path, up) once nothing changes: what still points upwards then is in a cycle or below one.
+
+    While a chain to the top is open, a round closes some of its nodes, however long it is.
+    """
+    before = None
+    while before != 0:
+        state = stages.cut(_doubled(state))
+        now = state.filter("up is not null").count()
+        if now == before:
+            break
+        before = now
+    return state
+
+
+def cycle_members(links: DataFrame) -> DataFrame:
+    """(id) of the nodes of ``links`` (id, up) that reach themselves. Each node has one link, and every link leads to a node of ``links``.
+
+    The nodes that others reach in 1, 2, 4, ... steps become fewer until only the cycles are left, each of whose nodes is reached.
+    """
+    size, reached = None, links
+    while True:
+        now = reached.agg(F.count_distinct("up")).first()[0]
+        if now == size:
+            return reached.select(F.col("up").alias("id")).distinct()
+        size = now
+        step = reached.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        reached = stages.cut(reached.join(step, "up").select("id", F.col("next").alias("up")))
+
+
 def resolve_paths(nodes: DataFrame, root: str = "root") -> DataFrame:
-    """(id, path) of each node (id, parent_ids, name). Each round doubles the number of levels that are resolved, until all are.
+    """(id, path) of each node (id, parent_ids, name), of any depth.
 
-    A node whose chain ends outside of the tree has the path from there on. Members of a cycle, and what hangs below one, are cut off at
-    a fixed place: a member of a cycle is its name alone, whatever the input's order.
+    A node whose chain ends outside of the tree has the path from there on. A member of a cycle is its name alone, whatever the input's
+    order, and what hangs below a cycle has the path from the member on.
     """
-    linked = relevant_parent(nodes.select("id", "parent_ids", "name"), root)
+    linked = stages.cut(relevant_parent(nodes.select("id", "parent_ids", "name"), root))
     up = F.when(F.col("parent_id") == root, None).otherwise(F.col("parent_id"))
-    state = linked.select("id", F.col("name").alias("path"), up.alias("up"), F.array("id").alias("seen"), F.lit(False).alias("looped"))
+    state = _closed(linked.select("id", F.col("name").alias("path"), up.alias("up")))
+    looped = state.filter("up is not null").select("id")
+    if looped.isEmpty():
+        return state.select("id", "path")
+    again = linked.join(looped, "id", "left_semi").select("id", F.col("name").alias("path"), F.col("parent_id").alias("up"))
+    members = cycle_members(again.select("id", "up")).withColumn("member", F.lit(True))
+    again = again.join(members, "id", "left").select("id", "path", F.when(F.col("member"), None).otherwise(F.col("up")).alias("up"))
+    return state.filter("up is null").select("id", "path").unionByName(_closed(again).select("id", "path"))
+
+
+def reaching(nodes: DataFrame, tops: DataFrame, root: str = "root") -> DataFrame:
+    """(id) of the nodes that are one of ``tops`` or below one, by the relevant parent, in rounds that double."""
+    linked = relevant_parent(nodes.select("id", "parent_ids"), root)
+    marked = linked.join(tops.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
+    state = marked.select("id", F.when(F.col("parent_id") == root, None).otherwise(F.col("parent_id")).alias("up"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    levels = 1
     while True:
-        above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"), F.col("seen").alias("seen_above"), F.col("looped").alias("looped_above"))
-        joined = state.join(above, "up", "left")
-        # such a node has seen all of the cycle, in the chain's order, and is done
-        cyclic = F.col("looped") | F.coalesce(F.col("looped_above") | F.arrays_overlap("seen", "seen_above"), F.lit(False))
-        state = joined.select(
-            "id",
-            F.when(F.col("above").isNull() | cyclic, F.col("path")).otherwise(F.concat_ws("/", "above", "path")).alias("path"),
-            F.when(cyclic, F.col("up")).otherwise(F.col("next")).alias("up"),
-            F.when(F.col("seen_above").isNull() | F.col("looped"), F.col("seen")).otherwise(F.array_distinct(F.concat("seen", "seen_above"))).alias("seen"),
-            cyclic.alias("looped"),
-        )
+        for _ in range(2):
+            above = state.select(F.col("id").alias("up"), F.col("hit").alias("hit_above"), F.col("up").alias("next"))
+            joined = state.join(above, "up", "left").withColumn("hit", F.col("hit") | F.coalesce("hit_above", F.lit(False)))
+            state = joined.select("id", F.when(~F.col("hit"), F.col("next")).alias("up"), "hit")
+            levels *= 2
         state = stages.cut(state)
-        if state.filter("up is not null and not looped").isEmpty():
-            break
-    return _cut_cycles(linked, state, root)
-
-
-def _cut_cycles(linked: DataFrame, state: DataFrame, root: str) -> DataFrame:
-    """Nodes that still point upwards are in or below a cycle: members get their names, the others the path from the member down."""
-    open_nodes = state.filter("up is not null")
-    # the ids seen upwards repeat inside a cycle; a node is a member if its own chain comes back to it
-    parents = linked.select("id", "parent_id", "name")
-    looped = open_nodes.select("id", "seen").join(parents, "id")
-    is_member = looped.join(looped.select(F.col("id").alias("parent_id"), F.col("seen").alias("parent_seen")), "parent_id").filter(F.array_contains("parent_seen", F.col("id"))).select("id").distinct()
-    fixed = state.join(is_member.withColumn("member", F.lit(True)), "id", "left").join(parents.select("id", "name"), "id")
-    names = parents.select(F.col("id").alias("seen_id"), F.col("name").alias("seen_name"))
-    below = fixed.filter(F.col("up").isNotNull() & F.col("member").isNull()).select("id", F.posexplode("seen").alias("at", "seen_id"))
-    first_member = below.join(is_member.select(F.col("id").alias("seen_id")), "seen_id").groupBy("id").agg(F.min("at").alias("stop"))
-    cut = below.join(first_member, "id").filter(F.col("at") <= F.col("stop")).join(names, "seen_id").groupBy("id").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("at", "seen_name")))), lambda x: x["seen_name"]), "/").alias("cut_path"))
-    return fixed.join(cut, "id", "left").select("id", F.when(F.col("member"), F.col("name")).otherwise(F.coalesce("cut_path", "path")).alias("path"))
+        # a chain, one that runs into a cycle too, has no more levels than there are nodes
+        if state.filter("up is not null").count() < levels:
+            return state.filter("hit").select("id")
 
 
 def children(nodes: DataFrame, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from tidemark.operators import apply, detect, guards, rename, state
+from tidemark.operators import apply, detect, guards, rename, stages
 
 
 @dataclass(frozen=True)
@@ -28,19 +28,43 @@ class Cycle:
     baseline: DataFrame
 
 
-def cold_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:
-    """A full reconciliation. ``renames`` is (local files, local folders, remote pairs). Conflicts stay in the plan and are resolved apart.
-
-    A listing that is too short, against the baseline, raises before anything is planned.
-    """
-    mixed = detect.cold(local, remote, baseline, settings.keep)
-    guards.check_listings(mixed)
+def run(mixed: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:
+    """The cycle from the keys that were found on: plan, rewrite, hold, apply, commit. Conflicts stay in the plan and are resolved apart."""
     if settings.most_bytes is not None:
         mixed = detect.within_size(mixed, settings.most_bytes)
     plan, outcome = rename.widen(detect.plan(mixed)), None
     if renames:
         rewritten = rename.refine(plan, *renames)
         plan, outcome = rewritten.plan, rewritten.outcome
-    split = guards.quarantine(plan, settings.deletion_limit, velocity_tripped)
-    after_local, after_remote = apply.apply_plan(local, remote, split.safe)
+    # the plan is read for each side and the baseline; what it leaves of the sides, for the baseline and by the caller
+    split = guards.quarantine(stages.cut(plan), settings.deletion_limit, velocity_tripped)
+    after_local, after_remote = map(stages.cut, apply.apply_plan(local, remote, split.safe))
     return Cycle(split.safe, split.held, outcome, after_local, after_remote, apply.settle(after_local, after_remote, split.safe, baseline, synced_at))
+
+
+def cold_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:
+    """A full reconciliation. ``renames`` is (local files, local folders, remote pairs).
+
+    A listing that is too short, against the baseline, raises before anything is planned.
+    """
+    mixed = detect.cold(local, remote, baseline, settings.keep)
+    guards.check_listings(mixed)
+    return run(mixed, local, remote, baseline, renames, settings, synced_at, velocity_tripped)
+
+
+def warm_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, told: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:
+    """Local rows against the baseline, and the remote only where its feed ``told`` (path) of changes."""
+    moved = local.sparkSession.createDataFrame([], "old_path string, new_path string") if renames is None else renames[2].select("old_path", "new_path")
+    return run(detect.warm(local, remote, baseline, told, moved, settings.keep), local, remote, baseline, renames, settings, synced_at, velocity_tripped)
+
+
+def hot_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, dirty: DataFrame, told: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:
+    """Only the keys of ``dirty`` (path) and those that the remote feed ``told`` of."""
+    return run(detect.hot(local, remote, baseline, dirty, told, settings.keep), local, remote, baseline, renames, settings, synced_at, velocity_tripped)
+
+
+def approve_held(now: Cycle, synced_at: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(local, remote, baseline) after the deletions that a cycle held were approved: all of them run. Their counts start anew with the next cycle."""
+    held, baseline = stages.cut(now.held), stages.cut(now.baseline)
+    local, remote = map(stages.cut, apply.apply_plan(now.local, now.remote, held))
+    return local, remote, apply.settle(local, remote, held, baseline, synced_at)

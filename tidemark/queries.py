@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark import state_queries
 from tidemark.functions import errors, fingerprint, paths, providers
 from tidemark.operators import apply, conflict, delta, detect, exclude, guards, merge, rename, state, tree
 from tidemark.operators import predicates as p
@@ -228,7 +229,8 @@ def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.when(r == 2, "both\nfirst\n").otherwise("mine\n"), "text", F.lit("\nlast")).alias("local"),
         F.concat(F.when(r == 0, "first\n").when(r == 1, "theirs\n").otherwise("both\nfirst\n"), "text", F.when(r == 1, "\nlast").otherwise("\nchanged")).alias("remote"),
     )
-    return merge.merge_texts(rows).select("path", "merged.success", "merged.has_conflicts", F.sha2(F.col("merged.content"), 256).alias("sha"))
+    found = merge.merge_texts(rows).select("path", "merged.*")
+    return found.select("path", "success", "has_conflicts", F.when(~F.col("has_conflicts"), F.sha2("content", 256)).alias("sha"))
 
 
 def commit_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +295,8 @@ def rename_chain_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def foreground_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("kind") == "view", "departed").when(F.col("kind") == "click", "returned").when(F.col("kind") == "purchase", "cycle")
-    return ev.foreground_triggers(_stream_events(spark, sf_dir).withColumn("kind", kind).filter("kind is not null"))
+    found = ev.foreground_triggers(_stream_events(spark, sf_dir).withColumn("kind", kind).filter("kind is not null"))
+    return found.select("stream_key", F.unix_micros("ts").alias("micros"))
 
 
 def tracked_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,5 +328,5 @@ _ALL = (
     execution_phases, retry_decisions, history_cap, debounce_sessions, session_windows, sliding_velocity, rename_chain_collapse, foreground_triggers,
     tracked_conflicts, drive_entities, dropbox_entities,
 )
-QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
+QUERIES = {f.__name__: f for f in _ALL} | state_queries.QUERIES
+ORACLES = {name: sql for name, sql in (SQL | state_queries.SQL).items() if name in QUERIES}

@@ -5,11 +5,14 @@ Events are (ts, stream_key, kind, path, old_path). State is kept per stream key,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 #: Fixed values.
@@ -61,26 +64,86 @@ def rename_chains(renames: DataFrame) -> DataFrame:
     return renames.groupBy("stream_key").applyInPandasWithState(fold, "stream_key string, new_path string, old_path string", "new_paths array<string>, old_paths array<string>", "update", "NoTimeout")
 
 
+def in_order(events: DataFrame, order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], columns: list[str]) -> DataFrame:
+    """Fold the rows of each stream in order, a batch at a time: ``step`` changes the state of a stream and gives the rows that follow.
+
+    Rows are dealt by stream and sorted, so that a task holds one batch of rows and one stream's state, however long a stream is.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if state is None or row[0] != key:
+                    key, state = row[0], start()
+                out += [(key, *r) for r in step(state, row[1:])]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=target)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    rows = events.select("stream_key", *columns).repartition("stream_key").sortWithinPartitions("stream_key", *order)
+    return rows.mapInArrow(fold, schema)
+
+
+class _Foreground:
+    departed, last = False, None
+
+
 def foreground_triggers(events: DataFrame) -> DataFrame:
     """(stream_key, ts) of cycles that coming back to the foreground starts.
 
     ``events`` has ``kind`` departed, returned or cycle. A return counts once after a departure, and not within the cooldown after a
-    cycle; a return in the cooldown keeps the departure for the next one. Works in batch; the fold needs order by time.
+    cycle; a return in the cooldown keeps the departure for the next one. At one time cycles come first, then departures, then returns.
+    Works in batch.
+    """
+
+    def step(state: _Foreground, row: tuple) -> list[tuple]:
+        ts, kind, _ = row
+        if kind == "departed":
+            state.departed = True
+        elif kind == "cycle":
+            state.last = ts
+        elif state.departed and (state.last is None or ts - state.last >= COOLDOWN_MS * 1000):
+            state.departed, state.last = False, ts
+            return [(ts,)]
+        return []
+
+    place = F.array_position(F.array(*map(F.lit, ("cycle", "departed", "returned"))), F.col("kind"))
+    timed = events.withColumn("micros", F.unix_micros("ts")).withColumn("place", place)
+    found = in_order(timed, ["micros", "place"], "stream_key string, micros long", _Foreground, step, ["micros", "kind", "place"])
+    return found.select("stream_key", F.timestamp_micros("micros").alias("ts"))
+
+
+class _Running:
+    until, again, last = None, False, None
+
+
+def cycles(requests: DataFrame, seconds: int) -> DataFrame:
+    """(stream_key, micros, n): the start of each cycle that requests (ts, kind) cause, where a cycle takes ``seconds``.
+
+    A ``signal`` that comes while a cycle runs is dropped, as that cycle looks at everything anyway. A ``change`` that comes then is
+    remembered, and one more cycle follows at once, whatever the number of changes. ``n`` counts the changes that it answers.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        departed, last, out = False, None, []
-        for ts, kind in zip(*(rows.sort_values("ts")[c] for c in ("ts", "kind")), strict=True):
-            if kind == "departed":
-                departed = True
-            elif kind == "cycle":
-                last = ts
-            elif departed and (last is None or (ts - last).total_seconds() * 1000 >= COOLDOWN_MS):
-                departed, last = False, ts
-                out.append(ts)
-        return pd.DataFrame({"stream_key": [rows["stream_key"].iloc[0]] * len(out), "ts": out}).astype({"ts": rows["ts"].dtype})
-
-    return events.select("stream_key", "ts", "kind").groupBy("stream_key").applyInPandas(fold, "stream_key string, ts timestamp")
+    def step(state: _Running, row: tuple) -> list[tuple]:
+        ts, kind, _ = row
+        out = []
+        if state.until is not None and ts >= state.until and state.again:
+            out.append((state.until, state.again))
+            state.until, state.again = state.until + seconds * 1_000_000, 0
+        if ts is not None and (state.until is None or ts >= state.until):
+            out.append((ts, int(kind == "change")))
+            state.until, state.again = ts + seconds * 1_000_000, 0
+        elif kind == "change":
+            state.again = (state.again or 0) + 1
+        return out
+
+    # after the last request of a stream comes one that only lets what is remembered run
+    far = requests.select("stream_key").distinct().select("stream_key", F.lit(1 << 60).alias("micros"), F.lit("end").alias("kind"), F.lit(3).alias("place"))
+    timed = requests.select("stream_key", F.unix_micros("ts").alias("micros"), "kind", F.when(F.col("kind") == "change", 1).otherwise(2).alias("place"))
+    found = in_order(timed.unionByName(far), ["micros", "place"], "stream_key string, micros long, n long", _Running, step, ["micros", "kind", "place"])
+    return found.filter(F.col("micros") < (1 << 60))
 
 
 def velocity(deletions: DataFrame, late: str = "10 minutes") -> DataFrame:
