@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,16 @@ def test_merges():
     assert not both.success and both.content.startswith("head\nmine\n") and "> theirs" in both.content and both.content.endswith("foot")
     again = merge.three_way("a\nb", "n\na\nb", "n\na\nz")
     assert again.content.count("n") == 1
+    long = ["\n".join(f"{side}{i}" for i in range(20_000)) for side in "abc"]
+    assert not merge.three_way(*long).success
+    rng = random.Random(3)
+    for _ in range(300):
+        base, other = (rng.choices("abcdefgh", k=rng.randrange(12)) for _ in range(2))
+        found, at = [], 0
+        for h in merge.hunks(base, other):
+            found += [*base[at : h.start], *h.lines]
+            at = h.start + h.length
+        assert found + base[at:] == other
     assert "\r\n" in merge.three_way("a\r\nb\r\nc", "x\r\nb\r\nc", "a\r\nb\r\nz").content
 
 
@@ -158,10 +169,78 @@ def test_rename_chains_in_a_stream(spark, tmp_path):
 def test_paths_of_any_depth(spark):
     from tidemark.operators import tree
 
-    deep = [(f"d{i}", [f"d{i - 1}" if i else "root"], f"n{i}") for i in range(150)]
+    deep = [(f"d{i}", [f"d{i - 1}" if i else "root"], f"n{i}") for i in range(1000)]
     cycle = [(f"c{i}", [f"c{(i + 1) % 5}"], f"m{i}") for i in range(5)]
     below = [(f"b{i}", [f"b{i - 1}" if i else "c2"], f"k{i}") for i in range(70)]
     nodes = spark.createDataFrame(deep + cycle + below, "id string, parent_ids array<string>, name string")
-    wanted = {f"d{i}": "/".join(f"n{j}" for j in range(i + 1)) for i in range(150)} | {f"c{i}": f"m{i}" for i in range(5)}
+    wanted = {f"d{i}": "/".join(f"n{j}" for j in range(i + 1)) for i in range(1000)} | {f"c{i}": f"m{i}" for i in range(5)}
     wanted |= {f"b{i}": "/".join(["m2", *(f"k{j}" for j in range(i + 1))]) for i in range(70)}
     assert dict(map(tuple, tree.resolve_paths(nodes).collect())) == wanted
+
+
+def test_nodes_below_others_at_any_depth(spark):
+    from tidemark.operators import tree
+
+    chain = [(f"d{i}", [f"d{i - 1}" if i else "root"]) for i in range(90)]
+    loop = [(f"c{i}", [f"c{(i + 1) % 30}"]) for i in range(30)] + [("t", ["c4"])]
+    nodes = spark.createDataFrame(chain + loop, "id string, parent_ids array<string>")
+    tops = spark.createDataFrame([("d40",), ("c3",)], "id string")
+    assert {r[0] for r in tree.reaching(nodes, tops).collect()} == {f"d{i}" for i in range(40, 90)} | {f"c{i}" for i in range(30)} | {"t"}
+
+
+def test_checkpoints_and_increments(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    rows = lambda *r: spark.createDataFrame(r, "path string, v int")
+    none = spark.createDataFrame([], "path string, v int")
+    assert not store.has_checkpoint()
+    store.save({"cache": rows(("a", 1), ("b", 1), ("c", 1)), "baseline": rows(("a", 0))}, "c1")
+    store.commit_increment("cache", rows(("b", 2), ("d", 2)), rows(("a", 0), ("b", 0)), "c2")
+    store.commit_increment("cache", rows(("a", 3)), rows(("d", 0)), "c3")
+    assert sorted(map(tuple, store.load("cache").collect())) == [("a", 3), ("b", 2), ("c", 1)] and store.current()["cursor"] == "c3"
+    store.commit_increment("cache", none, rows(("c", 0)), "c4", most_steps=3)
+    assert not store.current()["tables"]["cache"]["steps"] and store.load("cache").count() == 2
+    store.reset_checkpoint("cache")
+    assert not store.has_checkpoint() and store.load("cache") is None and store.load("baseline").count() == 1
+
+
+def test_a_history_that_cannot_be_read_is_empty(spark, tmp_path):
+    from tidemark.operators import guards
+
+    assert guards.load_history(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "bad.json").write_text("not json")
+    assert guards.load_history(spark, str(tmp_path / "bad.json")).count() == 0
+    (tmp_path / "good.json").write_text('{"seq": 1, "path": "a", "action": "merged"}')
+    assert guards.load_history(spark, str(tmp_path / "good.json")).first()["path"] == "a"
+
+
+def test_strict_limit_and_missing_content(spark):
+    from pyspark.errors import PySparkException
+
+    from tidemark.operators import guards, state
+
+    plan = spark.createDataFrame([(f"p{i}", "delete_local") for i in range(4)], "path string, action string")
+    with pytest.raises(ValueError):
+        guards.quarantine(plan, 3, strict=True)
+    assert guards.quarantine(plan, 4, strict=True).safe.count() == 4
+    listing = spark.createDataFrame([("a", False), ("d", True)], "path string, is_directory boolean")
+    content = spark.createDataFrame([("a", "x"), ("d", "y")], "path string, content string")
+    for wanted in ("d", "none"):
+        with pytest.raises(PySparkException):
+            state.read_content(spark.createDataFrame([(wanted,)], "path string"), listing, content).collect()
+
+
+def test_requests_for_cycles(spark):
+    rows = [("a", 0, "signal"), ("a", 1, "signal"), ("a", 2, "change"), ("a", 3, "change"), ("a", 25, "signal"), ("b", 5, "change"), ("b", 14, "change")]
+    found = spark.createDataFrame(rows, "stream_key string, s long, kind string").select("stream_key", F.timestamp_seconds("s").alias("ts"), "kind")
+    got = sorted((r[0], r[1] // 1_000_000, r[2]) for r in events.cycles(found, 10).collect())
+    assert got == [("a", 0, 0), ("a", 10, 2), ("a", 25, 0), ("b", 5, 1), ("b", 15, 1)]
+
+
+def test_a_stored_codec_of_another_format_is_an_error(spark):
+    from pyspark.errors import PythonException
+
+    from tidemark.operators import state
+
+    rows = spark.createDataFrame([(b"\x07abc",)], "c binary")
+    with pytest.raises(PythonException):
+        rows.select(state.codec_decode(F.col("c"))).collect()

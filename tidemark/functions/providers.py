@@ -11,6 +11,7 @@ DRIVE = "id string, name string, mimeType string, size string, modifiedTime stri
 DRIVE_CHANGE = f"type string, fileId string, removed boolean, file struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ', 1) for x in DRIVE.split(', ')))}>"
 DROPBOX = "`.tag` string, id string, name string, path_lower string, path_display string, rev string, size bigint, client_modified string, server_modified string, content_hash string"
 ONEDRIVE = "id string, name string, size bigint, parentReference struct<id:string,path:string>, file struct<hashes:struct<quickXorHash:string,sha256Hash:string,sha1Hash:string>>, folder struct<childCount:bigint>, fileSystemInfo struct<lastModifiedDateTime:string>, lastModifiedDateTime string, deleted struct<state:string>"
+#: Fixed value: the type of a folder.
 FOLDER_TYPE = "application/vnd.google-apps.folder"
 
 

@@ -37,12 +37,12 @@ def apply_plan(local: DataFrame, remote: DataFrame, plan: DataFrame) -> tuple[Da
     return out[0], out[1]
 
 
-def settle(local: DataFrame, remote: DataFrame, plan: DataFrame, baseline: DataFrame, synced_at: int) -> DataFrame:
+def settle(local: DataFrame, remote: DataFrame, plan: DataFrame, baseline: DataFrame, synced_at: int, moved: DataFrame | None = None) -> DataFrame:
     """The baseline after the plan, from what both sides have then."""
     done = plan.filter(F.col("action") != "conflict")
-    now = done.select("path", "action", "old_path", "is_folder", "descendants")
+    now = done.select("path", "action", "old_path", "is_folder")
     both = now.join(local.select("path", F.struct(*local.columns).alias("local")), "path", "left").join(remote.select("path", F.struct(*remote.columns).alias("remote")), "path", "left")
-    return state.commit(baseline, both, synced_at)
+    return state.commit(baseline, both, synced_at, moved)
 
 
 def prune(local: DataFrame, plan: DataFrame) -> DataFrame:

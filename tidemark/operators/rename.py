@@ -17,23 +17,26 @@ from tidemark.functions import paths
 from tidemark.operators import stages
 from tidemark.operators.predicates import has_hash
 
-EXTRA = "old_path string, is_folder boolean, descendants array<struct<old_path:string,new_path:string>>, needs_pull boolean"
-_DESCENDANT = "array<struct<old_path:string,new_path:string>>"
+EXTRA = "old_path string, is_folder boolean, descendants bigint, needs_pull boolean"
 
 
 @dataclass(frozen=True)
 class Rewrite:
-    """The plan after a pass, the pairs left for the next one, and what became of each pair: (old_path, new_path, is_folder, reason), reason null if applied."""
+    """The plan after a pass, the pairs left for the next one, and what became of each pair: (old_path, new_path, is_folder, reason), reason null if applied.
+
+    ``moved`` (old_path, new_path) has a row for each file below a renamed folder; the plan's row of the folder has their number.
+    """
 
     plan: DataFrame
     remaining: DataFrame
     outcome: DataFrame
+    moved: DataFrame | None = None
 
 
 def widen(plan: DataFrame) -> DataFrame:
     """Add the columns that only renames fill."""
     have = set(plan.columns)
-    for name, kind in (x.split(" ", 1) for x in ("old_path string", "is_folder boolean", f"descendants {_DESCENDANT}", "needs_pull boolean")):
+    for name, kind in (x.split(" ", 1) for x in EXTRA.split(", ")):
         if name not in have:
             plan = plan.withColumn(name, F.lit(None).cast(kind))
     return plan
@@ -87,15 +90,16 @@ def local_folders(plan: DataFrame, folders: DataFrame, files: DataFrame) -> Rewr
     judged = _ends(inside, plan).withColumn("reason", _local_reason())
     grouped = judged.groupBy("folder", "new_folder").agg(
         F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("file_ordinal"))).alias("reason"),
-        F.array_sort(F.collect_list(F.struct("old_path", "new_path"))).alias("descendants"),
+        F.count(F.lit(1)).alias("descendants"),
     )
     of_pair = folders.select("old_path", "new_path").join(grouped.select(F.col("folder").alias("old_path"), F.col("new_folder").alias("new_path"), "reason", "descendants"), ["old_path", "new_path"], "left")
-    outcome = of_pair.withColumn("reason", F.when(F.col("descendants").isNull(), "no_descendants").otherwise(F.col("reason")))
+    outcome = stages.cut(of_pair.withColumn("reason", F.when(F.col("descendants").isNull(), "no_descendants").otherwise(F.col("reason"))))
     good = outcome.filter("reason is null")
-    consumed = good.select(F.explode("descendants").alias("d")).select("d.*")
+    taken = good.select(F.col("old_path").alias("folder"), F.col("new_path").alias("new_folder"))
+    moved = inside.join(taken, ["folder", "new_folder"], "left_semi").select("old_path", "new_path").distinct()
     added = good.select(F.col("new_path").alias("path"), F.lit("rename_remote").alias("action"), "old_path", F.lit(True).alias("is_folder"), "descendants")
-    left = files.join(consumed.select("new_path").distinct(), "new_path", "left_anti").select(files.columns)
-    return Rewrite(_replace(plan, _both(consumed), added), left, outcome.select("old_path", "new_path", F.lit(True).alias("is_folder"), "reason"))
+    left = files.join(moved.select("new_path").distinct(), "new_path", "left_anti").select(files.columns)
+    return Rewrite(_replace(plan, _both(moved), added), left, outcome.select("old_path", "new_path", F.lit(True).alias("is_folder"), "reason"), moved)
 
 
 def remote_files(plan: DataFrame, pairs: DataFrame, literal: bool = False) -> Rewrite:
@@ -117,16 +121,19 @@ def remote_folders(plan: DataFrame, pairs: DataFrame) -> Rewrite:
     below = plan.select("path", "action", F.col("local").isNotNull().alias("held"), F.explode(paths.ancestors(F.col("path"))).alias("folder"))
     occupied = below.filter("held").select(F.col("folder").alias("new_path")).distinct().withColumn("occupied", F.lit(True))
     gone = below.filter(F.col("action") == "delete_local").select(F.col("folder").alias("old_path"), "path")
-    inside = folders.join(gone, "old_path").groupBy("old_path", "new_path").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("old_path"), paths.rebase(F.col("path"), F.col("old_path"), F.col("new_path")).alias("new_path")))).alias("descendants"))
-    outcome = folders.join(occupied, "new_path", "left").join(inside, ["old_path", "new_path"], "left")
+    inside = folders.join(gone, "old_path")
+    counted = inside.groupBy("old_path", "new_path").agg(F.count(F.lit(1)).alias("descendants"))
+    outcome = folders.join(occupied, "new_path", "left").join(counted, ["old_path", "new_path"], "left")
     crossing = paths.is_hidden(F.col("old_path")) != paths.is_hidden(F.col("new_path"))
-    outcome = outcome.withColumn("reason", F.when(crossing, "cross_regime").when(F.col("occupied"), "destination_occupied").when(F.col("descendants").isNull(), "no_descendants"))
+    outcome = stages.cut(outcome.withColumn("reason", F.when(crossing, "cross_regime").when(F.col("occupied"), "destination_occupied").when(F.col("descendants").isNull(), "no_descendants")))
     good = outcome.filter("reason is null")
-    consumed = _both(good.select(F.explode("descendants").alias("d")).select("d.*")).distinct()
+    absorbed = inside.join(good.select("old_path", "new_path"), ["old_path", "new_path"], "left_semi")
+    moved = absorbed.select(F.col("path").alias("old_path"), paths.rebase(F.col("path"), F.col("old_path"), F.col("new_path")).alias("new_path")).distinct()
+    consumed = _both(moved).distinct()
     added = good.select(F.col("new_path").alias("path"), F.lit("rename_local").alias("action"), "old_path", F.lit(True).alias("is_folder"), "descendants")
     # an end of a file pair that a folder took is gone for the file pass
     left = files.join(consumed.select(F.col("path").alias("old_path")), "old_path", "left_anti").join(consumed.select(F.col("path").alias("new_path")), "new_path", "left_anti").select(files.columns)
-    return Rewrite(_replace(plan, consumed, added), left, outcome.select("old_path", "new_path", F.lit(True).alias("is_folder"), "reason"))
+    return Rewrite(_replace(plan, consumed, added), left, outcome.select("old_path", "new_path", F.lit(True).alias("is_folder"), "reason"), moved)
 
 
 def refine(plan: DataFrame, local_file_pairs: DataFrame, local_folder_pairs: DataFrame, remote_pairs: DataFrame, literal: bool = False) -> Rewrite:
@@ -139,7 +146,7 @@ def refine(plan: DataFrame, local_file_pairs: DataFrame, local_folder_pairs: Dat
     for r, side in ((a, "local"), (b, "local"), (c, "remote"), (d, "remote")):
         rows = r.outcome.withColumn("side", F.lit(side))
         outcome = rows if outcome is None else outcome.unionByName(rows)
-    return Rewrite(d.plan, d.remaining, outcome)
+    return Rewrite(d.plan, d.remaining, outcome, a.moved.unionByName(c.moved))
 
 
 def chain_steps(events: DataFrame) -> DataFrame:
@@ -168,7 +175,12 @@ def collapse_chains(events: DataFrame) -> DataFrame:
 
     ``events`` is (stream_key, seq, old_path, new_path). Only the last rename to a path that no later one took is an open chain.
     """
-    steps = chain_steps(events)
+    events = stages.cut(events.select("stream_key", "seq", "old_path", "new_path"))
+    return open_chains(events, chain_steps(events))
+
+
+def open_chains(events: DataFrame, steps: DataFrame) -> DataFrame:
+    """The chains of ``events`` that are open, from their ``chain_steps``."""
     last = steps.groupBy("stream_key", "new_path").agg(F.max("seq").alias("seq"), F.max_by("source", "seq").alias("old_path"))
     taken = events.groupBy("stream_key", F.col("old_path").alias("new_path")).agg(F.max("seq").alias("taken"))
     open_ = last.join(taken, ["stream_key", "new_path"], "left").filter(F.col("taken").isNull() | (F.col("taken") < F.col("seq")))

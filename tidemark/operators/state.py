@@ -38,17 +38,18 @@ def build_records(sides: DataFrame, synced_at: int) -> DataFrame:
     )
 
 
-def commit(baseline: DataFrame, done: DataFrame, synced_at: int) -> DataFrame:
-    """The next baseline after the actions ``done`` (path, action, old_path, is_folder, descendants, local, remote).
+def commit(baseline: DataFrame, done: DataFrame, synced_at: int, moved: DataFrame | None = None) -> DataFrame:
+    """The next baseline after the actions ``done`` (path, action, old_path, is_folder, local, remote).
 
-    Old rows of touched keys leave by an anti-join, new ones are added. A folder rename rewrites the paths of its descendants.
+    Old rows of touched keys leave by an anti-join, new ones are added. ``moved`` (old_path, new_path) rewrites the paths of files below
+    renamed folders.
     """
     settled = done.filter(F.col("action").isin(*SETTLED) & ~F.coalesce("is_folder", F.lit(False)))
     files = settled.filter(~(F.coalesce("local.is_directory", F.lit(False)) | F.coalesce("remote.is_directory", F.lit(False))) & (F.col("local").isNotNull() | F.col("remote").isNotNull()))
     fresh = build_records(files, synced_at)
     touched = done.select(F.explode(F.array("path", "old_path")).alias("path")).filter("path is not null").distinct()
-    pairs = done.filter(F.coalesce("is_folder", F.lit(False))).select(F.explode("descendants").alias("d")).select("d.*")
-    kept = rewrite_paths(baseline.join(touched, "path", "left_anti"), pairs)
+    kept = baseline.join(touched, "path", "left_anti")
+    kept = kept if moved is None else rewrite_paths(kept, moved)
     return kept.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
 
 

@@ -32,14 +32,14 @@ def run(mixed: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFra
     """The cycle from the keys that were found on: plan, rewrite, hold, apply, commit. Conflicts stay in the plan and are resolved apart."""
     if settings.most_bytes is not None:
         mixed = detect.within_size(mixed, settings.most_bytes)
-    plan, outcome = rename.widen(detect.plan(mixed)), None
+    plan, outcome, moved = rename.widen(detect.plan(mixed)), None, None
     if renames:
         rewritten = rename.refine(plan, *renames)
-        plan, outcome = rewritten.plan, rewritten.outcome
+        plan, outcome, moved = rewritten.plan, rewritten.outcome, rewritten.moved
     # the plan is read for each side and the baseline; what it leaves of the sides, for the baseline and by the caller
     split = guards.quarantine(stages.cut(plan), settings.deletion_limit, velocity_tripped)
     after_local, after_remote = map(stages.cut, apply.apply_plan(local, remote, split.safe))
-    return Cycle(split.safe, split.held, outcome, after_local, after_remote, apply.settle(after_local, after_remote, split.safe, baseline, synced_at))
+    return Cycle(split.safe, split.held, outcome, after_local, after_remote, apply.settle(after_local, after_remote, split.safe, baseline, synced_at, moved))
 
 
 def cold_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False) -> Cycle:

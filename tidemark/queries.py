@@ -99,7 +99,7 @@ def _moved_plan(local: DataFrame, remote: DataFrame, baseline: DataFrame) -> Dat
 
 
 def _result(r: rename.Rewrite) -> DataFrame:
-    actions = r.plan.select("path", "action", "old_path", F.coalesce("is_folder", F.lit(False)).alias("is_folder"), F.coalesce("needs_pull", F.lit(False)).alias("needs_pull"), F.coalesce(F.size("descendants"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("string").alias("reason"))
+    actions = r.plan.select("path", "action", "old_path", F.coalesce("is_folder", F.lit(False)).alias("is_folder"), F.coalesce("needs_pull", F.lit(False)).alias("needs_pull"), F.coalesce("descendants", F.lit(0).cast("bigint")).alias("n"), F.lit(None).cast("string").alias("reason"))
     skipped = r.outcome.filter("reason is not null").select(F.col("new_path").alias("path"), F.lit("skipped").alias("action"), "old_path", "is_folder", F.lit(False).alias("needs_pull"), F.lit(0).cast("bigint").alias("n"), "reason")
     return actions.unionByName(skipped)
 

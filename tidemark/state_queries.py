@@ -325,7 +325,7 @@ def folder_rename_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sources moved; a folder rename rewrites its files' keys, and the files of a source with an edit are settled one by one."""
     *sides, files, folders = fixtures.local_folder_moves(spark, sf_dir)
     moved = rename.local_folders(detect.plan(detect.cold(*sides)), folders, files)
-    return state.commit(sides[2], moved.plan, 5).select("path", "hash")
+    return state.commit(sides[2], moved.plan, 5, moved.moved).select("path", "hash")
 
 
 @_query(

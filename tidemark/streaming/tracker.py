@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import rename
+from tidemark.operators import rename, stages
 
 STATE = "kind string, key string, value string"
 
@@ -32,6 +32,7 @@ def route(events: DataFrame, keep: Column | None = None) -> Routed:
     A rename both of whose ends are in scope is a rename; one with an end out of scope only marks the other one dirty.
     """
     inside = F.lit(True) if keep is None else keep
+    events = stages.cut(events.select("stream_key", "seq", "path", "old_path", "is_folder"))
     ends = events.select("stream_key", "seq", F.explode(F.array_compact(F.array("path", "old_path"))).alias("path"))
     scoped = ends.filter(inside)
     both = events.filter("old_path is not null").join(scoped.select("stream_key", "seq", "path"), ["stream_key", "seq", "path"], "left_semi")
@@ -43,9 +44,10 @@ def route(events: DataFrame, keep: Column | None = None) -> Routed:
 
 def live(routed: Routed) -> DataFrame:
     """The state after all marks. Chains of renames are one pair and mark both ends of each step's chain; folder renames mark nothing."""
-    files, folders = rename.collapse_chains(routed.renames), rename.collapse_chains(routed.folder_renames)
-    steps = rename.chain_steps(routed.renames).filter("source <> new_path")
-    marks = routed.dirty.select("path").union(steps.select(F.explode(F.array("source", "new_path")))).distinct()
+    renames = stages.cut(routed.renames)
+    steps = rename.chain_steps(renames)
+    files, folders = rename.open_chains(renames, steps), rename.collapse_chains(routed.folder_renames)
+    marks = routed.dirty.select("path").union(steps.filter("source <> new_path").select(F.explode(F.array("source", "new_path")))).distinct()
     pair = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("new_path").alias("key"), F.col("old_path").alias("value"))
     return marks.select(F.lit("dirty").alias("kind"), F.col("path").alias("key"), F.lit(None).cast("string").alias("value")).unionByName(pair(files, "rename")).unionByName(pair(folders, "folder_rename"))
 
