@@ -6,8 +6,9 @@ those that stand at two places or more are the seeds.
 
 Extension. Both ways from each seed, all windows of ``length`` words that hold it are candidates. A candidate is a repeat if its
 128-bit hash starts at two places; runs of repeats that follow one another are the maximal repeats. Matching by window instead of by
-pair of places keeps the work linear: a passage with a million copies gives a million rows, not a million squared, and within one
-slice of documents its copies are already one row.
+pair of places keeps the work linear and whole: a passage with a million copies gives a million rows, not a million squared, and no pair
+of copies is left out. Copies in one slice of documents are one row, and a task sends a window twice at most while it remembers it: later
+copies are repeats by then, and two rows tell all other tasks so. A passage in every document thus gives a few rows a task.
 
 Seeds are broadcast while there are at most ``MOST_SEEDS`` of them (8 bytes each); with more, they are joined to the documents by id.
 
@@ -30,6 +31,8 @@ from tidemark.llm import common, textkit
 
 SEED = 12
 MOST_SEEDS = 3_000_000
+#: Windows that a task remembers to have sent, a power of two: the last one with each low part of the hash.
+SENT = 1 << 18
 
 
 def anchors(words: textkit.Words, hashes: np.ndarray, length: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +93,33 @@ def _candidates(words: textkit.Words, hashes: np.ndarray, length: int, seeds: np
     return np.stack([textkit.signed(h1[wanted]), textkit.signed(h2[wanted])], 1), first[wanted]
 
 
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each different hash, and for every row how often its hash occurs."""
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each different hash, the number of its hash for every row, and how often each number occurs."""
     order = np.lexsort((h[:, 1], h[:, 0]))
     s = h[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]).any(1)
-    number = np.cumsum(new) - 1
-    count = np.bincount(number, minlength=0) if len(s) else np.zeros(0, np.int64)
-    often = np.empty(len(s), np.int64)
-    often[order] = count[number]
-    return order[new], often
+    number = np.empty(len(s), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number, np.bincount(number, minlength=int(new.sum()))
+
+
+class Sent:
+    """How often a task has sent a window: a table of a fixed size, where a later window may take an earlier one's place."""
+
+    def __init__(self):
+        self.hash, self.times = np.zeros((SENT, 2), np.int64), np.zeros(SENT, np.int8)
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Which of these different windows have been sent twice; the others are counted as sent now."""
+        slot = h[:, 0] & (SENT - 1)
+        times = np.where((self.hash[slot] == h).all(1), self.times[slot], 0)
+        fresh = times < 2
+        self.hash[slot[fresh]], self.times[slot[fresh]] = h[fresh], times[fresh] + 1
+        return ~fresh
+
+
+_FOUND = "kind tinyint, h1 long, h2 long, row long, start int, stop int"
 
 
 def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -112,40 +131,43 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
     if not broadcast:
         docs = _with_seeds(docs, seeds, length)
 
-    def candidates(batch: pa.RecordBatch) -> tuple[textkit.Words, np.ndarray, np.ndarray, np.ndarray]:
-        words = textkit.split_words(common.texts(batch))
-        own = shared.value if shared else np.unique(np.asarray(batch.column(2).flatten()).astype(np.int64))
-        h, at = _candidates(words, words.hashes(), length, own)
-        return words, h, at, words.text_of_word()[at]
-
-    def seen_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of windows that the same slice of documents repeats."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows that are repeats as far as this task knows (kind 0), and the windows that it sends (kind 1)."""
+        sent = Sent()
         for batch in common.slices(batches):
-            words, h, at, doc = candidates(batch)
-            _, often = _groups(h)
-            at, doc = at[often > 1], doc[often > 1]
-            new = np.ones(len(at), bool)
-            new[1:] = (np.diff(at) != 1) | (np.diff(doc) != 0)
+            words = textkit.split_words(common.texts(batch))
+            own = shared.value if shared else np.unique(np.asarray(batch.column(2).flatten()).astype(np.int64))
+            h, at = _candidates(words, words.hashes(), length, own)
+            doc = words.text_of_word()[at]
+            first, number, times = _groups(h)
+            known = sent.known(h[first])
+            again = (known | (times > 1))[number]
+            here, of = at[again], doc[again]
+            new = np.ones(len(here), bool)
+            new[1:] = (np.diff(here) != 1) | (np.diff(of) != 0)
             begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(at)))
-            start = at[begin] - words.first[doc[begin]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[begin])), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32))], names=["row", "start", "stop"])
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each different window of a slice once."""
-        for batch in common.slices(batches):
-            words, h, at, doc = candidates(batch)
-            first, often = _groups(h)
-            first = np.sort(first)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first, 0]), pa.array(h[first, 1]), batch.column(0).take(pa.array(doc[first])), pa.array((at[first] - words.first[doc[first]]).astype(np.int32))], names=["h1", "h2", "row", "start"])
+            start = here[begin] - words.first[of[begin]]
+            stop = start + np.diff(np.append(begin, len(here)))
+            send = np.sort(first[~known])
+            place = at[send] - words.first[doc[send]]
+            # a run is dealt by chance, as it meets no other row
+            dealt = textkit.signed(textkit.mix((here[begin] + 1).astype(np.uint64)))
+            columns = [
+                np.repeat(np.array([0, 1], np.int8), [len(begin), len(send)]),
+                np.concatenate([dealt, h[send, 0]]),
+                np.concatenate([dealt, h[send, 1]]),
+                None,
+                np.concatenate([start, place]).astype(np.int32),
+                np.concatenate([stop, place + 1]).astype(np.int32),
+            ]
+            rows = batch.column(0).take(pa.array(np.concatenate([of[begin], doc[send]])))
+            yield pa.RecordBatch.from_arrays([rows if c is None else pa.array(c) for c in columns], names=["kind", "h1", "h2", "row", "start", "stop"])
 
     columns = ["row", "text"] if broadcast else ["row", "text", "anchors"]
-    here = docs.select(*columns).mapInArrow(seen_here, "row long, start int, stop int")
-    windows = docs.select(*columns).mapInArrow(sent, "h1 long, h2 long, row long, start int")
-    # one shuffle and one sort; a group has a row for each slice of documents that holds the window, and Spark spills large ones
-    places = windows.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")))
-    there = places.filter("places > 1").select("row", "start", (F.col("start") + 1).alias("stop"))
-    runs = here.unionByName(there).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    # one pass, one shuffle and one sort; a group has a few rows for each task that holds the window, and Spark spills large ones
+    places = docs.select(*columns).mapInArrow(find, _FOUND).withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2", "kind")))
+    repeats = places.filter("kind = 0 or places > 1").select("row", "start", "stop")
+    runs = repeats.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
