@@ -2,8 +2,9 @@
 
 Templates are cut into word k-grams; each hash points to (template, position). All rolling k-gram hashes of a document are joined to
 that table. A hit votes for the diagonal "document position minus template position": a copied template gives one strong diagonal,
-words put in or left out move it by a few. Votes are counted by (document, template, diagonal), neighbouring diagonals whose places
-follow one another are merged to spans, and a span is verified by the share of the template's k-grams it has and by its length.
+words put in or left out move it by a few. Votes are counted by (document, template, diagonal), diagonals with next to no votes go,
+neighbouring ones are merged to spans, and a span is verified by the share of the template's k-grams it has and by its length. Whole
+licences and headers have grams of five words; short notices have grams of two, as they have few.
 
 The template table is fixed text of this module (or the caller's), so its size is known and it is broadcast. A task first drops
 k-grams that no template has; only hits become rows. Hits of one document and template are grouped, never those of a template alone,
@@ -15,7 +16,7 @@ read; a phrase in the base set counts at each of its places, overlapping ones to
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,11 @@ from tidemark.llm import common, textkit
 #: Phrases whose every place counts.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening or notice sentences of well-known public licences, by label.
-TEMPLATES = {
+#: Notices that works carry, by label.
+NOTICES = {
     "mit": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-notice": "this work is licensed under the gnu general public license version 3",
+    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
@@ -42,9 +41,56 @@ TEMPLATES = {
     "public-domain": "this work has been released into the public domain by its author",
 }
 
-K = 2
-#: Diagonals that far apart, at most, are merged; a verified span has this share of its template's k-grams, and this many times its length at most.
-NEAR, SHARE, STRETCH = 3, 0.75, 1.5
+#: Texts and headers of public licences, by label; names of holders and years stand outside.
+TEXTS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+        express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+        by any means.""",
+}
+
+#: Templates as (label, text); a label may have several.
+TEMPLATES = (*NOTICES.items(), *TEXTS.items())
+#: Words of a gram, and of one of a template of fewer than ``SHORT_WORDS`` words.
+K, SHORT_K, SHORT_WORDS = 5, 2, 24
+#: Diagonals that far apart, at most, are merged; one with fewer votes than a ``LEAST`` part of the template's grams is chance.
+NEAR, LEAST = 3, 64
+#: A verified span has this share of its template's grams, and this many times its length at most. A changed word costs as many grams as they are long.
+SHARE, SHORT_SHARE, STRETCH = 0.5, 0.75, 1.5
 
 
 def _hashes(phrases: list[str], k: int) -> list[np.ndarray]:
@@ -79,34 +125,37 @@ def scan_hits(docs: DataFrame, grams: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(scan, "row long, doc_id long, n_words long, hits array<struct<pos:long,k:int,hash:long>>")
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, base: Mapping[str, str] = BASE, k: int = K) -> tuple[DataFrame, DataFrame]:
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, base: Mapping[str, str] = BASE) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): the digest of each row, and the verified spans behind it."""
     spark = docs.sparkSession
-    table, wanted = [], {k: []}
-    phrases, labels = list(base), list(base.values())
-    for phrase, label in zip(phrases, labels, strict=True):
+    table, wanted = [], {}
+    for phrase, label in base.items():
         n = len(phrase.split())
         whole = _hashes([phrase], n)[0]
         wanted.setdefault(n, []).append(whole)
-        table.append((n, int(textkit.signed(whole)[0]), label, True, 0, 1, n))
-    for label, text in templates.items():
+        table.append((n, int(textkit.signed(whole)[0]), -1, label, 0, 1, n))
+    for i, (label, text) in enumerate(templates):
+        n = int(textkit.split_words(pa.array([text], pa.large_string()), textkit.NOT_ALNUM).count[0])
+        k = K if n >= SHORT_WORDS else min(SHORT_K, n)
         grams = _hashes([text], k)[0]
-        wanted[k].append(grams)
-        table += [(k, int(h), label, False, i, len(grams), len(grams) + k - 1) for i, h in enumerate(textkit.signed(grams))]
-    places = spark.createDataFrame(table, "k int, hash long, label string, base boolean, at int, n_grams int, n_words_of int")
+        wanted.setdefault(k, []).append(grams)
+        table += [(k, int(h), i, label, at, len(grams), n) for at, h in enumerate(textkit.signed(grams))]
+    places = spark.createDataFrame(table, "k int, hash long, template int, label string, at int, n_grams int, n_words_of int")
     scanned = common.materialize(scan_hits(docs, {n: np.concatenate(x) for n, x in wanted.items()}), "hits")
     hits = scanned.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     voted = hits.join(F.broadcast(places), ["k", "hash"]).withColumn("diagonal", F.col("pos") - F.col("at"))  # bounded: a row a template word
 
-    found = voted.filter("base").groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_list"))
-    key = ["row", "label", "n_grams", "n_words_of"]
+    found = voted.filter("template < 0").groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_list"))
+    key = ["row", "template", "label", "k", "n_grams", "n_words_of"]
     # a diagonal has one run of places of the template, so (template, diagonal) is a place in the document
-    diagonals = voted.filter(~F.col("base")).groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("start"), (F.max("pos") + k).alias("end"))
-    along = Window.partitionBy("row", "label").orderBy("diagonal")
+    diagonals = voted.filter("template >= 0").groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("start"), (F.max("pos") + F.col("k")).alias("end"))
+    diagonals = diagonals.filter(F.col("votes") * LEAST >= F.col("n_grams"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     island = F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    merged = diagonals.withColumn("island", island).groupBy(*key, "island").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = merged.withColumn("share", F.size("ats") / F.col("n_grams")).filter((F.col("share") >= SHARE) & (F.col("end") - F.col("start") <= F.ceil(F.col("n_words_of") * STRETCH))).select("row", "label", "start", "end", "share")
+    merged = diagonals.withColumn("island", island).groupBy(*key, "island").agg(F.sum("votes").alias("votes"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("end").alias("end"))
+    least = F.when(F.col("n_words_of") >= SHORT_WORDS, F.lit(SHARE)).otherwise(F.lit(SHORT_SHARE))
+    spans = merged.withColumn("share", F.size("ats") / F.col("n_grams")).filter((F.col("share") >= least) & (F.col("end") - F.col("start") <= F.ceil(F.col("n_words_of") * STRETCH))).select("row", "label", "start", "end", "share", "votes")
 
     extra = spans.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("extra_list"), F.max("share").alias("best"))
     none = F.array().cast("array<string>")
