@@ -5,7 +5,8 @@ with equal sets, by 128 bits and size, are one set from then on.
 
 Matrix. Take the tokens of all sets in one common order, and of a set of n the first fifth and then m = n // 10 more, at least one.
 Two sets with similarity of 0.8 or more have at least the smaller m of those in common. The order here puts tokens that many
-documents share last (found with one count over all documents; it affects the work, never the result). Tokens that only one set has
+documents share last, the commonest at the very end (found with one count over all documents; it affects the work, never the result), so
+that boilerplate brings together only documents that hold little else. Tokens that only one set has
 there are dropped, and then sets that have too few left. The others are partitioned into groups of similar ones of a bounded size,
 and the matrix has an entry for each token that a group's union holds, with the sizes of the sets behind it.
 
@@ -72,8 +73,8 @@ def _text(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").alias("text"))
 
 
-def common_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens that many documents hold, ascending."""
+def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many documents hold, ascending, and the place of each among them from the rarest."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -85,7 +86,12 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
     least = COMMON
     while counts.filter(F.col("n") >= least).count() > MOST_COMMON:
         least *= 2
-    return np.sort(counts.filter(F.col("n") >= least).select("t").toArrow()["t"].to_numpy().view(np.uint64))
+    held = counts.filter(F.col("n") >= least).toArrow()
+    tokens, n = held["t"].to_numpy().view(np.uint64), held["n"].to_numpy()
+    place = np.empty(len(tokens), np.int64)
+    place[np.lexsort((tokens, n))] = np.arange(len(tokens))
+    order = np.argsort(tokens)
+    return tokens[order], place[order]
 
 
 def _set_hashes(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +118,8 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     return _text(docs, "row", "doc_id").mapInArrow(describe, "row long, doc_id long, n long, h1 long, h2 long, key long")
 
 
-def first_tokens(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """(t, h1, h2): the first tokens of each set, in the order by hash with the tokens of ``last`` at the end. Equal sets of a task are sent once."""
+def first_tokens(docs: DataFrame, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(t, h1, h2): the first tokens of each set, in the order by hash with the tokens of ``last`` at the end, the commonest last. Equal sets of a task are sent once."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +134,12 @@ def first_tokens(docs: DataFrame, last: np.ndarray) -> DataFrame:
             fresh &= sent[slot] != h1
             sent[slot] = h1
             of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, np.isin(h, shared.value), of))
+            tokens, place = shared.value
+            rank = np.zeros(len(h), np.int64)
+            if len(tokens):
+                i = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+                rank = np.where(tokens[i] == h, place[i] + 1, 0)
+            order = np.lexsort((h, rank, of))
             size = np.where((n > 0) & fresh, n - (PERCENT * n + 99) // 100 + np.maximum(n // MORE, 1), 0)
             head = np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(size, n)
             yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h[order][head])), pa.array(h1[of[head]]), pa.array(h2[of[head]])], names=["t", "h1", "h2"])
@@ -165,10 +176,10 @@ def form_groups(sets: DataFrame, by: str) -> DataFrame:
 def matrix(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """(t, g, whole, least, most): the tokens of each group's union, and the sizes of the sets that have them. ``whole`` is the component of all members, or null.
 
-    It is dealt by the token, so what is grouped and joined by token next needs no other shuffle.
+    Entries are summed by token and group before anything is dealt by the token alone, so a token of many sets in few groups is few rows.
     """
     placed = entries.join(common.few(groups.select("s", "g", "n", "whole")), "s").select("t", "g", "n", "whole")
-    return placed.repartition(common.partitions(entries.sparkSession), "t").groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return placed.groupBy("t", "g").agg(F.first("whole").alias("whole"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def _enough(smaller: Column) -> Column:
