@@ -6,6 +6,10 @@ pieces go to the class, among those with room in every dimension, that vector be
 what stays free in it. The plan is a short list of (contents, number of sequences); every piece then finds its sequence by its
 rank among the pieces of its length, which needs one equi-join with that list.
 
+In sequences of ``tokens`` pieces of at most as many tokens, the squares of the lengths never add up to more than ``tokens`` squared, so the
+default limits on documents and attention leave the fewest sequences alone. They bind where sequences are longer than pieces, or
+documents are limited, as in the second packing that the query gives.
+
 Defined results: a null text is an empty one, and has the end id alone; ids may be null or repeat, each row is packed; an empty
 table gives no pieces; other columns are not read.
 """
@@ -13,7 +17,7 @@ table gives no pieces; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -108,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity) ->
 
         encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(most + 1, np.int64)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=encoder):
             ids, offsets = encoder.encode_with_end(common.texts(batch), end_id)
             ids, n = ids.astype("<u4"), np.diff(offsets)
             count = (n + most - 1) // most
@@ -131,24 +135,41 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 2, capacity: Capacity = Capacity()) -> DataFrame:
-    """One row a piece with its sequence and its place there."""
-    spark = docs.sparkSession
-    cut = common.materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+def place(rows: DataFrame, cut: DataFrame, capacity: Capacity, prefix: str = "") -> DataFrame:
+    """Add ``sequence_id`` and ``offset``, with ``prefix``, to the pieces; ``cut`` is the table of them that was written."""
+    spark = cut.sparkSession
     counts = cut.groupBy("length", "part").agg((F.max("rank_in_part") + 1).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity.tokens rows
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
     planned = slots(plan(histogram, capacity))
-    places = spark.createDataFrame(planned or [(0, 0, 0, 1, 0, 0)], "length long, first_rank long, n_rank long, each long, first_sequence long, first_offset long")
+    places = spark.createDataFrame(planned or [(0, 0, 0, 1, 0, 0)], "slot_length long, first_rank long, n_rank long, each long, first_sequence long, first_offset long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.col("before") + F.col("rank_in_part")
-    ranked = cut.join(first, ["length", "part"]).withColumn("rank", rank)
+    ranked = rows.join(first, ["length", "part"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
     at = F.col("rank") - F.col("first_rank")
     # bounded: by the number of distinct lengths, as equal pieces of a pattern are one row
-    placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (at >= 0) & (at < F.col("n_rank")))
-    sequence, offset = F.col("first_sequence") + F.floor(at / F.col("each")), F.col("first_offset") + at % F.col("each") * places["length"]
-    return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
+    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("slot_length")) & (at >= 0) & (at < F.col("n_rank")))
+    sequence, offset = F.col("first_sequence") + F.floor(at / F.col("each")), F.col("first_offset") + at % F.col("each") * F.col("length")
+    return placed.select(*rows.columns, sequence.alias(f"{prefix}sequence_id"), offset.alias(f"{prefix}offset"))
+
+
+RESULT = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 2, capacity: Capacity = Capacity(), also: Mapping[str, Capacity] | None = None) -> DataFrame:
+    """One row a piece with its sequence and its place there. Documents are cut for ``capacity``.
+
+    ``also`` packs the same pieces under other capacities, none of them too small for a piece, into columns with these prefixes.
+    """
+    cut = packed = common.materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+    for prefix, other in {"": capacity, **(also or {})}.items():
+        packed = place(packed, cut, other, prefix)
+    return packed.select(*RESULT, *(f"{prefix}{c}" for prefix in also or () for c in ("sequence_id", "offset")))
+
+
+#: Sequences of twice the length, where documents and attention have limits too.
+LONG = Capacity(tokens=2048, documents=12, attention=3 * 1024 * 1024 // 2)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), vocabulary=vocabulary_path("byte_bpe_50k.json"))
+    """The fewest sequences of 1024 tokens; and the same pieces in long sequences, in which all three capacities bind."""
+    return pack(common.table(spark, sf_dir, "documents"), vocabulary=vocabulary_path("byte_bpe_50k.json"), also={"long_": LONG})
