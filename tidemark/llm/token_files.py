@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
         from pyspark import TaskContext
 
         encoder, part, before = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=encoder):
             ids, offsets = encoder.encode_with_end(common.texts(batch), end_id)
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
@@ -52,9 +52,11 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
             before += int(offsets[-1])
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    writer = ranged.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("maxRecordsPerFile", 0)
+    rows = common.with_rows(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")))
+    # rows of one id, or of none, are dealt by their texts and places too, so many of them are no single part
+    order = ("doc_id", F.xxhash64("text"), "row")
+    ranged = rows.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    writer = ranged.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("maxRecordsPerFile", 0)
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.writer.version", "PARQUET_2_0")
     for column in ("doc_id", "start_in_part", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
