@@ -62,6 +62,59 @@ def licenses(rows):
     return out
 
 
+def license_spans(text, templates):
+    """(label, start, end, share) of each copy of a template: a plain count of equal grams on each diagonal."""
+    w = ALNUM.findall(lower(text or ""))
+    out = []
+    for label, template in templates:
+        t = ALNUM.findall(lower(template))
+        k, least = (5, 0.5) if len(t) >= 24 else (min(2, len(t)), 0.75)
+        grams = len(t) - k + 1
+        hits, places = {}, {}
+        for j in range(grams):
+            places.setdefault(tuple(t[j : j + k]), []).append(j)
+        for i in range(len(w) - k + 1):
+            for j in places.get(tuple(w[i : i + k]), ()):
+                hits.setdefault(i - j, []).append((i, j))
+        group = []
+        for d in [*sorted(d for d in hits if 64 * len(hits[d]) >= grams), None]:
+            if group and (d is None or d - group[-1] > 3):
+                held = [p for g in group for p in hits[g]]
+                start, end, share = min(i for i, _ in held), max(i for i, _ in held) + k, len({j for _, j in held}) / grams
+                if share >= least and end - start <= math.ceil(len(t) * 1.5):
+                    out.append((label, start, end, share))
+                group = []
+            group.append(d)
+    return out
+
+
+def folded(text):
+    """Words without edge marks and case; those without anything else are left out."""
+    found = [w.strip("\"'()[]{}<>.,;:!?¿¡…") for w in SPACED.findall(text)]
+    return [w.lower() for w in found if w]
+
+
+def stands_in(item, text):
+    return any(text[i : i + len(item)] == item for i in range(len(text) - len(item) + 1) if text[i] == item[0])
+
+
+def covered(item, text):
+    """The most words of the item that stand in order in one stretch of the text of at most one and a half times its length."""
+    best, size = 0, len(item) * 3 // 2 + 4
+    wanted = set(item)
+    for start in range(0, max(len(text) - size // 2, 1), max(size // 2, 1)):
+        part = text[start : start + 2 * size]
+        if sum(w in wanted for w in part) <= best:
+            continue
+        row = [0] * (len(part) + 1)
+        for w in item:
+            before = 0
+            for j, x in enumerate(part, 1):
+                before, row[j] = row[j], max(row[j], row[j - 1], before + (w == x))
+        best = max(best, row[-1])
+    return best
+
+
 def token_counts(rows, path, limit=4096):
     import sentencepiece
 

@@ -7,10 +7,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import SparkSession
 
+from tidemark.llm.licenses import TEXTS
+
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977} and w{i % 31}." for i in range(40_000))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
 
+LICENSE = TEXTS["mit"]
+
 
 def thue_morse(levels: int) -> tuple[str, str]:
     """Two words of as many bytes, over the same two letters, that polynomials modulo a power of two can't tell apart."""
@@ -55,6 +59,9 @@ def awkward() -> list[tuple]:
         (9024, f"{one} {one} {other}", "en", "s9"),
         (9025, f"{one} {other} {other}", "en", "s9"),
         (9026, "API_Key: abcdefghijklmnop99 HTTPS://a.example/b, Iban de89 3704 0044 0532 0130 00 tel +49 30 1234567.", "en", "s9"),
+        (9028, "Notes. " + LICENSE + " The end.", "en", "s9"),
+        (9029, "Notes. " + LICENSE.replace("free of charge", "at no cost at all").replace("sublicense", "lend"), "en", "s9"),
+        (9030, LICENSE[:300] + " and so on", "en", "s9"),
         (9027, "http://" * 3000 + "x@" * 3000 + "1.1" * 2000, "en", "s9"),
     ]
 

@@ -6,9 +6,10 @@ from collections import defaultdict
 
 import brute
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
-from tidemark.llm import queries
+from tidemark.llm import licenses, oracle_sql, queries
 
 QUERIES = queries()
 
@@ -38,9 +39,12 @@ def test_substring_dedup(spark, sf_dir, rows):
 
 def test_license_scans(spark, sf_dir, rows):
     same(collected(spark, "op3_license_scans", sf_dir, "doc_id n_words n_base first_word last_word base_labels"), brute.licenses(rows))
-    for _, base, every, score in collected(spark, "op3_license_scans", sf_dir, "doc_id base_labels labels score"):
-        assert {*filter(None, base.split(","))} <= {*filter(None, every.split(","))}
-        assert every == ",".join(sorted(set(filter(None, every.split(","))))) and 0 <= score <= 1
+    wanted = []
+    for r, base in zip(rows, brute.licenses(rows), strict=True):
+        spans = brute.license_spans(r[1], licenses.TEMPLATES)
+        labels = sorted({*filter(None, base[-1].split(",")), *(s[0] for s in spans)})
+        wanted.append((r[0], ",".join(labels), 1.0 if base[2] else max((s[3] for s in spans), default=0.0)))
+    same(collected(spark, "op3_license_scans", sf_dir, "doc_id labels score"), wanted)
 
 
 def test_token_counts(spark, sf_dir, rows):
@@ -113,6 +117,42 @@ def test_packing(spark, sf_dir, rows):
         assert at <= 1024
     fewest = -(-sum(r[3] for r in got) // 1024)
     assert len(of) <= 1.02 * fewest + 2
+    # the long sequences keep all three capacities, and each binds somewhere
+    held = defaultdict(list)
+    for length, sequence, offset in collected(spark, "op10_packing", sf_dir, "length long_sequence_id long_offset"):
+        held[sequence].append((offset, length))
+    for x in held.values():
+        assert [a for a, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))]
+        assert sum(n for _, n in x) <= 2048 and len(x) <= 12 and sum(n * n for _, n in x) <= 3 * 1024 * 1024 // 2
+    assert any(len(x) == 12 for x in held.values())
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, name):
+    """The whole table of the driver against the query's SQL."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    answer = db.execute(oracle_sql()[name])
+    columns = [c[0] for c in answer.description]
+    found = QUERIES[name](spark, folder)
+    assert sorted(found.columns) == sorted(columns)
+    same([tuple(r) for r in found.select(*columns).collect()], answer.fetchall())
+
+
+def test_benchmark_decontamination(spark, sf_dir, rows):
+    """The whole table: each item that stands in a text word for word is found, and each found item is covered in order by a plain alignment."""
+    items = pq.read_table(f"{sf_dir}/benchmark.parquet").to_pydict()
+    words = {i: brute.folded(t or "") for i, t in zip(items["item_id"], items["text"], strict=True)}
+    got = collected(spark, "op8_benchmark_decontamination", sf_dir, "doc_id item_ids")
+    found = {(d, int(i)) for d, ids in got for i in ids.split(",")}
+    texts = {r[0]: brute.folded(r[1] or "") for r in rows if r[0] is not None}
+    literal = {(d, i) for d, t in texts.items() for i, w in words.items() if w and brute.stands_in(w, t)}
+    assert literal <= found
+    for d, i in found:
+        assert brute.covered(words[i], texts[d]) >= 0.5 * len(words[i]), (d, i)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -131,6 +131,16 @@ def test_token_files_are_read_selectively(spark, sf_dir):
     meta = [pq.ParquetFile(p).metadata for p in Path(path).glob("*.parquet")]
     column = next(m.row_group(0).column(4) for m in meta if m.num_rows)
     assert any("DICT" in e for e in column.encodings) and column.has_offset_index
+    for at in (0, 2, 3):
+        column = next(m.row_group(0).column(at) for m in meta if m.num_rows)
+        assert "DELTA_BINARY_PACKED" in column.encodings and not any("DICT" in e for e in column.encodings), column.path_in_schema
+
+
+def test_many_rows_without_an_id_are_several_parts(spark, tmp_path):
+    docs = common.materialize(spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('text ', id % 7) text"), "docs")
+    token_files.write_token_files(docs, str(tmp_path / "t"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = [r["count"] for r in token_files.read_token_files(spark, str(tmp_path / "t")).groupBy("part").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 4 and max(sizes) < 2000
 
 
 def canonical_pair(spark, item: str, text: str) -> list:

@@ -1,11 +1,34 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
+
+The others depend on tokenizers, on a language model's logarithms, on checksums that DuckDB hasn't, or on regular expressions' places.
+"""
 
 from __future__ import annotations
 
+_WORDS = r"[^\x20\x09-\x0D]+"
 
-def _rendezvous(shards: int) -> str:
-    score = "-1.0 / ln((('0x' || md5(k || '/' || s)[1:12])::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
-    return f"(SELECT arg_max(s, ({score}, -s)) FROM range({shards}) r(s))"
+#: Windows of 35 words as text: a word holds no space, so one space between words tells all sequences apart.
+_SUBSTRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN again USING (s)),
+places AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(coalesce(ps, [])) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN places USING (r)
+"""
 
+_JACCARD = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT u, v FROM shared JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT u, v FROM link UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v),
+least AS (SELECT u AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = v GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, c), doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)
+"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_substring_dedup": _SUBSTRINGS, "op6_ngram_jaccard_join": _JACCARD}
