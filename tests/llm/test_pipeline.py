@@ -58,6 +58,20 @@ def test_run_is_its_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(staged(spark, sf_dir)[-1])
 
 
+def test_an_empty_table_gives_an_empty_one(spark, empty_dir):
+    for (name, _), rows in zip(corpus_pipeline.STAGES, staged(spark, empty_dir), strict=True):
+        assert rows == [], name
+
+
+def test_components_of_chains_and_of_nothing(spark):
+    from tidemark.llm.components import components
+
+    links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (103, 103)]
+    found = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_repeated_and_null_ids_are_rows_of_their_own(spark):
     good = " ".join(f"word{i} of the long story" for i in range(60))
     docs = spark.createDataFrame([(1, good, "en"), (1, "too short", "en"), (None, good + " more", "en"), (None, "short", "en")], "doc_id long, text string, lang string")

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, each a grouped minimum and a join on the node."""
+"""Connected components by alternating large-star and small-star steps, each a grouped minimum and a join on the node.
+
+Defined results: links either way, repeated links and links of a node with itself are allowed; a node that is linked with itself alone has no
+row; no links give no rows.
+"""
 
 from __future__ import annotations
 
