@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered; beyond that all are forgotten, so memory stays bounded.
-REMEMBER = 700_000
+#: Bytes of pieces that a worker remembers, by an estimate; beyond that all are forgotten.
+REMEMBER_BYTES = 128 << 20
+#: What a remembered piece needs besides its characters and ids: the string, its entry and its places.
+PIECE_BYTES = 180
 #: White space apart from single spaces and line feeds between other characters.
 _IRREGULAR = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -56,7 +58,7 @@ class Encoder:
         self.spaced[[i for t, i in self.library.get_vocab().items() if t[:1] == "Ġ"]] = True
         special = "|".join("".join(f"\\x{{{ord(c):X}}}" for c in t["content"]) for t in said.get("added_tokens", []) if t["content"])
         self.irregular = f"{_IRREGULAR}|{special}" if special else _IRREGULAR
-        self._forget()
+        self.forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,6 +81,7 @@ class Encoder:
     def _add(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray | None) -> None:
         end = np.array([len(ids)]) if end is None else end
         n = len(self.place)
+        self.held += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + 8 * len(ids)
         self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         while n + len(pieces) > len(self.at):
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
@@ -91,8 +94,8 @@ class Encoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where the pieces stand in ``at`` and ``size``."""
-        if len(self.place) > REMEMBER:
-            self._forget()
+        if self.held > REMEMBER_BYTES:
+            self.forget()
         found = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(found < 0)):
             fresh = [pieces[i] for i in new]
@@ -100,7 +103,13 @@ class Encoder:
             found[new] = np.fromiter(map(self.place.__getitem__, fresh), np.int64, len(fresh))
         return found
 
-    def _forget(self) -> None:
+    @classmethod
+    def release(cls) -> None:
+        """Drop all of it, vocabularies included, as another operator has come to this worker."""
+        cls._made.clear()
+
+    def forget(self) -> None:
+        self.held = 0
         self.place: dict[str, int] = {}
         self.at, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 

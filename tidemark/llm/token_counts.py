@@ -32,8 +32,8 @@ from tidemark.llm.encoder import vocabulary_path
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 16
-#: Remembered segments and states; beyond that they are compiled anew, so memory stays bounded.
-SEGMENTS, STATES = 600_000, 200_000
+#: Remembered segments, the characters of the longest, and transitions; beyond that they are counted and compiled anew, so memory stays bounded.
+SEGMENTS, LONGEST, TRANSITIONS = 500_000, 64, 400_000
 
 
 class State(NamedTuple):
@@ -69,7 +69,7 @@ class Transducer:
         #: Else every text goes to the library.
         self.usable = plain and model.trainer_spec.byte_fallback and model.trainer_spec.model_type == 2 and spec.name == "identity" and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p in self.score)
         self.begins = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
-        self.apart = lru_cache(1 << 18)(self._apart)
+        self.apart = lru_cache(1 << 17)(self._apart)
         self.segments: dict[str, int] = {}
         self._forget()
 
@@ -79,6 +79,12 @@ class Transducer:
         self.number: dict[State, int] = {self.states[0]: 0}
         #: For each state: character -> (next state, change in emitted tokens).
         self.transitions: list[dict[str, tuple[int, int]]] = [{}]
+        self.compiled = 0
+
+    @classmethod
+    def release(cls) -> None:
+        """Drop all of it, as another operator has come to this worker."""
+        cls._made.clear()
 
     def _merged(self, text: str) -> list[str]:
         """The definition: merge the best-scored neighbours, the leftmost of equals, until none is a piece."""
@@ -115,9 +121,9 @@ class Transducer:
             return len(self._merged(segment)) if len(segment) < 24 and all(c in self.score for c in segment) else self._by_library(segment)
         if not segment.strip(MARK):
             return self._by_library(segment)
-        state, total, transitions = 0, 0, self.transitions
+        state, total = 0, 0
         for char in segment:
-            found = transitions[state].get(char)
+            found = self.transitions[state].get(char)
             if found is None:
                 found = self._compile(state, char)
             state, change = found
@@ -125,28 +131,39 @@ class Transducer:
         return total
 
     def _compile(self, state: int, char: str) -> tuple[int, int]:
-        target, change = self._step(self.states[state], char)
-        number = self.number.setdefault(target, len(self.states))
+        source = self.states[state]
+        target, change = self._step(source, char)
+        self.compiled += 1
+        if self.compiled > TRANSITIONS:  # the state that is read from is the first one known again
+            self._forget()
+            state = self._number(source)
+        self.transitions[state][char] = found = (self._number(target), change)
+        return found
+
+    def _number(self, state: State) -> int:
+        number = self.number.setdefault(state, len(self.states))
         if number == len(self.states):
-            self.states.append(target)
+            self.states.append(state)
             self.transitions.append({})
-        self.transitions[state][char] = found = (number, change)
-        return found
+        return number
 
     def _by_library(self, segment: str) -> int:
         """A segment that begins with a mark; the library puts one in front itself."""
         return len(self.library.encode(segment[1:].replace(MARK, " "))) if segment != MARK else 1
 
     def counts(self, segments: list[str]) -> np.ndarray:
-        if len(self.states) > STATES:
-            self._forget()
-        if len(self.segments) > SEGMENTS:
-            self.segments.clear()
         known = self.segments
-        for s in segments:
-            if s not in known:
-                known[s] = self._count(s)
-        return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+        if len(known) > SEGMENTS:
+            known.clear()
+        out = np.empty(len(segments), np.int64)
+        for i, s in enumerate(segments):
+            n = known.get(s)
+            if n is None:
+                n = self._count(s)
+                if len(s) <= LONGEST:
+                    known[s] = n
+            out[i] = n
+        return out
 
 
 class ChunkMap(NamedTuple):
@@ -236,7 +253,7 @@ def count_tokens(docs: DataFrame, *, model: str, limit: int = 4096) -> DataFrame
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer.of(model)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, memory=machine):
             text = common.texts(batch)
             n = count_batch(text, machine)
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
