@@ -142,6 +142,15 @@ def test_listing_source_sees_hidden_names(spark, tmp_path):
     assert {(r["path"], r["size"]) for r in rows} == {(n, 2) for n in ("a.md", ".hidden/b.md", "_c/d.md", "e/.f")}
 
 
+def test_listing_of_any_store(spark, tmp_path):
+    top = tmp_path / "top dir"
+    for name in ("a.md", "b+c/top dir/d e.md"):
+        (top / name).parent.mkdir(exist_ok=True, parents=True)
+        (top / name).write_text("xyz")
+    rows = feeds.store_listing(spark, str(top)).collect()
+    assert {(r["path"], r["size"]) for r in rows} == {("a.md", 3), ("b+c/top dir/d e.md", 3)}
+
+
 def test_page_source_in_batch_and_stream(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()

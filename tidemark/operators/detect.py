@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fingerprint
 from tidemark.operators import predicates as p
+from tidemark.operators import stages
 from tidemark.operators.schema import BASELINE_FIELDS, ENTITY_FIELDS
 
 SIDES = {"local": ENTITY_FIELDS, "remote": ENTITY_FIELDS, "prev": BASELINE_FIELDS}
@@ -35,9 +36,12 @@ def cold(local: DataFrame, remote: DataFrame, baseline: DataFrame, keep: Column
 
 
 def _looked_up(keys: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFrame) -> DataFrame:
-    out = keys
+    """The sides of some keys. A few keys are sent to the listings, so of these only the rows that are asked for are shuffled."""
+    keys = stages.cut(keys)
+    wanted, out = stages.few(keys), keys
     for name, rows in (("local", local), ("remote", remote), ("prev", baseline)):
-        out = out.join(rows.select("path", F.struct(*SIDES[name]).alias(name)), "path", "left")
+        found = rows.join(wanted, "path", "left_semi").select("path", F.struct(*SIDES[name]).alias(name))
+        out = out.join(found, "path", "left")
     return out.select("path", *SIDES)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The temporary folder of a local application that names no shared one.
 _LOCAL: dict[str, str] = {}
@@ -28,3 +29,12 @@ def cut(rows: DataFrame) -> DataFrame:
     path = shared_folder(rows.sparkSession, "cut")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Rows of a few values that are broadcast at most.
+MOST_ROWS = 200_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a few values, written before: broadcast while there are at most ``MOST_ROWS``; with more, Spark joins them as it likes."""
+    return F.broadcast(rows) if rows.count() <= MOST_ROWS else rows

@@ -23,7 +23,7 @@ class Folder(InputPartition):
 
 
 class ListingReader(DataSourceReader):
-    """A partition for each folder of the top level, and one for the files beside them."""
+    """A partition for each folder of the second level, and one for the files of each folder above."""
 
     def __init__(self, root: str):
         self.root = root
@@ -31,13 +31,15 @@ class ListingReader(DataSourceReader):
     def partitions(self) -> list[Folder]:
         if not os.path.isdir(self.root):
             raise ValueError(f"no folder {self.root}")
-        return [Folder("", False), *[Folder(e.name, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]]
+        inside = lambda folder: sorted(e.name for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False))
+        tops = inside("")
+        return [Folder("", False), *[Folder(t, False) for t in tops], *[Folder(f"{t}/{n}", True) for t in tops for n in inside(t)]]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         top = Path(self.root) / partition.path
         walked = os.walk(top) if partition.deep else [(str(top), [], [e.name for e in os.scandir(top) if e.is_file()])]
         for folder, _, files in walked:
-            if folder != str(self.root):
+            if os.path.abspath(folder) != os.path.abspath(self.root):
                 yield os.path.relpath(folder, self.root), True, 0, 0
             for name in files:
                 found = os.stat(os.path.join(folder, name))
@@ -58,6 +60,17 @@ class ListingSource(DataSource):
         return ListingReader(self.options["path"])
 
 
+def store_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, is_directory, size, mtime) of the files below a folder of any store that Spark reads. No content is read; names that begin with "." or "_" aren't listed."""
+    from pyspark.sql import functions as F
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # paths are whole addresses
+    top = "/" + folder.split("://", 1)[-1].strip("/") + "/"
+    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+    return found.select(F.substring(path, F.locate(top, path) + len(top), F.length(path)).alias("path"), F.lit(False).alias("is_directory"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
 class Page(InputPartition):
     def __init__(self, number: int, path: str):
         self.number, self.path = number, path
