@@ -46,6 +46,24 @@ def test_chunk_maps_compose(chunk):
         assert token_counts.count_long(t, machine, chunk) == len(machine.library.encode(t)), (t, chunk)
 
 
+@pytest.mark.parametrize(("chunk", "before"), [(1, 0), (7, 3), (300, 0), (300, 64), (5000, 64)])
+def test_state_maps_of_unbroken_texts_compose(monkeypatch, chunk, before):
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(token_counts, "BEFORE", before)
+    machine = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    size = 20 * chunk if chunk < 300 else 12_000
+    for alphabet in ("a", "ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz0123456789", "aé日😀"):
+        text = "".join(rng.choices(alphabet, k=size))
+        assert machine._count(token_counts.MARK + text) == len(machine.library.encode(text)), (alphabet, chunk)
+
+
+def test_an_unbroken_text_of_a_million_characters():
+    machine = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    assert token_counts.count_batch(pa.array([text], pa.large_string()), machine).tolist() == [len(machine.library.encode(text))]
+
+
 def test_every_long_passage_holds_an_anchor():
     rng = random.Random(1)
     words = textkit.split_words(pa.array([" ".join(rng.choices("abcdefgh", k=500))], pa.large_string()))

@@ -7,9 +7,11 @@ last piece of the encoding at each place in it. That is the state of a determini
 in emitted tokens. States are compiled when they are first reached and shared by all texts of a worker; segments seen before are
 one transition of their own.
 
-A text is read in chunks. A chunk's state map is (open head, tokens between, open tail): what stands before its first segment
-border depends on the state it is entered in and stays symbolic, what stands between its first and last border is a constant.
-Maps compose associatively, so chunks are read independently and the maps are combined by a tree scan.
+A text is read in chunks, independently of one another, and what they do is combined by a tree scan. Between the first and the last
+segment border of a chunk all is a constant; the segments that are open at its ends meet those of its neighbours. A segment that is
+longer than a chunk is cut itself, and each part has a state map: from the state that the characters before it lead to, wherever one begins
+a little way back, to its last state and its tokens. A map that is entered in another state follows that one until both meet, which is
+soon, and goes on as before; so maps are exact from every state, and compose associatively.
 
 Defined results: a null text counts as empty and has no tokens; other columns are not read; null and repeated ids give a row each;
 an empty table gives no rows. Texts of any length are read whole.
@@ -44,6 +46,55 @@ class State(NamedTuple):
     back: tuple[int, ...]
 
 
+#: The state at a border.
+START = State("", (None,), (0,))
+#: Characters between the states that a state map keeps, and those before it that lead to the state it is read from.
+STEP, BEFORE = 256, 64
+
+
+class Stretch:
+    """The state map of a part of a segment: read once from a likely state, with the states on the way, so that any other state is soon known too."""
+
+    def __init__(self, machine: Transducer, text: str, guess: State):
+        self.machine, self.text, self.guess = machine, text, guess
+        self.way: list[tuple[State, int]] = []
+        self.last, self.tokens = guess, 0
+        for at in range(0, len(text), STEP):
+            self.last, n = machine.run(self.last, text[at : at + STEP])
+            self.tokens += n
+            self.way.append((self.last, self.tokens))
+
+    def enter(self, state: State) -> tuple[State, int]:
+        """The state at the end and the tokens, for this state at the start."""
+        if state == self.guess:
+            return self.last, self.tokens
+        total = 0
+        for i, (known, tokens) in enumerate(self.way):
+            state, n = self.machine.run(state, self.text[i * STEP : (i + 1) * STEP])
+            total += n
+            if state == known:
+                return self.last, total + self.tokens - tokens
+        return state, total
+
+
+class Joined:
+    """First one state map, then another."""
+
+    def __init__(self, first: Stretch | Joined, second: Stretch | Joined):
+        self.first, self.second, self.guess = first, second, first.guess
+        self.last, n = second.enter(first.last)
+        self.tokens = first.tokens + n
+
+    def enter(self, state: State) -> tuple[State, int]:
+        if state == self.guess:
+            return self.last, self.tokens
+        between, n = self.first.enter(state)
+        if between == self.first.last:
+            return self.last, n + self.tokens - self.first.tokens
+        last, more = self.second.enter(between)
+        return last, n + more
+
+
 class Transducer:
     """Counts tokens of segments as the model's own encoder does."""
 
@@ -75,7 +126,7 @@ class Transducer:
 
     def _forget(self) -> None:
         """Drop the compiled states; the start state is state 0."""
-        self.states: list[State] = [State("", (None,), (0,))]
+        self.states: list[State] = [START]
         self.number: dict[State, int] = {self.states[0]: 0}
         #: For each state: character -> (next state, change in emitted tokens).
         self.transitions: list[dict[str, tuple[int, int]]] = [{}]
@@ -121,14 +172,27 @@ class Transducer:
             return len(self._merged(segment)) if len(segment) < 24 and all(c in self.score for c in segment) else self._by_library(segment)
         if not segment.strip(MARK):
             return self._by_library(segment)
-        state, total = 0, 0
-        for char in segment:
-            found = self.transitions[state].get(char)
+        return self._through_maps(segment) if len(segment) > CHUNK_CHARS else self.run(START, segment)[1]
+
+    def _through_maps(self, segment: str) -> int:
+        maps: list[Stretch | Joined] = []
+        for at in range(0, len(segment), CHUNK_CHARS):
+            guess = self.run(START, segment[max(at - BEFORE, 0) : at])[0]
+            maps.append(Stretch(self, segment[at : at + CHUNK_CHARS], guess))
+        while len(maps) > 1:
+            maps = [Joined(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0].enter(START)[1]
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after these characters and the tokens they emit."""
+        number, total = self._number(state), 0
+        for char in text:
+            found = self.transitions[number].get(char)
             if found is None:
-                found = self._compile(state, char)
-            state, change = found
+                found = self._compile(number, char)
+            number, change = found
             total += change
-        return total
+        return self.states[number], total
 
     def _compile(self, state: int, char: str) -> tuple[int, int]:
         source = self.states[state]
