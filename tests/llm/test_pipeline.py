@@ -75,7 +75,6 @@ def test_components_of_chains_and_of_nothing(spark):
 def test_repeated_and_null_ids_are_rows_of_their_own(spark):
     good = " ".join(f"word{i} of the long story" for i in range(60))
     docs = spark.createDataFrame([(1, good, "en"), (1, "too short", "en"), (None, good + " more", "en"), (None, "short", "en")], "doc_id long, text string, lang string")
-    docs = common.materialize(docs, "rows")
     assert sorted(r["text"] for r in quality.keep_good(docs).collect()) == [good, good + " more"]
     from tidemark.llm.jaccard import keep_one
 

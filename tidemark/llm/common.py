@@ -8,12 +8,12 @@ import os
 import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts are long, so the default of 10,000 rows has no useful bound in bytes.
 ARROW_ROWS = 128
-#: Files of an input that are numbered by a broadcast table; rows of more are written once with their numbers.
-MOST_FILES = 200_000
+#: Files of an input whose numbers are broadcast; with more, Spark joins them as it likes.
+MOST_FILES = 1_000_000
 #: Rows of a file that its numbers leave room for.
 FILE_ROWS = 1 << 40
 _SHIPPED: set[str] = set()
@@ -75,7 +75,20 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+#: Where the rows of each DataFrame that ``materialize`` has given are.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing reads them any more: what came of them must have been written too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few numbers or names that are broadcast at most.
@@ -88,10 +101,11 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def _reads_files(docs: DataFrame) -> bool:
-    """Whether ``docs`` has one row for each row of the files that it reads, or fewer."""
+    """Whether ``docs`` has one row for each row of the Parquet files that it reads, or fewer."""
     plan = docs._jdf.queryExecution().analyzed().toString().splitlines()
     nodes = [re.match(r"[\s:+|-]*(\w*)", line)[1] for line in plan if line.strip()]
-    return nodes[-1] == "Relation" and {*nodes[:-1]} <= {"Project", "Filter", "SubqueryAlias"}
+    known = nodes[-1] == "Relation" and plan[-1].rstrip().endswith("parquet") and "_metadata" not in map(str.lower, docs.columns)
+    return known and {*nodes[:-1]} <= {"Project", "Filter", "SubqueryAlias"}
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -102,8 +116,13 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is read from files, else its rows written: something that ``with_rows`` numbers alike each time."""
+    return docs if _reads_files(docs) else materialize(docs, "docs")
+
+
 def with_rows(docs: DataFrame, name: str = "row") -> DataFrame:
-    """``docs`` with a long column that tells its rows apart and is the same in every job.
+    """``docs`` with a long column that tells its rows apart. It is the same in every job, and each time that the same files are read.
 
     Rows of files are numbered by file and place in it, whatever the tasks that read them. Spark numbers anything else by task, and
     tasks follow the cores that are there when a job is planned; such rows are written once with their numbers.
@@ -111,20 +130,17 @@ def with_rows(docs: DataFrame, name: str = "row") -> DataFrame:
     spark = docs.sparkSession
     file, at, number = (free_name(docs, x) for x in ("file_", "at_", "number_"))
     if _reads_files(docs):
-        try:
-            placed = docs.withColumns({file: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
-            # no more paths than the driver lists to read the files
-            files = sorted(r[0] for r in placed.select(file).distinct().collect())
-        except AnalysisException:  # a column of that name, or a format without places
-            files = None
-        if files is not None and len(files) <= MOST_FILES:
-            numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{file} string, {number} long")
-            return placed.join(F.broadcast(numbers), file).withColumn(name, F.col(number) * FILE_ROWS + F.col(at)).drop(file, at, number)
+        placed = docs.withColumns({file: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
+        # no more paths than the driver lists to read the files
+        files = sorted(r[0] for r in placed.select(file).distinct().collect())
+        numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{file} string, {number} long")
+        numbers = F.broadcast(numbers) if len(files) <= MOST_FILES else numbers
+        return placed.join(numbers, file).withColumn(name, F.col(number) * FILE_ROWS + F.col(at)).drop(file, at, number)
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers, as ``with_rows`` gives them, are in ``gone`` (row). Both are read from files or written."""
+    """``docs``, which is read from files, without the rows whose numbers, as ``with_rows`` gives them, are in ``gone`` (row)."""
     name = free_name(docs, "row_")
     numbered = with_rows(docs, name)
     return numbered.join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,6 +34,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if state == before:
             break
         before = state
-        edges = common.materialize(_star(_star(edges, True), False), name)
+        edges, old = common.materialize(_star(_star(edges, True), False), name), edges
+        common.discard(old)
     # every node now points at its least one
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -317,6 +317,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
+    docs = common.written(docs)
     return common.without_rows(docs, find_items(common.with_rows(docs.select("doc_id", "text")), benchmark, rules))
 
 

@@ -87,6 +87,7 @@ def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     while counts.filter(F.col("n") >= least).count() > MOST_COMMON:
         least *= 2
     held = counts.filter(F.col("n") >= least).toArrow()
+    common.discard(counts)
     tokens, n = held["t"].to_numpy().view(np.uint64), held["n"].to_numpy()
     place = np.empty(len(tokens), np.int64)
     place[np.lexsort((tokens, n))] = np.arange(len(tokens))
@@ -273,6 +274,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     concerned = having.groupBy("x").agg(F.count(F.lit(1)).alias("has")).join(sets.withColumn("x", F.xxhash64("h1", "h2")), "x").filter(F.col("has") >= _enough(F.col("n") * PERCENT / 100))
     concerned = common.materialize(concerned.drop("has"), "concerned")
     entries = common.materialize(having.join(common.few(concerned.select("x", "s")), "x").select("t", "s"), "entries")
+    common.discard(having)
     tokens = common.materialize(set_tokens(docs, concerned), "tokens")
 
     groups = common.materialize(form_groups(concerned.drop("x"), "key").withColumn("whole", F.lit(None).cast("long")), "groups")
@@ -284,17 +286,21 @@ def join_similar(docs: DataFrame) -> DataFrame:
     pairs = common.materialize(near.unionByName(alone), "pairs")
     links = common.materialize(open_pairs(pairs, groups, tokens), "links")
 
+    common.discard(pairs)
     part = components(links).withColumnRenamed("node", "s").withColumnRenamed("component", "whole")
     placed = groups.drop("whole").join(part, "s", "left")
     again = form_groups(placed.filter(F.col("whole").isNotNull()).drop("g"), "whole").select("s", "n", "g", "whole").unionByName(placed.filter(F.col("whole").isNull()).select("s", "n", "g", "whole"))
     again = common.materialize(again, "groups")
+    common.discard(groups, concerned)
     cells = matrix(entries, again)
     other = cells.select("t", *[F.col(c).alias(f"b_{c}") for c in ("g", "whole", "least", "most")])
     apart = (F.col("g") < F.col("b_g")) & ~F.coalesce(F.col("whole") == F.col("b_whole"), F.lit(False)) & _agree("", "b_")
     pairs = common.materialize(_shared_enough(cells.join(other, "t").filter(apart)), "pairs")
     more = common.materialize(open_pairs(pairs, again, tokens), "links")
 
+    common.discard(pairs, again, entries, tokens)
     linked = components(links.unionByName(more)).withColumnRenamed("node", "s")
+    common.discard(links, more)
     of_set = sets.join(linked, "s", "left").withColumn("component", F.coalesce("component", "s"))
     least_doc = of_set.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     by_set = of_set.join(least_doc, "component").select(*same, "component", "component_id")
@@ -304,6 +310,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays: the one with the least id, null last, and of equal ones the first. Empty documents stay."""
+    docs = common.written(docs)
     found = common.materialize(join_similar(docs), "similar")
     first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("row"))
     gone = found.filter("n_shingles > 0").join(first, "row", "left_anti")

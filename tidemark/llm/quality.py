@@ -374,4 +374,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
+    docs = common.written(docs)
     return common.without_rows(docs, judge(docs, rules).filter(~F.col("kept")))
