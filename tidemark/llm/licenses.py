@@ -11,7 +11,8 @@ k-grams that no template has; only hits become rows. Hits of one document and te
 so a licence in a third of all documents makes no large group.
 
 Defined results: a null text is an empty one, with no words; ids may be null or repeat, each row has a result; other columns are not
-read; a phrase in the base set counts at each of its places, overlapping ones too; an empty table gives no rows.
+read; a phrase in the base set counts at each of its places, overlapping ones too; texts of any length are read whole; spans of several
+templates may overlap and each gives its label, and the score is the largest share of one; an empty table gives no rows.
 """
 
 from __future__ import annotations

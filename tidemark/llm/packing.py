@@ -10,8 +10,9 @@ In sequences of ``tokens`` pieces of at most as many tokens, the squares of the
 default limits on documents and attention leave the fewest sequences alone. They bind where sequences are longer than pieces, or
 documents are limited, as in the second packing that the query gives.
 
-Defined results: a null text is an empty one, and has the end id alone; ids may be null or repeat, each row is packed; an empty
-table gives no pieces; other columns are not read.
+Defined results: a null text is an empty one, and has the end id alone; ids may be null or repeat, each row is packed; a text of any length
+is cut, its first piece taking what full ones leave; of bins that fit alike the one with the least contents is taken, and pieces of one length
+go to their places in the order of tasks and rows; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ times whatever it holds. Everything happens in one pass where a text is read, wi
 Spans are (kind, start, end) in code points. Base kinds: email, ip, card, phone, each leftmost and non-overlapping within its kind.
 The method adds: url, secret (the value after a credential cue) and iban (with its check digits).
 
-Defined results: a null text is an empty one and has no spans; null and repeated ids give a row each; other columns are not read; an
+Defined results: a null text is an empty one and has no spans; texts of any length are read whole; spans of different kinds may overlap; null and repeated ids give a row each; other columns are not read; an
 empty table gives no rows.
 """
 

@@ -5,7 +5,7 @@ metadata columns use delta encoding, so a read of them alone touches a few bytes
 small, and the page index that the writer adds lets a filter on ``doc_id`` skip pages.
 
 Defined results: a null text is an empty one (its only token is the end id); rows with a null id come first; rows with equal
-ids are kept, ordered by their text's hash; other columns of the input, whatever their names, are not read; an empty table
+ids are kept, in the order of their places in the input; other columns of the input, whatever their names, are not read; an empty table
 gives files without rows.
 """
 
@@ -53,8 +53,8 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
 
     spark = docs.sparkSession
     rows = common.with_rows(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")))
-    # rows of one id, or of none, are dealt by their texts and places too, so many of them are no single part
-    order = ("doc_id", F.xxhash64("text"), "row")
+    # rows of one id, or of none, are dealt by their places too, so many of them are no single part
+    order = ("doc_id", "row")
     ranged = rows.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
     writer = ranged.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("maxRecordsPerFile", 0)
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.writer.version", "PARQUET_2_0")
