@@ -108,21 +108,24 @@ def apply_path_delta(cache: DataFrame, entries: DataFrame, reserved: tuple[str,
     """
     kept_columns = ["path", "id", "is_directory", "payload"]
     last = Window.partitionBy("path").orderBy(F.col("seq").desc())
+    cache, entries = stages.cut(cache.select(*kept_columns)), stages.cut(entries.select("seq", "tag", "id", "path", "payload"))
     upserts = entries.filter("tag <> 'deleted'")
     lost_ids = upserts.filter(untrackable(F.col("path"), reserved) & F.col("id").isNotNull()).select("id").distinct()
     puts = upserts.filter(~untrackable(F.col("path"), reserved)).withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
     puts = stages.cut(puts.select("path", "id", (F.col("tag") == "folder").alias("is_directory"), "payload"))
     was = cache.filter("id is not null").select("id", F.col("path").alias("old_path"), F.col("is_directory").alias("was_folder"))
     renames = stages.cut(puts.filter("id is not null").select("id", F.col("path").alias("new_path")).join(was, "id").filter("old_path <> new_path").select("old_path", "new_path", F.col("was_folder").alias("is_folder")))
+    # each step is read more than once by those after it
     left = tree.remove_subtrees(cache, cache.join(lost_ids, "id", "left_semi").select("path"))
     # moved rows are told from those that stand at a target already
-    moved = tree.rewrite_subtrees(left.withColumn("was", F.col("path")), renames.select("old_path", "new_path"))
+    moved = stages.cut(tree.rewrite_subtrees(stages.cut(left).withColumn("was", F.col("path")), renames.select("old_path", "new_path")))
     same_place = (F.col("path") == F.col("was")) & F.col("path").isNotNull()
     targets = puts.select("path", F.col("id").alias("put_id"))
     evicted = moved.filter(same_place).join(targets, "path").filter(~F.col("id").eqNullSafe(F.col("put_id")) & F.col("id").isNotNull() & F.col("put_id").isNotNull()).select("path")
+    evicted = stages.cut(evicted.distinct())
     gone_below = moved.filter(same_place).select("path", F.explode(F.array_append(paths.ancestors(F.col("path")), F.col("path"))).alias("top")).join(evicted.select(F.col("path").alias("top")), "top", "left_semi").select("path").distinct().withColumn("evicted", F.lit(True))
     standing = moved.join(gone_below, "path", "left").filter(F.col("evicted").isNull() | ~same_place).drop("evicted", "was")
-    placed = standing.join(puts.select("path"), "path", "left_anti").dropDuplicates(["path"]).select(*kept_columns).unionByName(puts.select(*kept_columns))
+    placed = stages.cut(standing.join(puts.select("path"), "path", "left_anti").dropDuplicates(["path"]).select(*kept_columns).unionByName(puts.select(*kept_columns)))
     deletions = entries.filter("tag = 'deleted'").filter(~untrackable(F.col("path"), reserved)).select("path").join(puts.select("path"), "path", "left_anti")
     after = stages.cut(tree.remove_subtrees(placed, deletions.join(placed.select("path"), "path", "left_semi")))
     before, now = cache.select("path", F.struct("id", "is_directory", "payload").alias("a")), after.select("path", F.struct("id", "is_directory", "payload").alias("b"))
