@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
 from tidemark.llm.contamination import op8_benchmark_decontamination
+from tidemark.llm.fingerprints import op12_fingerprints
 from tidemark.llm.jaccard import op6_ngram_jaccard_join
 from tidemark.llm.licenses import op3_license_scans
 from tidemark.llm.packing import op10_packing
@@ -20,7 +21,7 @@ from tidemark.llm.token_files import op1_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_license_scans, op4_token_counts, op5_sharding, op6_ngram_jaccard_join, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_license_scans, op4_token_counts, op5_sharding, op6_ngram_jaccard_join, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_packing, op12_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
