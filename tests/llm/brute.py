@@ -234,3 +234,109 @@ def pii(rows):
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
         out.append((r[0], *(n[k] for k, _, _ in kinds), hashlib.sha256(said.encode()).hexdigest()))
     return out
+
+
+def collocations(rows, longest=5, least=100, most=2000):
+    """rows: (id, text, lang, ...)."""
+    seen, total = Counter(), Counter()
+    for _, text, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            seen.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    often = {x: a for x, a in seen.items() if a >= least and len(x[1]) > 1}
+    gone = {(lang, w[i : i + k]) for (lang, w), b in often.items() for k in range(2, len(w)) for i in range(len(w) - k + 1) if b >= seen[lang, w[i : i + k]]}
+    best = {}
+    for (lang, w), a in often.items():
+        if (lang, w) not in gone:
+            cuts = [(1000 * a * total[lang] // (seen[lang, w[:k]] * seen[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            best.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), seen[lang, w[:k]], seen[lang, w[k:]]))
+    return [(lang, i + 1, w.decode(), -a, left, right, total[lang], -score) for lang, found in best.items() for i, (score, a, w, left, right) in enumerate(sorted(found)[:most])]
+
+
+def _xx(value: int, seed: int = 42) -> int:
+    """Spark's hash of a long, as a signed number."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def terms(text: str) -> set[int]:
+    import regex
+    import xxhash
+
+    return {_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+
+def fingerprint(text: str, band: set[int], lexicons: int = 64) -> tuple:
+    """(level, wide, narrow) as sets of signatures, or the text itself if it has no term in the lexicons."""
+    import xxhash
+
+    def integer(value: int, seed: int) -> int:
+        return _signed(xxhash.xxh64_intdigest((value & (1 << 32) - 1).to_bytes(4, "little"), seed & (1 << 64) - 1))
+
+    own = terms(text)
+    at = max(6, math.floor(math.log2(max(len(own), 1))) + 1)
+    held = [{t for t in own & band if t % (1 << v) < lexicons} for v in (at, at + 1)]
+    if not held[0]:
+        return (text,)
+    out = []
+    for v, ts in zip((at, at + 1), held, strict=True):
+        places = {}
+        for t in sorted(ts):
+            places.setdefault(t % lexicons, []).append(t)
+        signatures = set()
+        for place, of in places.items():
+            x = _xx(place, integer(v, 42))
+            for t in of:
+                x = _xx(t, x)
+            signatures.add(f"{x & 0xFFFFFFFF:08X}")
+        out.append(signatures)
+    return (at, *out)
+
+
+def likeness(a: tuple, b: tuple) -> float:
+    if len(a) == 1 or len(b) == 1:
+        return float(a == b)
+    pairs = {0: [(a[1], b[1]), (a[2], b[2])], 1: [(a[1], b[2])], -1: [(a[2], b[1])]}.get(a[0] - b[0], [])
+    size = sum(len(x) + len(y) for x, y in pairs)
+    return 2 * sum(len(x & y) for x, y in pairs) / size if size else 0.0
+
+
+def fingerprints(rows):
+    """(doc_id, n_chars, edited_sha256, near_edited, near_next, fingerprint, edited fingerprint), the rows in the order of their places."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), i))
+    text = [rows[i][1] or "" for i in order]
+    counts = Counter(t for x in text for t in terms(x))
+    band = {t for t, n in counts.items() if max(2.0, len(rows) * 1e-5) <= n <= max(2.0, len(rows) * 0.1)}
+    prints, out = [fingerprint(x, band) for x in text], []
+    for i, at in enumerate(order):
+        cut, following = len(text[i]) // 3, (i + 1) % len(text)
+        edited = text[i][: len(text[i]) - cut] + text[following][:cut]
+        changed = fingerprint(edited, band)
+        out.append((rows[at][0], len(text[i]), hashlib.sha256(edited.encode()).hexdigest(), likeness(prints[i], changed), likeness(prints[i], prints[following]), prints[i], changed))
+    return out
+
+
+def hard_negatives(rows, positives=5, negatives=3):
+    """rows: (vec_id, embedding, label)."""
+    kept = []
+    for i, (key, vector, label) in enumerate(rows):
+        if key is None or label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        kept.append((key, i, (label + 1) % 10 if key % 7 == 0 else label, [math.floor(256 * x) for x in vector]))
+    out = []
+    for a in kept:
+        if a[0] % 50:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a[3], b[3], strict=False)), b[0], b[1], b[2]) for b in kept if b[1] != a[1])
+        for score, key, _, _ in [s for s in scored if s[3] == a[2]][:positives]:
+            band = [s for s in scored if s[3] != a[2] and 50 * -score <= 100 * -s[0] <= 95 * -score]
+            out += [(a[0], key, i + 1, n[1], -score, -n[0]) for i, n in enumerate(band[:negatives])]
+    return out

@@ -98,6 +98,28 @@ def write_documents(folder, rows: list[tuple]) -> None:
         pq.write_table(table.slice(i * (n // 3 + 1), n // 3 + 1), folder / "documents.parquet" / f"part-{i}.parquet")
 
 
+def awkward_vectors() -> list[tuple]:
+    """(vec_id, embedding, label): the driver's, and nulls, odd numbers and lengths, copies, ties, large and negative ones."""
+    driver = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
+    base = driver["embedding"][0]
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, base, 1), (7001, None, 1), (7002, base, None), (7003, [*base[:-1], nan], 1), (7004, [inf, *base[1:]], 1), (7005, [*base[:-1], None], 1), (7006, [], 1), (7050, [], 1), (7007, base[:9], 2)]
+    odd += [(7100, base, 3)] * 3 + [(7101 + i, base, 3 + i % 2) for i in range(30)] + [(7200, [-x for x in base], 3), (7250, [x * 1e4 for x in base], 4), (7251, [x * 9e3 for x in base], 4), (7252, [x * 6e3 for x in base], 5)]
+    return [*zip(driver["vec_id"], driver["embedding"], driver["label"], strict=True), *odd]
+
+
+def write_vectors(folder, rows: list[tuple]) -> None:
+    n = len(rows)
+    columns = {"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "label": pa.array([r[2] for r in rows], pa.int32())}
+    columns |= {name: pa.array(["clash"] * n, pa.string()) for name in ("id", "row", "vector", "anchor", "cell", "group", "score", "rank")}
+    pq.write_table(pa.table(columns), folder / "embeddings.parquet")
+
+
+@pytest.fixture(scope="session")
+def vectors() -> list[tuple]:
+    return awkward_vectors()
+
+
 @pytest.fixture(scope="session")
 def rows() -> list[tuple]:
     driver = pq.read_table(f"{SF}/documents.parquet").to_pydict()
@@ -105,9 +127,10 @@ def rows() -> list[tuple]:
 
 
 @pytest.fixture(scope="session")
-def sf_dir(tmp_path_factory, rows) -> str:
+def sf_dir(tmp_path_factory, rows, vectors) -> str:
     folder = tmp_path_factory.mktemp("tables")
     write_documents(folder, rows)
+    write_vectors(folder, vectors)
     pq.write_table(pq.read_table(f"{SF}/benchmark.parquet"), folder / "benchmark.parquet")
     return str(folder)
 
@@ -116,5 +139,6 @@ def sf_dir(tmp_path_factory, rows) -> str:
 def empty_dir(tmp_path_factory) -> str:
     folder = tmp_path_factory.mktemp("empty")
     write_documents(folder, [])
+    write_vectors(folder, [])
     pq.write_table(pq.read_table(f"{SF}/benchmark.parquet").slice(0, 0), folder / "benchmark.parquet")
     return str(folder)

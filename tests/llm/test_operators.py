@@ -128,6 +128,24 @@ def test_packing(spark, sf_dir, rows):
     assert sum(p.count for p in alone) < len(held)
 
 
+def test_collocations(spark, sf_dir, rows):
+    same(collected(spark, "op11_collocations", sf_dir, "lang rank phrase a l r n score"), brute.collocations(rows))
+
+
+def test_fingerprints(spark, sf_dir, rows):
+    got = QUERIES["op12_fingerprints"](spark, sf_dir).collect()
+    wanted = brute.fingerprints(rows)
+    same([(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], [(*r[:3], round(r[3], 9), round(r[4], 9)) for r in wanted])
+    spelled = lambda f: "=" if len(f) == 1 else f"{f[0]}:{'.'.join(sorted(f[1]))}/{'.'.join(sorted(f[2]))}"
+    seen = lambda f: f[:1] if f[0] == "=" else f
+    same([(r["doc_id"], r["n_chars"], seen(r["fingerprint"]), seen(r["edited_fingerprint"])) for r in got], [(r[0], r[1], spelled(r[5]), spelled(r[6])) for r in wanted])
+
+
+def test_hard_negatives(spark, sf_dir, vectors):
+    columns = "anchor_id positive_id rank negative_id positive_score negative_score"
+    same(collected(spark, "op13_hard_negatives", sf_dir, columns), brute.hard_negatives(vectors))
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     """The whole table of the driver against the query's SQL."""
@@ -135,7 +153,8 @@ def test_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     answer = db.execute(oracle_sql()[name])
     columns = [c[0] for c in answer.description]
     found = QUERIES[name](spark, folder)
