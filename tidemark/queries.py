@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark import state_queries
+from tidemark import cycle_queries, state_queries
 from tidemark.functions import errors, fingerprint, paths, providers
 from tidemark.operators import apply, conflict, delta, detect, exclude, guards, merge, rename, state, tree
 from tidemark.operators import predicates as p
@@ -328,5 +328,5 @@ _ALL = (
     execution_phases, retry_decisions, history_cap, debounce_sessions, session_windows, sliding_velocity, rename_chain_collapse, foreground_triggers,
     tracked_conflicts, drive_entities, dropbox_entities,
 )
-QUERIES = {f.__name__: f for f in _ALL} | state_queries.QUERIES
-ORACLES = {name: sql for name, sql in (SQL | state_queries.SQL).items() if name in QUERIES}
+QUERIES = {f.__name__: f for f in _ALL} | state_queries.QUERIES | cycle_queries.QUERIES
+ORACLES = {name: sql for name, sql in (SQL | state_queries.SQL | cycle_queries.SQL).items() if name in QUERIES}
