@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fingerprint
 from tidemark.operators import exclude, merge, predicates
 from tidemark.operators.schema import BASELINE, ENTITY
-from tidemark.operators.state import SnapshotStore
+from tidemark.operators.snapshots import CommitConflict, SnapshotStore
 from tidemark.plans import cycle, fixtures
 from tidemark.sources import feeds
 from tidemark.streaming import events
@@ -130,7 +130,7 @@ def test_snapshots_keep_the_cursor_with_the_rows(spark, tmp_path):
     assert store.current() is None and store.load("baseline") is None
     store.save({"baseline": spark.createDataFrame([], BASELINE)}, "c1")
     store.save({"listing": spark.createDataFrame([], ENTITY)}, "c2")
-    assert store.current()["cursor"] == "c2" and store.load("baseline").columns and store.load("listing").columns
+    assert store.current().cursor == "c2" and store.load("baseline").columns and store.load("listing").columns
 
 
 def test_listing_source_sees_hidden_names(spark, tmp_path):
@@ -205,9 +205,9 @@ def test_checkpoints_and_increments(spark, tmp_path):
     store.save({"cache": rows(("a", 1), ("b", 1), ("c", 1)), "baseline": rows(("a", 0))}, "c1")
     store.commit_increment("cache", rows(("b", 2), ("d", 2)), rows(("a", 0), ("b", 0)), "c2")
     store.commit_increment("cache", rows(("a", 3)), rows(("d", 0)), "c3")
-    assert sorted(map(tuple, store.load("cache").collect())) == [("a", 3), ("b", 2), ("c", 1)] and store.current()["cursor"] == "c3"
+    assert sorted(map(tuple, store.load("cache").collect())) == [("a", 3), ("b", 2), ("c", 1)] and store.current().cursor == "c3"
     store.commit_increment("cache", none, rows(("c", 0)), "c4", most_steps=3)
-    assert not store.current()["tables"]["cache"]["steps"] and store.load("cache").count() == 2
+    assert not store.current().tables["cache"]["steps"] and store.load("cache").count() == 2
     store.reset_checkpoint("cache")
     assert not store.has_checkpoint() and store.load("cache") is None and store.load("baseline").count() == 1
 
@@ -253,3 +253,88 @@ def test_a_stored_codec_of_another_format_is_an_error(spark):
     rows = spark.createDataFrame([(b"\x07abc",)], "c binary")
     with pytest.raises(PythonException):
         rows.select(state.codec_decode(F.col("c"))).collect()
+
+
+def _rows(spark, *r):
+    return spark.createDataFrame(r, "path string, v int")
+
+
+def test_two_writers_of_one_version_both_stay(spark, tmp_path):
+    first, second = (SnapshotStore(spark, str(tmp_path / "state")) for _ in range(2))
+    first.save({"cache": _rows(spark, ("a", 1), ("b", 1)), "other": _rows(spark, ("x", 1))}, "c1", keys={"cache": "path"}, buckets=4)
+    seen = second.current()
+    none = _rows(spark, ("a", 1)).limit(0)
+    first.commit_increment("cache", _rows(spark, ("a", 2)), none, "c2")
+    # made from the version before: it is put on top of the first one's
+    second.commit_increment("cache", _rows(spark, ("c", 3)), _rows(spark, ("b", 0)), based_on=seen)
+    assert sorted(map(tuple, first.load("cache").collect())) == [("a", 2), ("c", 3)] and first.current().cursor == "c2" and first.current().number == 3
+    second.save({"other": _rows(spark, ("y", 2))}, based_on=seen)
+    for change in (
+        lambda: second.commit_increment("cache", _rows(spark, ("a", 9)), none, based_on=seen),  # the same key
+        lambda: second.commit_increment("cache", _rows(spark, ("z", 9)), none, "c9", based_on=seen),  # the cursor has moved
+        lambda: second.save({"cache": none}, based_on=seen),  # a whole table over the other's increment
+        lambda: second.save({"other": none}, based_on=seen),
+    ):
+        with pytest.raises(CommitConflict):
+            change()
+    assert first.versions() == [1, 2, 3, 4] and sorted(map(tuple, first.load("cache").collect())) == [("a", 2), ("c", 3)]
+
+
+def test_one_of_many_writers_takes_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.operators.snapshots import Version
+
+    stores = [SnapshotStore(spark, str(tmp_path / "my state")) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda i: stores[i]._take(Version(1, str(i))), range(8)))
+    assert taken.count(True) == 1 and stores[0].current().cursor == str(taken.index(True)) and stores[0].versions() == [1]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: stores[i].save({f"t{i}": _rows(spark, ("a", i))}), range(4)))
+    assert {*stores[0].current().tables} == {"t0", "t1", "t2", "t3"} and stores[0].versions() == [1, 2, 3, 4, 5]
+
+
+def test_old_versions_and_their_data_are_deleted(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    for i in range(4):
+        store.save({"t": _rows(spark, ("a", i))}, f"c{i}")
+    early = store.current()
+    assert store.expire(2) == 0 and store.versions() == [3, 4]  # data of yesterday at the earliest
+    assert store.expire(2, 0) == 2 and store.load("t", early).first()["v"] == 3
+    assert store.expire(1, 0) == 1 and store.load("t").first()["v"] == 3
+
+
+def _bytes_read(spark, rows) -> int:
+    """Bytes of the files that the scans of a DataFrame open."""
+    files = set(rows.inputFiles())
+    import os
+    from urllib.parse import unquote
+
+    return sum(os.path.getsize(unquote(f.removeprefix("file://"))) for f in files)
+
+
+def test_a_reader_of_few_keys_opens_their_buckets_alone(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    rows = spark.range(20_000).select(F.concat(F.lit("f/"), F.col("id").cast("string")).alias("path"), F.col("id").cast("int").alias("v"))
+    store.save({"t": rows, "u": rows}, keys={"t": "path", "u": "path"}, buckets=32)
+    store.commit_increment("t", rows.filter("v % 100 = 0").withColumn("v", F.lit(-1)), rows.filter("v % 100 = 1").select("path"))
+    whole = _bytes_read(spark, store.load("u"))
+    sizes = []
+    for n in (1, 4, 16):
+        keys = rows.filter(F.col("v") < n).select("path")
+        t, u = store.narrow(("t", "u"), keys)
+        sizes.append(_bytes_read(spark, u))
+        assert sorted(r["v"] for r in u.join(keys, "path", "left_semi").collect()) == list(range(n))
+        assert sorted(r["v"] for r in t.join(keys, "path", "left_semi").collect()) == sorted({-1, *range(2, n)})
+    assert sizes[0] <= whole / 16 and sizes[0] < sizes[1] < sizes[2] < whole
+
+
+def test_hot_mode_reads_few_bytes_of_stored_listings(spark):
+    from tidemark.operators import detect
+
+    store = fixtures.stored_listings(spark, "/root/testdata/sf0.01")
+    keys = fixtures._documents(spark, "/root/testdata/sf0.01").filter("doc_id = 21 or doc_id = 43").select("path")
+    hot = detect.hot_stored(store, keys, keys.limit(0))
+    assert sorted((r["path"].split("/")[-1], r["action"]) for r in detect.plan(hot).collect()) == [("doc-21.md", "push"), ("doc-43.md", "conflict")]
+    stored = sum(_bytes_read(spark, store.load(t)) for t in ("local", "remote", "baseline"))
+    assert _bytes_read(spark, hot) < stored / 4

@@ -9,6 +9,7 @@ from tidemark.functions import fingerprint
 from tidemark.operators import predicates as p
 from tidemark.operators import stages
 from tidemark.operators.schema import BASELINE_FIELDS, ENTITY_FIELDS
+from tidemark.operators.snapshots import SnapshotStore
 
 SIDES = {"local": ENTITY_FIELDS, "remote": ENTITY_FIELDS, "prev": BASELINE_FIELDS}
 
@@ -36,8 +37,7 @@ def cold(local: DataFrame, remote: DataFrame, baseline: DataFrame, keep: Column
 
 
 def _looked_up(keys: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFrame) -> DataFrame:
-    """The sides of some keys. A few keys are sent to the listings, so of these only the rows that are asked for are shuffled."""
-    keys = stages.cut(keys)
+    """The sides of some keys, which are written. A few keys are sent to the listings, so of these only the rows that are asked for are shuffled."""
     wanted, out = stages.few(keys), keys
     for name, rows in (("local", local), ("remote", remote), ("prev", baseline)):
         found = rows.join(wanted, "path", "left_semi").select("path", F.struct(*SIDES[name]).alias(name))
@@ -61,9 +61,19 @@ def warm(local: DataFrame, remote: DataFrame, baseline: DataFrame, remote_paths:
 
 def hot(local: DataFrame, remote: DataFrame, baseline: DataFrame, dirty: DataFrame, remote_paths: DataFrame, keep: Column | None = None, drop_remote_deletions: bool = False) -> DataFrame:
     """Only dirty keys and those that the remote reports, without the ones that need nothing."""
+    rows = _looked_up(stages.cut(_hot_keys(dirty, remote_paths, keep)), local, remote, baseline)
+    return rows.filter(p.worth_a_look(F.col("local"), F.col("remote"), F.col("prev"), drop_remote_deletions))
+
+
+def _hot_keys(dirty: DataFrame, remote_paths: DataFrame, keep: Column | None) -> DataFrame:
     keys = dirty.select("path").union(remote_paths.select("path")).distinct()
-    keys = keys if keep is None else keys.filter(keep)
-    rows = _looked_up(keys, local, remote, baseline)
+    return keys if keep is None else keys.filter(keep)
+
+
+def hot_stored(store: SnapshotStore, dirty: DataFrame, remote_paths: DataFrame, keep: Column | None = None, drop_remote_deletions: bool = False) -> DataFrame:
+    """``hot`` over the stored listings ``local``, ``remote`` and ``baseline``: only the buckets that hold the keys are read."""
+    keys = stages.cut(_hot_keys(dirty, remote_paths, keep))
+    rows = _looked_up(keys, *store.narrow(("local", "remote", "baseline"), keys))
     return rows.filter(p.worth_a_look(F.col("local"), F.col("remote"), F.col("prev"), drop_remote_deletions))
 
 

@@ -1,13 +1,11 @@
-"""The baseline as versioned snapshots, and what a cycle does to it."""
+"""What a cycle does to the baseline and to stored contents; ``snapshots`` keeps them."""
 
 from __future__ import annotations
 
-import json
-import uuid
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -131,82 +129,3 @@ def after_pull(baseline: DataFrame, pulled: DataFrame, synced_at: int) -> DataFr
     """The baseline after files (path, remote) were written locally with the remote's time."""
     both = pulled.select("path", F.struct(*[F.lit("").alias(f) if f == "hash" else F.col(f"remote.{f}").alias(f) for f in ENTITY_FIELDS]).alias("local"), "remote")
     return baseline.join(pulled.select("path"), "path", "left_anti").unionByName(build_records(both, synced_at))
-
-
-class SnapshotStore:
-    """Snapshots under one folder. A version has Parquet tables, whole or as increments, and a manifest with the cursor, which is written last.
-
-    Readers take the highest version with a manifest, so a cycle that dies before it is as if it hadn't run, and the cursor is never
-    ahead of the rows. All access goes through Spark, so the folder can be in any store that it reads.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _manifests(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifests")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.schema("version bigint, at string, cursor string, tables string").json(f"{self.folder}/manifests")
-
-    def current(self) -> dict | None:
-        found = self._manifests()
-        row = found.orderBy(F.desc("version")).first() if found is not None else None
-        return None if row is None else {**row.asDict(), "tables": json.loads(row["tables"])}
-
-    def load(self, table: str) -> DataFrame | None:
-        """The rows of a table: its last whole version with the increments since put on it, the latest word on each key."""
-        now = self.current()
-        if not now or table not in now["tables"]:
-            return None
-        place = now["tables"][table]
-        rows = self.spark.read.parquet(place["base"])
-        if not place["steps"]:
-            return rows
-        steps = None
-        for i, step in enumerate(place["steps"]):
-            part = self.spark.read.parquet(step).withColumn("step_", F.lit(i))
-            steps = part if steps is None else steps.unionByName(part)
-        last = steps.groupBy(place["key"]).agg(F.max_by(F.struct(*steps.columns), "step_").alias("row")).select("row.*")
-        kept = rows.join(last.select(place["key"]), place["key"], "left_anti")
-        return kept.unionByName(last.filter("not gone_").select(*rows.columns))
-
-    def _put(self, places: dict, cursor: str | None, version: int, at: str) -> int:
-        manifest = self.spark.createDataFrame([(version, at, cursor, json.dumps(places))], "version bigint, at string, cursor string, tables string")
-        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifests")
-        return version
-
-    def save(self, tables: dict[str, DataFrame], cursor: str | None) -> int:
-        """Write whole tables, then the manifest. Tables that aren't given stay as they are."""
-        now = self.current() or {"version": 0, "tables": {}}
-        version, at = now["version"] + 1, uuid.uuid4().hex
-        places = dict(now["tables"])
-        for name, rows in tables.items():
-            base = f"{self.folder}/data/{version}-{at}/{name}"
-            rows.write.parquet(base)
-            places[name] = {"base": base, "steps": [], "key": None}
-        return self._put(places, cursor, version, at)
-
-    def commit_increment(self, table: str, upserts: DataFrame, deletes: DataFrame, cursor: str | None, key: str = "path", most_steps: int = 20) -> int:
-        """Write only what changed in a table and then the manifest with the cursor. After ``most_steps`` of them the table is written whole."""
-        now = self.current()
-        if not now or table not in now["tables"]:
-            return self.save({table: upserts}, cursor)
-        version, at = now["version"] + 1, uuid.uuid4().hex
-        places = dict(now["tables"])
-        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(upserts.select(key), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
-        step = f"{self.folder}/data/{version}-{at}/{table}"
-        rows.write.parquet(step)
-        places[table] = {"base": places[table]["base"], "steps": [*places[table]["steps"], step], "key": key}
-        self._put(places, cursor, version, at)
-        return self.save({table: self.load(table)}, cursor) if len(places[table]["steps"]) >= most_steps else version
-
-    def has_checkpoint(self) -> bool:
-        now = self.current()
-        return bool(now and now["cursor"])
-
-    def reset_checkpoint(self, *tables: str) -> int:
-        """Forget the cursor and these cached tables, so that the next cycle compares everything; other tables stay."""
-        now = self.current() or {"version": 0, "tables": {}}
-        places = {k: v for k, v in now["tables"].items() if k not in tables}
-        return self._put(places, None, now["version"] + 1, uuid.uuid4().hex)

@@ -138,6 +138,7 @@ FROM c
 SQL: dict[str, str] = {
     "plan_cold": _PLAN + "SELECT path, action, CASE WHEN l THEN l_size END AS local_size, CASE WHEN r THEN r_size END AS remote_size FROM plan",
     "plan_warm": _PLAN + "SELECT path, action FROM plan WHERE (l AND (NOT b OR lc)) OR (b AND NOT l) OR k IN (2, 3, 4, 5, 7, 8, 10, 11, 12, 16)",
+    "plan_hot_few": _PLAN + "SELECT path, action FROM plan WHERE doc_id % 1000 IN (21, 43, 63, 109, 104, 382, 905)",
     "plan_hot": _PLAN + "SELECT path, action FROM plan WHERE k IN (0, 1, 3, 5, 6, 9, 14, 2, 4, 13)",
     "local_changed": _PLAN + "SELECT path, lc AS changed FROM mixed WHERE l AND b",
     "remote_changed": _PLAN + "SELECT path, rc AS changed FROM mixed WHERE r AND b",

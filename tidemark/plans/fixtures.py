@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import stages
+from tidemark.operators.snapshots import SnapshotStore
+
 EPOCH = 1_700_000_000_000
 
 
@@ -77,6 +80,25 @@ def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return local, remote, baseline
 
 
+#: Where an application has put the listings of a folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_listings(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """The ``listings`` as a cycle leaves them for the next one: tables in buckets of the path. Written once an application, as the driver's tables don't change."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        store = SnapshotStore(spark, stages.shared_folder(spark, "listings"))
+        tables = dict(zip(("local", "remote", "baseline"), listings(spark, sf_dir), strict=True))
+        store.save(tables, "c1", keys=dict.fromkeys(tables, "path"), buckets=max(16, fixed_buckets(spark, sf_dir)))
+        _STORED[key] = store.folder
+    return SnapshotStore(spark, _STORED[key])
+
+
+def fixed_buckets(spark: SparkSession, sf_dir: str) -> int:
+    return min(4096, table(spark, sf_dir, "documents").count() // 100_000)
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of the local files."""
     return _documents(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content"))

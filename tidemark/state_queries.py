@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import oracles
 from tidemark.functions import errors, paths, providers, settings
-from tidemark.operators import conflict, delta, detect, guards, merge, rename, stages, state, tree
+from tidemark.operators import conflict, delta, detect, guards, merge, rename, snapshots, stages, state, tree
 from tidemark.operators import predicates as p
 from tidemark.plans import cycle, fixtures
 from tidemark.streaming import events as ev
@@ -409,7 +409,7 @@ def opened_files_pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cursor is forgotten, so the next cycle is a cold one over the stored baseline."""
     local, remote, baseline = fixtures.listings(spark, sf_dir)
-    store = state.SnapshotStore(spark, stages.shared_folder(spark, "store"))
+    store = snapshots.SnapshotStore(spark, stages.shared_folder(spark, "store"))
     store.save({"baseline": baseline, "remote": remote}, "cursor-1")
     heat = lambda: detect.temperature(True, False, not store.has_checkpoint(), store.load("baseline") is not None)
     before = heat()
@@ -422,7 +422,7 @@ def incremental_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents are cached; then some change, come or go, and some change again."""
     d = _docs(spark, sf_dir)
     rows = lambda cond, payload: d.filter(cond).select("path", F.lit(payload).alias("payload"))
-    store = state.SnapshotStore(spark, stages.shared_folder(spark, "store"))
+    store = snapshots.SnapshotStore(spark, stages.shared_folder(spark, "store"))
     store.save({"cache": rows("doc_id % 2 = 0", "first")}, "c1")
     store.commit_increment("cache", rows("doc_id % 6 in (0, 1)", "second"), rows("doc_id % 6 = 2", ""), "c2")
     store.commit_increment("cache", rows("doc_id % 12 = 0", "third"), rows("false", ""), "c3")
