@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark import oracles
-from tidemark.operators import apply, detect, exclude, stages
+from tidemark.operators import apply, detect, exclude, snapshots, stages, tree
 from tidemark.plans import cycle, fixtures
+from tidemark.sources import crawl
+from tidemark.streaming import feed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,3 +215,81 @@ def settled_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = rows.filter("is_directory").select("path").join(above, "path", "left_anti")
         empty = one if empty is None else empty.union(one)
     return counts.join(F.broadcast(empty.agg(F.count(F.lit(1)).alias("empty_folders"))))
+
+
+# A tree that is listed folder by folder, and a feed of changes to it
+
+
+def _page_files(spark: SparkSession, sf_dir: str, size: int = 40) -> str:
+    """The nodes of the fixtures as pages of a service: a folder of files for each folder, whose pages name the next one."""
+    import json
+    from urllib.parse import quote
+
+    import pyarrow as pa
+
+    root = stages.shared_folder(spark, "pages")
+    nodes = fixtures.nodes(spark, sf_dir).withColumn("folder", F.element_at("parent_ids", -1))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("id")) - 1
+    pages = nodes.withColumn("page", F.floor(place / size)).groupBy("folder", "page").agg(F.sort_array(F.collect_list(F.struct("id", "name", "is_folder", "payload"))).alias("entries"))
+    last = Window.partitionBy("folder")
+    pages = pages.withColumn("more", F.col("page") < F.max("page").over(last))
+    empty = nodes.filter("is_folder").select(F.col("id").alias("folder")).join(pages.select("folder"), "folder", "left_anti").select("folder", F.lit(0).cast("bigint").alias("page"), F.array().cast(pages.schema["entries"].dataType).alias("entries"), F.lit(False).alias("more"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for r in batch.to_pylist():
+                folder = f"{top}/{quote(r['folder'], safe='')}"
+                files.create_dir(folder, recursive=True)
+                with files.open_output_stream(f"{folder}/{r['page'] or 'first'}.json") as f:
+                    f.write(json.dumps({"entries": r["entries"], "next": str(r["page"] + 1) if r["more"] else None}).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    pages.unionByName(empty).mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+
+_TREE = """WITH d AS (SELECT doc_id, source, lang, md5(text) AS m FROM documents)
+    SELECT 's:' || source AS id, 'root' AS parent, source AS name, TRUE AS is_folder, '' AS payload FROM d GROUP BY source
+    UNION ALL SELECT 'l:' || source || '/' || lang, 's:' || source, lang, TRUE, '' FROM d GROUP BY source, lang
+    UNION ALL SELECT 'd:' || doc_id, 'l:' || source || '/' || lang, 'doc-' || doc_id || '.md', FALSE, m FROM d"""
+
+
+@_query(_TREE)
+def crawl_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes, found from the root on in rounds, each folder in pages."""
+    found = crawl.crawl(spark, crawl.StoredPages(_page_files(spark, sf_dir)), "root")
+    return crawl.listed(found, "name string, payload string").select("id", F.col("parent_ids")[0].alias("parent"), "name", "is_folder", "payload")
+
+
+_FED = """WITH d AS (SELECT doc_id, source, lang, md5(text) AS m, doc_id % 6 AS r FROM documents),
+    n AS (SELECT 's:' || source AS id, source AS path, '' AS payload FROM d GROUP BY source UNION ALL SELECT 'l:' || source || '/' || lang, source || '/' || lang, '' FROM d GROUP BY source, lang
+      UNION ALL SELECT 'd:' || doc_id, source || '/' || lang || '/' || CASE WHEN r = 1 THEN 'new-' ELSE '' END || 'doc-' || doc_id || '.md', CASE WHEN r = 2 THEN 'edited' WHEN r = 4 THEN 'late' ELSE m END FROM d WHERE r <> 0)
+    SELECT id, path, payload, 'replayed,applied,replayed,scanned' AS done FROM n"""
+
+
+@_query(_FED)
+def followed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes after a scan, a batch of changes, the same batch again, and an expired cursor with what the feed never told.
+
+    Residues modulo 6: 0 deleted, 1 a new name alone, 2 new content alone, 4 changed while the cursor was no good. The root tells of itself.
+    """
+    first = fixtures.nodes(spark, sf_dir)
+    r = F.regexp_extract("id", "^d:([0-9]+)$", 1).try_cast("bigint") % 6
+    late = first.withColumn("r", r).filter("r is null or r <> 0").select("id", "parent_ids", F.when(F.col("r") == 1, F.concat(F.lit("new-"), "name")).otherwise(F.col("name")).alias("name"), "is_folder", F.when(F.col("r") == 2, "edited").when(F.col("r") == 4, "late").otherwise(F.col("payload")).alias("payload"))
+    listings = iter((first, late))
+    service = feed.Service(cursor=lambda: "now", listing=lambda: next(listings), root_is_there=lambda: True)
+    follower = feed.Follower(spark, snapshots.SnapshotStore(spark, stages.shared_folder(spark, "feed")), service)
+    follower.full_scan(0)
+    d = fixtures.table(spark, sf_dir, "documents").withColumn("r", F.col("doc_id") % 6)
+    entry = F.to_json(F.struct(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), (F.col("r") == 0).alias("tombstone"), F.when(F.col("r") == 1, F.concat(F.lit("new-doc-"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), F.when(F.col("r") == 2, "edited").alias("payload")))
+    none = F.lit(None).cast(f"struct<{apply._struct(feed.ERROR)}>")
+    told = d.filter("r < 3").select(F.lit(1).alias("page"), F.col("doc_id").cast("int").alias("seq"), entry.alias("entry"), none.alias("error"))
+    own = spark.range(1).select(F.lit(1).alias("page"), F.lit(-1).alias("seq"), F.lit('{"id": "root", "name": "top", "is_folder": true}').alias("entry"), none.alias("error"))
+    gone = spark.range(1).select(F.lit(2).alias("page"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("entry"), F.struct(F.lit(410).alias("status"), F.lit("").alias("summary")).alias("error"))
+    batch = told.unionByName(own)
+    done = [follower.apply(batch, 0), follower.apply(batch, 1), follower.apply(batch, 1), follower.apply(gone, 2)]
+    nodes = stages.cut(follower.nodes())
+    return nodes.join(tree.resolve_paths(nodes), "id").select("id", "path", "payload", F.lit(",".join(done)).alias("done"))

@@ -156,15 +156,39 @@ class SnapshotStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.option("basePath", part["path"]).schema(f"{schema}, bucket_ int").parquet(*[f"{part['path']}/bucket_={b}" for b in buckets]).drop("bucket_")
 
-    def save(self, tables: dict[str, DataFrame], cursor: str | None | _Keep = KEEP, *, keys: dict[str, str] | None = None, buckets: int | None = None, based_on: Version | None = None) -> int:
-        """Write whole tables, then the manifest. Tables that aren't given stay as they are; those with a key in ``keys`` are put in buckets."""
+    def save(self, tables: dict[str, DataFrame], cursor: str | None | _Keep = KEEP, *, keys: dict[str, str] | None = None, buckets: int | None = None, based_on: Version | None = None, increments: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> int:
+        """Write whole tables and, of tables that have a key, increments (upserts, deletes), then the manifest.
+
+        Tables that aren't given stay as they are; those with a key in ``keys`` are put in buckets.
+        """
         base = based_on or self.current() or Version()
         change = {}
         for name, rows in tables.items():
             key = (keys or {}).get(name)
             count = None if key is None else buckets or max(1, min(MOST_BUCKETS, rows.count() // BUCKET_ROWS))
             change[name] = ("whole", {"base": self._write(rows, name, key, count), "steps": [], "key": key, "buckets": count, "schema": rows._jdf.schema().toDDL()})
-        return self._commit(base, change, cursor).number
+        for name, (upserts, deletes) in (increments or {}).items():
+            change[name] = self._step(base, name, upserts, deletes, base.tables[name]["key"])
+        version = self._commit(base, change, cursor)
+        for name in increments or {}:
+            version = self._compacted(version, name)
+        return version.number
+
+    def _step(self, base: Version, table: str, upserts: DataFrame, deletes: DataFrame, key: str) -> tuple[str, dict]:
+        place = base.tables[table]
+        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(upserts.select(key), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
+        return "step", {"key": key, "step": self._write(rows, table, key if place["buckets"] else None, place["buckets"])}
+
+    def _compacted(self, version: Version, table: str, most_steps: int = 20) -> Version:
+        """The version with a table written whole that has had ``most_steps`` increments."""
+        place = version.tables[table]
+        if len(place["steps"]) < most_steps:
+            return version
+        try:
+            keys = {table: place["key"]} if place["buckets"] else None
+            return self.version(self.save({table: self.load(table, version)}, keys=keys, buckets=place["buckets"], based_on=version))
+        except CommitConflict:  # the next one does it
+            return version
 
     def commit_increment(self, table: str, upserts: DataFrame, deletes: DataFrame, cursor: str | None | _Keep = KEEP, key: str = "path", most_steps: int = 20, based_on: Version | None = None) -> int:
         """Write only what changed in a table and then the manifest with the cursor. After ``most_steps`` of them the table is written whole.
@@ -175,17 +199,8 @@ class SnapshotStore:
         base = based_on or self.current() or Version()
         if table not in base.tables:
             return self.save({table: upserts}, cursor, based_on=base)
-        place = base.tables[table]
-        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(upserts.select(key), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
-        step = self._write(rows, table, key if place["buckets"] else None, place["buckets"])
-        version = self._commit(base, {table: ("step", {"key": key, "step": step})}, cursor)
-        if len(version.tables[table]["steps"]) < most_steps:
-            return version.number
-        keys = {table: key} if place["buckets"] else None
-        try:
-            return self.save({table: self.load(table)}, keys=keys, buckets=place["buckets"], based_on=version)
-        except CommitConflict:  # the next one does it
-            return version.number
+        version = self._commit(base, {table: self._step(base, table, upserts, deletes, key)}, cursor)
+        return self._compacted(version, table, most_steps).number
 
     def load(self, table: str, version: Version | None = None) -> DataFrame | None:
         """The rows of a table: its last whole version with the increments since put on it, the latest word on each key."""
