@@ -78,6 +78,53 @@ def test_merges():
     assert "\r\n" in merge.three_way("a\r\nb\r\nc", "x\r\nb\r\nc", "a\r\nb\r\nz").content
 
 
+def test_merges_of_long_texts_need_memory_in_proportion():
+    import tracemalloc
+
+    rng = random.Random(5)
+    lines = [f"line {i}" for i in range(100_000)]
+    mixed = rng.sample(lines, len(lines))
+    repeated = [f"r{rng.randrange(50)}" for _ in range(20_000)]
+    tracemalloc.start()
+    for base, other in ((lines, mixed), (repeated, rng.sample(repeated, len(repeated))), (lines, [x for i, x in enumerate(lines) if i % 3])):
+        found, at = [], 0
+        for h in merge.hunks(base, other):
+            found += [*base[at : h.start], *h.lines]
+            at = h.start + h.length
+        assert found + base[at:] == other
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    one, two = merge.matches(lines, mixed), merge.matches(mixed, mixed)
+    assert len(one) >= 600 and len(two) == len(mixed)
+    # two whole rewrites of one list, and far edits of both sides
+    assert not merge.three_way(*("\n".join(x) for x in (lines[:20_000], rng.sample(lines[:20_000], 20_000), rng.sample(lines[:20_000], 20_000)))).success
+    mine, theirs = list(lines), list(lines)
+    mine[10::1000], theirs[500::1000] = ["mine"] * 100, ["theirs"] * 100
+    both = list(mine)
+    both[500::1000] = ["theirs"] * 100
+    merged = merge.three_way(*("\n".join(x) for x in (lines, mine, theirs)))
+    assert merged.success and merged.content == "\n".join(both)
+
+
+def test_small_edits_are_the_shortest(monkeypatch):
+    rng = random.Random(9)
+
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    texts = [rng.choices("abcdef", k=rng.randrange(14)) for _ in range(120)]
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert len(merge.matches(a, b)) == longest(a, b)
+    monkeypatch.setattr(merge, "MOST_EDITS", 2)
+    for a, b in zip(texts, texts[1:], strict=False):
+        pairs = merge.matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 SIDE = "struct<is_directory:boolean,size:bigint,mtime:bigint,hash:string,remote_checksum:struct<algo:string,value:string>>"
 PREV = "struct<hash:string,local_mtime:bigint,remote_mtime:bigint,local_size:bigint,remote_size:bigint,remote_checksum:struct<algo:string,value:string>>"
 
@@ -142,13 +189,22 @@ def test_listing_source_sees_hidden_names(spark, tmp_path):
     assert {(r["path"], r["size"]) for r in rows} == {(n, 2) for n in ("a.md", ".hidden/b.md", "_c/d.md", "e/.f")}
 
 
-def test_listing_of_any_store(spark, tmp_path):
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_listing_of_any_store(spark, tmp_path, scheme):
+    from urllib.parse import quote
+
     top = tmp_path / "top dir"
-    for name in ("a.md", "b+c/top dir/d e.md"):
+    files = ("a.md", ".b", "b+c/top dir/d e.md", "b+c/.git/config", "_x/y/z/.w")
+    for name in files:
         (top / name).parent.mkdir(exist_ok=True, parents=True)
         (top / name).write_text("xyz")
-    rows = feeds.store_listing(spark, str(top)).collect()
-    assert {(r["path"], r["size"]) for r in rows} == {("a.md", 3), ("b+c/top dir/d e.md", 3)}
+    (top / "none" / "here").mkdir(parents=True)
+    feeds.register(spark)
+    rows = spark.read.format("tidemark_listing").load(f"file://{quote(str(top))}" if scheme else str(top)).collect()
+    assert {(r["path"], r["size"]) for r in rows if not r["is_directory"]} == {(name, 3) for name in files} and all(r["mtime"] > 0 for r in rows if not r["is_directory"])
+    assert sorted(r["path"] for r in rows if r["is_directory"]) == ["_x", "_x/y", "_x/y/z", "b+c", "b+c/.git", "b+c/top dir", "none", "none/here"]
+    with pytest.raises(Exception, match="no folder"):
+        spark.read.format("tidemark_listing").load(str(tmp_path / "absent")).collect()
 
 
 def test_page_source_in_batch_and_stream(spark, tmp_path):
@@ -338,3 +394,17 @@ def test_hot_mode_reads_few_bytes_of_stored_listings(spark):
     assert sorted((r["path"].split("/")[-1], r["action"]) for r in detect.plan(hot).collect()) == [("doc-21.md", "push"), ("doc-43.md", "conflict")]
     stored = sum(_bytes_read(spark, store.load(t)) for t in ("local", "remote", "baseline"))
     assert _bytes_read(spark, hot) < stored / 4
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 40])
+def test_sums_of_blocks_are_those_of_windows(spark, monkeypatch, blocks):
+    from tidemark.operators import guards
+
+    rng = random.Random(4)
+    rows = [(i, None if i % 90 == 0 else "hot" if i % 3 else f"k{i % 5}", rng.choice([0, 1, 3599, 3600, 3601, rng.randrange(20_000)]), rng.randrange(4)) for i in range(1500)]
+    events = spark.createDataFrame(rows, "id long, key string, s long, n int").select("id", "key", F.timestamp_seconds("s").alias("ts"), "n")
+    window = {r["id"]: (r["total"], r["tripped"]) for r in guards.deletion_velocity(events, 300).collect()}
+    by_blocks = guards.block_totals(events, blocks)
+    assert {r["id"]: r["total"] for r in by_blocks.collect()} == {k: v[0] for k, v in window.items()}
+    monkeypatch.setattr(guards, "MOST_KEY_ROWS", 400)
+    assert {r["id"]: (r["total"], r["tripped"]) for r in guards.deletion_velocity(events, 300).collect()} == window

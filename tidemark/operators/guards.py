@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import stages
 from tidemark.operators.schema import HISTORY
 
 #: Fixed values.
@@ -61,10 +62,47 @@ def check_listings(mixed: DataFrame) -> None:
         raise IncompleteListing(f"{row['incomplete']} listing: {row['local_files']} local and {row['remote_files']} remote files, {row['baseline']} in the baseline")
 
 
+HOUR = 3_600_000_000
+#: Rows of a key that one task sums in a window; beyond that, sums go by blocks.
+MOST_KEY_ROWS = 500_000
+
+
 def deletion_velocity(deletions: DataFrame, limit: int = VELOCITY_LIMIT) -> DataFrame:
-    """``deletions`` is (key, ts, n). Adds ``total`` over the hour up to each row, its start included, and ``tripped``."""
-    hour = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return deletions.withColumn("total", F.sum("n").over(hour)).withColumn("tripped", F.col("total") > limit)
+    """``deletions`` is (key, ts, n). Adds ``total`` over the hour up to each row, its start included, and ``tripped``.
+
+    A key of some hundred thousand rows is a window of its own. With a key of more, all go by ``block_totals``, where no task has all rows of a key.
+    """
+    hot = deletions.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > MOST_KEY_ROWS)
+    if hot.isEmpty():
+        hour = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-HOUR, 0)
+        totals = deletions.withColumn("total", F.sum("n").over(hour))
+    else:
+        totals = block_totals(deletions)
+    return totals.withColumn("tripped", F.col("total") > limit)
+
+
+def block_totals(deletions: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``deletions`` with ``total`` as the difference of two running sums, one up to each row's time and one up to an hour before.
+
+    Rows and the two places that each asks about are sorted into ranges by key and time. Each range sums its own, the sums of the ranges of a key,
+    which are few, are summed before it, and so each row costs as much in a key of many rows as in one of few.
+    """
+    spark = deletions.sparkSession
+    rows = stages.cut(deletions.withColumn("row_", F.monotonically_increasing_id()))
+    at = F.unix_micros("ts")
+    entry = lambda time, asks, n: F.struct(time.alias("at"), F.lit(asks).alias("asks"), n.cast("bigint").alias("n"))
+    # at one time what is added comes first: the hour ends with the row's time and what else has it, and begins with what is exactly an hour before
+    asked = rows.filter("ts is not null").select("key", "row_", F.explode(F.array(entry(at, 0, F.coalesce("n", F.lit(0))), entry(at, 1, F.lit(0)), entry(at - HOUR - 1, -1, F.lit(0)))).alias("e")).select("key", "row_", "e.*")
+    places = asked.withColumn("late", F.abs("asks"))
+    order = ["key", "at", "late", "row_"]
+    ranged = stages.cut(places.repartitionByRange(blocks or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("block", F.spark_partition_id()))
+    sums = ranged.groupBy("key", "block").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("key", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("key", "block").orderBy("at", "late", "row_").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("run", F.sum("n").over(inside)).join(starts.withColumnRenamed("key", "key_"), F.col("key").eqNullSafe(F.col("key_")) & (ranged["block"] == starts["block"]))
+    total = running.filter("asks <> 0").groupBy("row_").agg(F.sum(F.col("asks") * (F.col("run") + F.col("start"))).alias("total"))
+    return rows.join(total, "row_", "left").drop("row_")
 
 
 def action_counts(plan: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -28,26 +29,33 @@ class ListingReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        """The store and the folder in it; without a scheme it is a folder that all executors see."""
+        store, top = fs.FileSystem.from_uri(self.root) if re.match("[A-Za-z][A-Za-z0-9+.-]+:", self.root) else (fs.LocalFileSystem(), os.path.abspath(self.root))
+        return store, top.rstrip("/")
+
     def partitions(self) -> list[Folder]:
-        if not os.path.isdir(self.root):
+        store, top = self._store()
+        if store.get_file_info(top).type != fs.FileType.Directory:
             raise ValueError(f"no folder {self.root}")
-        inside = lambda folder: sorted(e.name for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False))
+        inside = lambda folder: sorted(e.base_name for e in store.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"))) if e.type == fs.FileType.Directory)
         tops = inside("")
         return [Folder("", False), *[Folder(t, False) for t in tops], *[Folder(f"{t}/{n}", True) for t in tops for n in inside(t)]]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        top = Path(self.root) / partition.path
-        walked = os.walk(top) if partition.deep else [(str(top), [], [e.name for e in os.scandir(top) if e.is_file()])]
-        for folder, _, files in walked:
-            if os.path.abspath(folder) != os.path.abspath(self.root):
-                yield os.path.relpath(folder, self.root), True, 0, 0
-            for name in files:
-                found = os.stat(os.path.join(folder, name))
-                yield os.path.relpath(os.path.join(folder, name), self.root), False, found.st_size, found.st_mtime_ns // 1_000_000
+        store, top = self._store()
+        if partition.path:
+            yield partition.path, True, 0, 0
+        for e in store.get_file_info(fs.FileSelector(f"{top}/{partition.path}".rstrip("/"), recursive=partition.deep)):
+            path = e.path.rstrip("/")[len(top) + 1 :]
+            if e.type == fs.FileType.File:
+                yield path, False, e.size, e.mtime_ns // 1_000_000
+            elif partition.deep:
+                yield path, True, 0, 0
 
 
 class ListingSource(DataSource):
-    """``spark.read.format("tidemark_listing").load(folder)``: unlike the binary file source, it lists names that begin with "." or "_"."""
+    """``spark.read.format("tidemark_listing").load(folder)``, of any store that Arrow reads: unlike the binary file source, it lists names that begin with "." or "_", and reads no content."""
 
     @classmethod
     def name(cls) -> str:
@@ -60,17 +68,6 @@ class ListingSource(DataSource):
         return ListingReader(self.options["path"])
 
 
-def store_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, is_directory, size, mtime) of the files below a folder of any store that Spark reads. No content is read; names that begin with "." or "_" aren't listed."""
-    from pyspark.sql import functions as F
-
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # paths are whole addresses
-    top = "/" + folder.split("://", 1)[-1].strip("/") + "/"
-    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
-    return found.select(F.substring(path, F.locate(top, path) + len(top), F.length(path)).alias("path"), F.lit(False).alias("is_directory"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
-
-
 class Page(InputPartition):
     def __init__(self, number: int, path: str):
         self.number, self.path = number, path
