@@ -6,10 +6,11 @@ Events are (ts, stream_key, kind, path, old_path). State is kept per stream key,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -86,64 +87,80 @@ def in_order(events: DataFrame, order: list[str], schema: str, start: Callable[[
     return rows.mapInArrow(fold, schema)
 
 
-class _Foreground:
+class Foreground:
+    """Whether a departure waits for its return, and when the last cycle began."""
+
     departed, last = False, None
 
 
+def foreground_step(state: Foreground, row: tuple) -> list[tuple]:
+    micros, kind, _ = row
+    if kind == "departed":
+        state.departed = True
+    elif kind == "cycle":
+        state.last = micros
+    elif kind == "returned" and state.departed and (state.last is None or micros - state.last >= COOLDOWN_MS * 1000):
+        state.departed, state.last = False, micros
+        return [(micros,)]
+    return []
+
+
+def never_due(state: object) -> None:
+    return None
+
+
+def foreground_place() -> Column:
+    """At one time cycles come first, then departures, then returns."""
+    return F.array_position(F.array(*map(F.lit, ("cycle", "departed", "returned"))), F.col("kind")).cast("int")
+
+
 def foreground_triggers(events: DataFrame) -> DataFrame:
     """(stream_key, ts) of cycles that coming back to the foreground starts.
 
     ``events`` has ``kind`` departed, returned or cycle. A return counts once after a departure, and not within the cooldown after a
-    cycle; a return in the cooldown keeps the departure for the next one. At one time cycles come first, then departures, then returns.
-    Works in batch.
+    cycle; a return in the cooldown keeps the departure for the next one. Works in batch; ``live`` has the form for streams.
     """
-
-    def step(state: _Foreground, row: tuple) -> list[tuple]:
-        ts, kind, _ = row
-        if kind == "departed":
-            state.departed = True
-        elif kind == "cycle":
-            state.last = ts
-        elif state.departed and (state.last is None or ts - state.last >= COOLDOWN_MS * 1000):
-            state.departed, state.last = False, ts
-            return [(ts,)]
-        return []
-
-    place = F.array_position(F.array(*map(F.lit, ("cycle", "departed", "returned"))), F.col("kind"))
-    timed = events.withColumn("micros", F.unix_micros("ts")).withColumn("place", place)
-    found = in_order(timed, ["micros", "place"], "stream_key string, micros long", _Foreground, step, ["micros", "kind", "place"])
+    timed = events.withColumn("micros", F.unix_micros("ts")).withColumn("place", foreground_place())
+    found = in_order(timed, ["micros", "place"], "stream_key string, micros long", Foreground, foreground_step, ["micros", "kind", "place"])
     return found.select("stream_key", F.timestamp_micros("micros").alias("ts"))
 
 
-class _Running:
-    until, again, last = None, False, None
+class Running:
+    """When the cycle that runs will end, and the changes that came meanwhile."""
+
+    until, again = None, 0
+
+
+def cycle_step(length: int, state: Running, row: tuple) -> list[tuple]:
+    """A request starts a cycle of ``length`` if none runs; a change that comes while one runs has another one follow it."""
+    micros, kind, _ = row
+    out = []
+    if state.until is not None and micros >= state.until and state.again:
+        out.append((state.until, state.again))
+        state.until, state.again = state.until + length, 0
+    if kind in ("signal", "change") and (state.until is None or micros >= state.until):
+        out.append((micros, int(kind == "change")))
+        state.until, state.again = micros + length, 0
+    elif kind == "change":
+        state.again += 1
+    return out
+
+
+def cycle_due(state: Running) -> int | None:
+    return state.until if state.again else None
 
 
 def cycles(requests: DataFrame, seconds: int) -> DataFrame:
     """(stream_key, micros, n): the start of each cycle that requests (ts, kind) cause, where a cycle takes ``seconds``.
 
     A ``signal`` that comes while a cycle runs is dropped, as that cycle looks at everything anyway. A ``change`` that comes then is
-    remembered, and one more cycle follows at once, whatever the number of changes. ``n`` counts the changes that it answers.
+    remembered, and one more cycle follows at once, whatever the number of changes. ``n`` counts the changes that it answers. Works in batch;
+    ``live`` has the form for streams.
     """
-
-    def step(state: _Running, row: tuple) -> list[tuple]:
-        ts, kind, _ = row
-        out = []
-        if state.until is not None and ts >= state.until and state.again:
-            out.append((state.until, state.again))
-            state.until, state.again = state.until + seconds * 1_000_000, 0
-        if ts is not None and (state.until is None or ts >= state.until):
-            out.append((ts, int(kind == "change")))
-            state.until, state.again = ts + seconds * 1_000_000, 0
-        elif kind == "change":
-            state.again = (state.again or 0) + 1
-        return out
-
-    # after the last request of a stream comes one that only lets what is remembered run
+    # after the last request of a stream comes a row that only lets what is remembered run
     far = requests.select("stream_key").distinct().select("stream_key", F.lit(1 << 60).alias("micros"), F.lit("end").alias("kind"), F.lit(3).alias("place"))
     timed = requests.select("stream_key", F.unix_micros("ts").alias("micros"), "kind", F.when(F.col("kind") == "change", 1).otherwise(2).alias("place"))
-    found = in_order(timed.unionByName(far), ["micros", "place"], "stream_key string, micros long, n long", _Running, step, ["micros", "kind", "place"])
-    return found.filter(F.col("micros") < (1 << 60))
+    return in_order(timed.unionByName(far), ["micros", "place"], "stream_key string, micros long, n long", Running, partial(cycle_step, seconds * 1_000_000), ["micros", "kind", "place"])
 
 
 def velocity(deletions: DataFrame, late: str = "10 minutes") -> DataFrame:
