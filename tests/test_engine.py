@@ -78,6 +78,17 @@ def test_merges():
     assert "\r\n" in merge.three_way("a\r\nb\r\nc", "x\r\nb\r\nc", "a\r\nb\r\nz").content
 
 
+def test_a_row_without_its_required_fields_fails_the_read(spark):
+    from pyspark.errors import PySparkException
+
+    from tidemark.functions import providers
+
+    rows = spark.createDataFrame([("1", "a", "x"), ("2", None, "y")], "id string, name string, other string")
+    assert providers.required(rows.filter("id = '1'"), "id", "name").count() == 1 and set(providers.required(rows, "id").columns) == {"id", "name", "other"}
+    with pytest.raises(PySparkException):
+        providers.required(rows, "id", "name").collect()
+
+
 def test_merges_of_long_texts_need_memory_in_proportion():
     import tracemalloc
 

@@ -53,6 +53,14 @@ def test_cycles(rocks, tmp_path):
     assert sorted(got) == sorted(map(tuple, events.cycles(batch, 10).collect())) and len(got) > 20
 
 
+def test_a_path_is_told_once_while_the_watermark_holds_it(rocks, tmp_path):
+    rows = [(k, float(s), "event") for k, s in zip("aabbabca", (0, 1, 2, 2, 30, 31, 40, 300), strict=True)]
+    with_path = lambda s: s.withColumns({"path": F.lit("p"), "old_path": F.when(F.col("stream_key") == "c", "q")})
+    got, batch = drained(rocks, tmp_path, rows, lambda s: events.distinct_dirty(with_path(s)).select("stream_key", "path"), files=2)
+    assert sorted(got) == [("a", "p"), ("b", "p"), ("c", "p"), ("c", "q")]
+    assert sorted(set(got)) == sorted({(r["stream_key"], r["path"]) for r in events.dirty_paths(with_path(batch)).collect()})
+
+
 def test_foreground(rocks, tmp_path):
     got, batch = drained(rocks, tmp_path, rows_of(["departed", "returned", "cycle"], 3), lambda s: live.foreground_triggers(s))
     assert sorted(got) == sorted(map(tuple, events.foreground_triggers(batch).select("stream_key", F.unix_micros("ts")).collect())) and got

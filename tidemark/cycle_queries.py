@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import oracles
-from tidemark.operators import apply, detect, exclude, snapshots, stages, tree
+from tidemark.operators import apply, detect, exclude, merge, snapshots, stages, state, tree
 from tidemark.plans import cycle, fixtures
 from tidemark.sources import crawl
 from tidemark.streaming import feed
@@ -217,6 +217,41 @@ def settled_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(empty.agg(F.count(F.lit(1)).alias("empty_folders"))))
 
 
+@_query("""WITH d AS (SELECT source || '/' || lang || '/doc-' || doc_id || '.md' AS path, text, doc_id FROM documents)
+    SELECT path, CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(text)) END AS size, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS hash FROM d WHERE doc_id % 3 = 0""")
+def stat_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single files are looked up by their bytes: the listing's size is stale and it has no hash."""
+    d = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.concat_ws("/", "source", "lang", F.lit("doc-")), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    listing = d.filter("doc_id % 2 = 0").select("path", F.lit(False).alias("is_directory"), F.lit(1).cast("bigint").alias("size"), F.lit("").alias("hash"))
+    return state.stat(d.filter("doc_id % 3 = 0"), listing, d.select("path", F.col("text").alias("content"))).select("path", "found.size", "found.hash")
+
+
+@_query("""WITH n AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, doc_id % 3 = 0 AS folder FROM documents)
+    SELECT CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 5 = 1 THEN '' ELSE source || '/' || lang || '/' || doc_id END AS path, (doc_id % 3 <> 0)::INTEGER AS file, CASE WHEN doc_id % 5 IN (0, 1) THEN 1 ELSE 3 END AS depth FROM documents""")
+def entry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which entries of a page apply one by one: folders before files, by depth; an unknown path counts as the first level."""
+    d = fixtures.table(spark, sf_dir, "documents")
+    path = F.when(F.col("doc_id") % 5 == 0, F.col("source")).when(F.col("doc_id") % 5 == 1, "").otherwise(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    file, depth = tree.shallow_first(F.col("doc_id") % 3 == 0, path)
+    return d.select(path.alias("path"), file.alias("file"), depth.alias("depth"))
+
+
+@_query("""WITH d AS (SELECT source || '/' || doc_id AS p, doc_id % 5 AS r FROM documents)
+    SELECT p || CASE WHEN r = 3 THEN '.md' WHEN r = 4 THEN '.canvas' ELSE '.json' END AS path, r IN (0, 2, 4) AS success, r IN (0, 3, 4) AS usable,
+      CASE r WHEN 0 THEN 'x' WHEN 4 THEN 'x' END AS a, CASE r WHEN 0 THEN 'z' WHEN 4 THEN 'z' END AS c FROM d""")
+def merge_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of structured files have to come out as JSON. Residues modulo 5: 0 and 4 two edits, 1 one place, 2 a merge that is no JSON, 3 one place in plain text."""
+    d = fixtures.table(spark, sf_dir, "documents").withColumn("r", F.col("doc_id") % 5)
+    text = lambda a, b, c, first="{": F.concat(F.lit(f'{first}\n"a": "'), a, F.lit('",\n"b": "'), b, F.lit('",\n"c": "'), c, F.lit('"\n}'))
+    one, id_ = F.lit("1"), F.col("doc_id").cast("string")
+    local = F.when(F.col("r").isin(1, 3), text(one, F.lit("mine"), one)).when(F.col("r") == 2, text(one, id_, one, "[")).otherwise(text(F.lit("x"), id_, one))
+    remote = F.when(F.col("r").isin(1, 3), text(one, F.lit("theirs"), one)).otherwise(text(one, id_, F.lit("z")))
+    path = F.concat("source", F.lit("/"), id_, F.when(F.col("r") == 3, ".md").when(F.col("r") == 4, ".canvas").otherwise(".json"))
+    merged = merge.merge_texts(d.select(path.alias("path"), text(one, id_, one).alias("base"), local.alias("local"), remote.alias("remote")))
+    good = F.when(F.col("usable") & F.col("merged.success"), F.col("merged.content"))
+    return merged.select("path", F.col("merged.success").alias("success"), "usable", F.get_json_object(good, "$.a").alias("a"), F.get_json_object(good, "$.c").alias("c"))
+
+
 # A tree that is listed folder by folder, and a feed of changes to it
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -50,7 +49,3 @@ def digest(content: Column, algo: Column) -> Column:
 
 def is_computable(algo: Column) -> Column:
     return algo != "opaque"
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

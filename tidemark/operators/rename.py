@@ -80,7 +80,8 @@ def _by_folder(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
-    return pairs if "ordinal" in pairs.columns else pairs.withColumn("ordinal", F.monotonically_increasing_id())
+    """Without an ``ordinal``, pairs come in the order of their old paths, which every job and layout sees alike."""
+    return pairs if "ordinal" in pairs.columns else pairs.withColumn("ordinal", F.col("old_path"))
 
 
 def local_folders(plan: DataFrame, folders: DataFrame, files: DataFrame) -> Rewrite:
@@ -185,9 +186,3 @@ def open_chains(events: DataFrame, steps: DataFrame) -> DataFrame:
     taken = events.groupBy("stream_key", F.col("old_path").alias("new_path")).agg(F.max("seq").alias("taken"))
     open_ = last.join(taken, ["stream_key", "new_path"], "left").filter(F.col("taken").isNull() | (F.col("taken") < F.col("seq")))
     return open_.filter("old_path <> new_path").select("stream_key", "new_path", "old_path")
-
-
-def first_of_target(pairs: DataFrame) -> DataFrame:
-    """One pair for each new path, the last by ordinal."""
-    latest = Window.partitionBy("new_path").orderBy(F.desc("ordinal"))
-    return _numbered(pairs).withColumn("n", F.row_number().over(latest)).filter("n = 1").drop("n")

@@ -63,10 +63,19 @@ def get_many(baseline: DataFrame, keys: DataFrame) -> DataFrame:
     return baseline.join(keys.select("path").distinct(), "path", "left_semi")
 
 
-def stat(wanted: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each wanted path in its normal form with what the listing has there, null if nothing."""
+def stat(wanted: DataFrame, listing: DataFrame, content: DataFrame | None = None) -> DataFrame:
+    """Each wanted path in its normal form with what the listing has there, null if nothing.
+
+    With ``content`` (path, content) the bytes decide: a file's ``size`` and sha256 ``hash`` are those of what is stored now.
+    """
     keys = wanted.select(paths.normalize(F.col("path")).alias("path")).distinct()
-    return keys.join(listing.select("path", F.struct(*[c for c in listing.columns if c != "path"]).alias("found")), "path", "left")
+    found = keys.join(listing.select("path", F.struct(*[c for c in listing.columns if c != "path"]).alias("found")), "path", "left")
+    if content is None:
+        return found
+    stored = found.join(content.select("path", F.col("content").cast("binary").alias("content")), "path", "left")
+    file = F.col("content").isNotNull() & F.col("found").isNotNull() & ~F.col("found.is_directory")
+    filled = F.col("found").withField("size", F.octet_length("content").cast("bigint")).withField("hash", F.sha2("content", 256))
+    return stored.select("path", F.when(file, filled).otherwise(F.col("found")).alias("found"))
 
 
 def read_content(wanted: DataFrame, listing: DataFrame, content: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import rename, stages
 
@@ -73,7 +72,3 @@ def pullable(opened: DataFrame, mixed: DataFrame) -> DataFrame:
     local, remote, prev = F.col("local"), F.col("remote"), F.col("prev")
     good = prev.isNotNull() & remote.isNotNull() & ~F.coalesce(remote["is_directory"], F.lit(False)) & p.remote_changed(remote, prev) & (local.isNull() | ~p.local_changed(local, prev))
     return opened.select("path").distinct().join(mixed, "path").filter(good).select("path", "remote", "prev")
-
-
-def latest_by_key(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.desc(order)))).filter("n = 1").drop("n")
