@@ -35,7 +35,7 @@ from tidemark.llm.encoder import vocabulary_path
 MARK = "▁"
 CHUNK_CHARS = 1 << 16
 #: Remembered segments, the characters of the longest, and transitions; beyond that they are counted and compiled anew, so memory stays bounded.
-SEGMENTS, LONGEST, TRANSITIONS = 500_000, 64, 400_000
+SEGMENTS, LONGEST, TRANSITIONS = 500_000, 64, 700_000
 
 
 class State(NamedTuple):
@@ -120,7 +120,8 @@ class Transducer:
         #: Else every text goes to the library.
         self.usable = plain and model.trainer_spec.byte_fallback and model.trainer_spec.model_type == 2 and spec.name == "identity" and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p in self.score)
         self.begins = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
-        self.apart = lru_cache(1 << 17)(self._apart)
+        self.alone = lru_cache(1 << 16)(self._alone)
+        self.apart = lru_cache(1 << 18)(self._apart)
         self.segments: dict[str, int] = {}
         self._forget()
 
@@ -139,24 +140,53 @@ class Transducer:
 
     def _merged(self, text: str) -> list[str]:
         """The definition: merge the best-scored neighbours, the leftmost of equals, until none is a piece."""
-        parts = list(text)
+        return self._steps(text)[0]
+
+    def _steps(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """The parts that are left, and for each merge its score and the first and the last part after it."""
+        parts, steps = list(text), []
         while True:
             best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
             if best is None:
-                return parts
+                return parts, steps
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            steps.append((best[0], parts[0], parts[-1]))
+
+    def _alone(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters; None if these end as several parts."""
+        parts, steps = self._steps(piece)
+        return steps if len(parts) == 1 else None
 
     def _apart(self, left: str | None, right: str) -> bool:
-        """Whether the encoding of both, one after the other, is these two pieces."""
-        return self._merged((left or "") + right) == ([left, right] if left else [right])
+        """Whether the encoding of both, one after the other, is these two pieces.
+
+        The merges inside of each are those that it has alone, the better-scored of both sides' next ones first; the pieces stay apart unless
+        the parts that touch are a piece themselves and come before either.
+        """
+        if left is None:
+            return self.alone(right) is not None
+        before, after = self.alone(left), self.alone(right)
+        if before is None or after is None:
+            return False
+        a, b, i, j, score = left[-1], right[0], 0, 0, self.score
+        while True:
+            across, mine, theirs = score.get(a + b), before[i][0] if i < len(before) else None, after[j][0] if j < len(after) else None
+            if across is not None and (mine is None or across > mine) and (theirs is None or across >= theirs):
+                return False
+            if mine is not None and (theirs is None or mine >= theirs):
+                a, i = before[i][2], i + 1
+            elif theirs is not None:
+                b, j = after[j][1], j + 1
+            else:
+                return True
 
     def _step(self, state: State, char: str) -> tuple[State, int]:
         """The transition: the next state and the change in emitted tokens."""
-        text = state.suffix + char
-        for i in range(len(text)):
-            if text[i:] in self.score and self.apart(state.last[i], text[i:]):
-                piece, at = text[i:], i
+        text, score, apart = state.suffix + char, self.score, self.apart
+        for at, before in enumerate(state.last):
+            piece = text[at:]
+            if piece in score and apart(before, piece):
                 break
         else:  # a character without a piece: its bytes, and nothing merges with it
             return State("", (char,), (0,)), len(char.encode())
