@@ -76,15 +76,27 @@ def license_spans(text, templates):
         for i in range(len(w) - k + 1):
             for j in places.get(tuple(w[i : i + k]), ()):
                 hits.setdefault(i - j, []).append((i, j))
-        group = []
+        islands, group = [], []
         for d in [*sorted(d for d in hits if 64 * len(hits[d]) >= grams), None]:
             if group and (d is None or d - group[-1] > 3):
                 held = [p for g in group for p in hits[g]]
-                start, end, share = min(i for i, _ in held), max(i for i, _ in held) + k, len({j for _, j in held}) / grams
-                if share >= least and end - start <= math.ceil(len(t) * 1.5):
-                    out.append((label, start, end, share))
+                ats = {j for _, j in held}
+                islands.append((min(i for i, _ in held), max(i for i, _ in held) + k, min(ats), max(ats), len(held), ats))
                 group = []
             group.append(d)
+        chains = []
+        for x in sorted(islands, key=lambda x: x[:3]):
+            last = chains[-1][-1] if chains else None
+            if x[4] < 3 or len(t) < 24:
+                chains.insert(0, [x])
+            elif last and last[4] >= 3 and x[0] - last[1] <= len(t) // 2 and x[2] > last[3] - 3:
+                chains[-1].append(x)
+            else:
+                chains.append([x])
+        for chain in chains:
+            whole = (min(x[0] for x in chain), max(x[1] for x in chain), set().union(*(x[5] for x in chain)))
+            holds = lambda x: len(x[-1]) / grams >= least and x[1] - x[0] <= math.ceil(len(t) * 1.5)  # noqa: B023, E731
+            out += [(label, x[0], x[1], len(x[-1]) / grams) for x in ([whole] if holds(whole) else filter(holds, chain))]
     return out
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from tidemark.llm import common, contamination, encoder, packing, pii, quality, sharding, substrings, textkit, token_counts, token_files
+from tidemark.llm import common, contamination, encoder, licenses, packing, pii, quality, sharding, substrings, textkit, token_counts, token_files
 
 
 def odd_texts(n: int, seed: int = 7) -> list[str]:
@@ -338,3 +338,24 @@ def test_similar_documents_do_not_depend_on_the_layout(spark):
     laid = [common.materialize(docs.repartition(n, "doc_id"), "layout") for n in (3, 11)]
     a, b = (dict(join_similar(x).select("doc_id", "component_id").collect()) for x in laid)
     assert a == b
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "apache-2.0"])
+@pytest.mark.parametrize("change", ["4", "10", "30", "twice", "out", "both"])
+def test_licences_with_words_put_in_or_left_out(spark, label, change):
+    words = licenses.TEXTS[label].split()
+    put = lambda n: [f"zz{i}" for i in range(n)]
+    at = len(words) // 2
+    text = {
+        "4": [*words[:at], *put(4), *words[at:]],
+        "10": [*words[:at], *put(10), *words[at:]],
+        "30": [*words[:at], *put(30), *words[at:]],
+        "twice": [*words[: at - 10], *put(5), *words[at - 10 :], "and", "again", *words[: at + 7], *put(6), *words[at + 7 :]],
+        "out": [*words[: at - 9], *words[at + 9 :]],
+        "both": [*words[:20], *put(4), *words[20 : at - 4], *words[at + 4 :]],
+    }[change]
+    docs = spark.createDataFrame([(1, " ".join(["Notes", "first.", *text, "The", "end."])), (2, " ".join(sorted(set(words)))), (3, " ".join(put(200)))], "doc_id long, text string")
+    digest, spans = licenses.scan_licenses(docs)
+    found = {r["doc_id"]: r["labels"] for r in digest.collect()}
+    assert label in found[1].split(",") and label not in found[2].split(",") and found[3] == ""
+    assert len([r for r in spans.collect() if r["label"] == label and r["end"] - r["start"] > 24]) == (2 if change == "twice" else 1)

@@ -90,6 +90,8 @@ TEMPLATES = (*NOTICES.items(), *TEXTS.items())
 K, SHORT_K, SHORT_WORDS = 5, 2, 24
 #: Diagonals that far apart, at most, are merged; one with fewer votes than a ``LEAST`` part of the template's grams is chance.
 NEAR, LEAST = 3, 64
+#: Votes of an island that is chained, and words between islands of a chain as a share of the template's.
+CHAINED, GAP = 3, 0.5
 #: A verified span has this share of its template's grams, and this many times its length at most. A changed word costs as many grams as they are long.
 SHARE, SHORT_SHARE, STRETCH = 0.5, 0.75, 1.5
 
@@ -126,6 +128,34 @@ def scan_hits(docs: DataFrame, grams: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(scan, "row long, doc_id long, n_words long, hits array<struct<pos:long,k:int,hash:long>>")
 
 
+def _chained(islands: DataFrame, key: list[str]) -> DataFrame:
+    """Islands of one copy in one row: each begins within ``GAP`` of the template's length behind the one before, and goes on in the template where that one ended.
+
+    So words that are put in, or left out, cost their own grams alone. Only long templates are chained, and islands of a few votes, which a phrase that a
+    template repeats makes, are chains of their own.
+    """
+    known = islands.withColumns({"first_at": F.array_min("ats"), "last_at": F.array_max("ats"), "strong": (F.col("votes") >= CHAINED) & (F.col("n_words_of") >= SHORT_WORDS)})
+    along = Window.partitionBy("row", "template", "strong").orderBy("start", "end", "first_at")
+    follows = F.col("strong") & (F.col("start") - F.lag("end").over(along) <= F.floor(F.col("n_words_of") * GAP)) & (F.col("first_at") > F.lag("last_at").over(along) - NEAR)
+    chain = F.sum(F.when(follows, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("chain", chain).groupBy(*key, "strong", "chain").agg(F.collect_list(F.struct("start", "end", "votes", "ats")).alias("islands"))
+
+
+def _verified(chains: DataFrame) -> DataFrame:
+    """The chains that hold enough of their template in few enough words; of a chain that doesn't, the islands that do."""
+    part = F.struct(
+        F.array_min(F.transform("islands", lambda x: x["start"])).alias("start"),
+        F.array_max(F.transform("islands", lambda x: x["end"])).alias("end"),
+        F.aggregate("islands", F.lit(0).cast("long"), lambda n, x: n + x["votes"]).alias("votes"),
+        F.array_distinct(F.flatten(F.transform("islands", lambda x: x["ats"]))).alias("ats"),
+    )
+    least = F.when(F.col("n_words_of") >= SHORT_WORDS, F.lit(SHARE)).otherwise(F.lit(SHORT_SHARE))
+    holds = lambda x: (F.size(x["ats"]) / F.col("n_grams") >= least) & (x["end"] - x["start"] <= F.ceil(F.col("n_words_of") * STRETCH))
+    whole = chains.withColumn("whole", part)
+    found = whole.withColumn("span", F.explode(F.when(holds(F.col("whole")), F.array("whole")).otherwise(F.filter("islands", holds))))
+    return found.select("row", "label", F.col("span.start").alias("start"), F.col("span.end").alias("end"), (F.size("span.ats") / F.col("n_grams")).alias("share"), F.col("span.votes").alias("votes"))
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, base: Mapping[str, str] = BASE) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): the digest of each row, and the verified spans behind it."""
     spark = docs.sparkSession
@@ -155,8 +185,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     island = F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     merged = diagonals.withColumn("island", island).groupBy(*key, "island").agg(F.sum("votes").alias("votes"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("end").alias("end"))
-    least = F.when(F.col("n_words_of") >= SHORT_WORDS, F.lit(SHARE)).otherwise(F.lit(SHORT_SHARE))
-    spans = merged.withColumn("share", F.size("ats") / F.col("n_grams")).filter((F.col("share") >= least) & (F.col("end") - F.col("start") <= F.ceil(F.col("n_words_of") * STRETCH))).select("row", "label", "start", "end", "share", "votes")
+    spans = _verified(_chained(merged, key))
 
     extra = spans.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("extra_list"), F.max("share").alias("best"))
     none = F.array().cast("array<string>")
