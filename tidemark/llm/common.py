@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: The same for operators whose work on a text needs many times its size, and that share executors with other stages.
+SMALL_SLICE_BYTES = 1 << 20
 #: Rows that Spark hands to Python at once. Texts are long, so the default of 10,000 rows has no useful bound in bytes.
 ARROW_ROWS = 128
 #: Files of an input whose numbers are broadcast; with more, Spark joins them as it likes.
@@ -154,6 +156,14 @@ def partitions(spark: SparkSession) -> int:
 _REMEMBERED: dict[int, Callable[[], None]] = {}
 
 
+def _trim() -> None:
+    """Give memory that isn't used back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def remember(owner: object | None, forget: Callable[[], None] | None = None) -> None:
     """Only ``owner`` keeps what it remembers; all others forget, and the memory goes back to the machine."""
     others = [k for k in _REMEMBERED if k != id(owner)]
@@ -161,10 +171,7 @@ def remember(owner: object | None, forget: Callable[[], None] | None = None) ->
         _REMEMBERED.pop(k)()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        _trim()
     if owner is not None and forget is not None:
         _REMEMBERED[id(owner)] = forget
 
@@ -184,6 +191,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 first, total = i, 0
             total += size
         yield batch.slice(first)
+    _trim()  # a worker waits for its next task with as little as it can
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

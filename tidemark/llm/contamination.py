@@ -229,7 +229,7 @@ def benchmark_windows(benchmark: DataFrame, rules: Rules) -> DataFrame:
     """(hash, item, at, item_words) of all seeds; ``item`` is the row's number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
             items = [read_item(t or "") for t in batch.column(1).to_pylist()]
             h, of, at = item_seeds(items, rules)
             n = np.array([len(t.value) for t in items], np.int32)
@@ -250,7 +250,7 @@ def _near_items(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
         order = np.argsort(h, kind="stable")
         h, of, at = h[order], of[order], at[order]
         lengths = (rules.window, *sorted({len(t.value) for t in known} & {*range(1, rules.window)}))
-        for batch in common.slices(batches, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
             docs = [read(t or "") for t in batch.column(2).to_pylist()]
             hits = []
             for k in lengths:
@@ -286,14 +286,14 @@ def _joined_items(docs: DataFrame, items: DataFrame, windows: DataFrame, rules:
     lengths = [rules.window, *sorted(r[0] for r in windows.select("item_words").filter(F.col("item_words") < rules.window).distinct().collect())]  # fewer than a window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
             texts = [read(t or "") for t in batch.column(2).to_pylist()]
             for k in lengths:
                 h, of, pos = seeds(texts, k, short=k < rules.window)
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(pos)], names=["hash", "row", "pos"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
             out = []
             for r in batch.to_pylist():
                 if got := verify(read_item(r["item_text"] or ""), read(r["text"] or ""), np.array(r["places"], np.int64), rules):

@@ -35,14 +35,16 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One per worker process."""
+    def of(cls, path: str, remember_bytes: int = REMEMBER_BYTES) -> Encoder:
+        """One per worker process, which remembers as much as its last user asks for."""
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].remember_bytes = remember_bytes
         return cls._made[path]
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.remember_bytes = REMEMBER_BYTES
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -94,7 +96,7 @@ class Encoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where the pieces stand in ``at`` and ``size``."""
-        if self.held > REMEMBER_BYTES:
+        if self.held > self.remember_bytes:
             self.forget()
         found = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(found < 0)):

@@ -77,7 +77,7 @@ def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many documents hold, ascending, and the place of each among them from the rarest."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             h, n = np.unique(shingle_sets(common.texts(batch))[0], return_counts=True)
             at = n >= SEEN_HERE
             yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h[at])), pa.array(n[at])], names=["t", "n"])
@@ -108,7 +108,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n, h1, h2, key) of each document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             h, off = shingle_sets(common.texts(batch))
             n = np.diff(off)
             h1, h2 = _set_hashes(h, off)
@@ -125,7 +125,7 @@ def first_tokens(docs: DataFrame, last: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(SENT, np.int64)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             h, off = shingle_sets(common.texts(batch))
             n = np.diff(off)
             h1, h2 = _set_hashes(h, off)
@@ -159,7 +159,7 @@ def set_tokens(docs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             if shared.value is not None:
                 batch = batch.filter(pa.array(np.isin(np.asarray(batch.column(0)), shared.value)))
-            for part in common.slices([batch]):
+            for part in common.slices([batch], limit=common.SMALL_SLICE_BYTES):
                 h, off = shingle_sets(common.texts(part))
                 raw = [h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["s", "tokens"])

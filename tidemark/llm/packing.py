@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import common
-from tidemark.llm.encoder import Encoder, vocabulary_path
+from tidemark.llm.encoder import REMEMBER_BYTES, Encoder, vocabulary_path
 
 PIECES = "doc_id long, part int, piece int, start long, length long, ids_crc32 long, rank_in_part long"
 
@@ -104,16 +104,16 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: Capacity, slice_bytes: int = common.SLICE_BYTES, remember_bytes: int = REMEMBER_BYTES) -> DataFrame:
     """Cut documents, the first piece taking what full ones leave, and number the pieces of each length within each task."""
     most = capacity.tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(vocabulary, remember_bytes), TaskContext.get().partitionId()
         seen = np.zeros(most + 1, np.int64)
-        for batch in common.slices(batches, memory=encoder):
+        for batch in common.slices(batches, limit=slice_bytes, memory=encoder):
             ids, offsets = encoder.encode_with_end(common.texts(batch), end_id)
             ids, n = ids.astype("<u4"), np.diff(offsets)
             count = (n + most - 1) // most
@@ -156,12 +156,15 @@ def place(rows: DataFrame, cut: DataFrame, capacity: Capacity, prefix: str = "")
 RESULT = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 2, capacity: Capacity = Capacity(), also: Mapping[str, Capacity] | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 2, capacity: Capacity = Capacity(), also: Mapping[str, Capacity] | None = None, lean: bool = False) -> DataFrame:
     """One row a piece with its sequence and its place there. Documents are cut for ``capacity``.
 
+    ``lean`` lets workers encode less at once and remember less, at some more time, for executors that other work has filled.
+
     ``also`` packs the same pieces under other capacities, none of them too small for a piece, into columns with these prefixes.
     """
-    cut = packed = common.materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+    sizes = (common.SMALL_SLICE_BYTES, REMEMBER_BYTES // 2) if lean else (common.SLICE_BYTES, REMEMBER_BYTES)
+    cut = packed = common.materialize(pieces(docs, vocabulary, end_id, capacity, *sizes), "pieces")
     for prefix, other in {"": capacity, **(also or {})}.items():
         packed = place(packed, cut, other, prefix)
     return packed.select(*RESULT, *(f"{prefix}{c}" for prefix in also or () for c in ("sequence_id", "offset")))

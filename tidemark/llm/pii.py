@@ -142,7 +142,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """One row a document with counts by base kind and the digest of its spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             found = [find_spans(t or "") for t in batch.column(1).to_pylist()]
             base = [[s for s in spans if s[0] in BASE_KINDS] for spans in found]
             counts = [pa.array([sum(s[0] == k for s in spans) for spans in base], pa.int64()) for k in BASE_KINDS]
@@ -158,7 +158,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else redact(t, find_spans(t)) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -39,7 +39,7 @@ ORDER = 5
 #: N-grams of a model that is broadcast, at most (12 bytes each).
 MOST_GRAMS = 4_000_000
 #: N-grams that a task holds, slice by slice, before it sums them (about 40 bytes each); more than half as many sums are sent.
-HELD_GRAMS = 1_500_000
+HELD_GRAMS = 800_000
 #: Rows of a file that ask for their n-grams together, as a power of two.
 BLOCK_BITS = 14
 #: Documents that a size needs for a spread of its own.
@@ -147,7 +147,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 part = [spelled[j : j + ORDER] for j in range(0, len(spelled), ORDER)]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(total.lang[i : i + (1 << 16)])), pa.array(part, pa.string()), pa.array(total.n[i : i + (1 << 16)])], names=["lang", "gram", "n"])
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             langs = pc.fill_null(batch.column(1), "").to_pylist()
             number, text, points, key = grams([t or "" for t in batch.column(0).to_pylist()], langs).distinct()
             of = np.array([tongues.setdefault(x, len(tongues)) for x in langs], np.int32)
@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, rules: Rules) -> DataFrame:
     shared = spark.sparkContext.broadcast((table["key"].to_numpy()[order], table["surprise"].to_numpy()[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             yield _score([batch.column(0), batch.column(1)], common.texts(batch), batch.column(2).to_pylist(), *shared.value, rules)
 
     return rows.mapInArrow(score, _SCORED)
@@ -259,7 +259,7 @@ def _score_by_blocks(rows: DataFrame, model: DataFrame, rules: Rules) -> DataFra
         """The distinct n-grams of each block that a task reads; the rows of a block follow one another."""
         block, held = None, np.zeros(0, np.uint64)
         out = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block or 0, np.int64)), pa.array(textkit.signed(held))], names=["block", "key"])
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             of = np.asarray(batch.column(0))
             ends = np.flatnonzero(np.diff(of)) + 1
             for part in np.split(np.arange(len(of)), ends):
@@ -279,7 +279,7 @@ def _score_by_blocks(rows: DataFrame, model: DataFrame, rules: Rules) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answers come before the texts of their block."""
         block, keys, values = None, [], []
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             of, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for part in np.split(np.arange(len(of)), np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1):
                 some = batch.slice(int(part[0]), len(part))
