@@ -44,7 +44,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their sequences; a null text is an empty one, of the end id alone."""
     common.prepare(spark)
-    return pack(docs, vocabulary=vocabulary_path("byte_bpe_50k.json"))
+    return pack(docs, vocabulary=vocabulary_path("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("PII", pii), ("best-fit packing", packing)]
