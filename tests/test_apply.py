@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import apply, conflict, detect, rename
 from tidemark.operators.schema import BASELINE, ENTITY
-from tidemark.plans import cycle
+from tidemark.plans import cycle, fixtures
 
 PLAN = f"path string, action string, old_path string, is_folder boolean, needs_pull boolean, local struct<{apply._struct(ENTITY)}>, remote struct<{apply._struct(ENTITY)}>, prev struct<{apply._struct(BASELINE)}>"
 
@@ -164,3 +164,11 @@ def test_an_empty_plan_changes_nothing(spark):
     told, left, right, base, _ = run(spark, [], listing(spark, "a"), listing(spark, "b"), baseline=[known("c")])
     assert (told, left, right, base) == ({}, {"a"}, {"b"}, {"c"})
     assert rename.widen(spark.createDataFrame([], "path string")).columns and conflict.NAMES == 100
+
+
+def test_passes_of_renames_do_not_repeat_those_before(spark):
+    local, remote, baseline, pairs = fixtures.remote_moves(spark, "/root/testdata/sf0.001")
+    none = spark.createDataFrame([], "old_path string, new_path string, ordinal bigint")
+    rewritten = rename.refine(detect.plan(detect.cold(local, remote, baseline)), none, none, pairs)
+    assert rewritten.plan._jdf.queryExecution().analyzed().toString().count("Relation ") <= 8
+    assert rewritten.plan.filter("action = 'rename_local'").count() == pairs.filter("cast(regexp_extract(old_path, 'doc-([0-9]+)', 1) as bigint) % 10 < 8").count()

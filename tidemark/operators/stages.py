@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,18 @@ def cut(rows: DataFrame) -> DataFrame:
     """``rows`` written to the shared folder and read back, so that they are computed once and survive lost executors."""
     path = shared_folder(rows.sparkSession, "cut")
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    _CUT.add(written)
+    return written
+
+
+#: Rows that ``cut`` has given.
+_CUT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` if ``cut`` has given them, else ``rows`` cut: for what is read many times and may have been written before."""
+    return rows if rows in _CUT else cut(rows)
 
 
 #: Rows of a few values that are broadcast at most.

@@ -49,11 +49,11 @@ def run(mixed: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFra
     """The cycle from the keys that were found on: plan, rewrite, hold, resolve, apply, commit."""
     if settings.most_bytes is not None:
         mixed = detect.within_size(mixed, settings.most_bytes)
-    plan, outcome, moved = rename.widen(detect.plan(mixed)), None, None
+    plan, outcome, moved = stages.cut(rename.widen(detect.plan(mixed))), None, None
     if renames:
         rewritten = rename.refine(plan, *renames)
         plan, outcome, moved = rewritten.plan, rewritten.outcome, rewritten.moved
-    split = guards.quarantine(stages.cut(plan), settings.deletion_limit, velocity_tripped)
+    split = guards.quarantine(stages.kept(plan), settings.deletion_limit, velocity_tripped)
     local, remote = calls.local if calls.local is not None else local, calls.remote if calls.remote is not None else remote
     resolved = None
     if settings.strategy:
@@ -66,8 +66,10 @@ def run(mixed: DataFrame, local: DataFrame, remote: DataFrame, baseline: DataFra
 def cold_cycle(local: DataFrame, remote: DataFrame, baseline: DataFrame, renames: tuple[DataFrame, DataFrame, DataFrame] | None = None, settings: Settings = Settings(), synced_at: int = 0, velocity_tripped: bool = False, calls: Calls = Calls()) -> Cycle:
     """A full reconciliation. ``renames`` is (local files, local folders, remote pairs).
 
-    A listing that is too short, against the baseline, raises before anything is planned.
+    A listing that is too short, against the baseline, raises before anything is planned. Listings are read once and written, as the
+    phases of a cycle read them many times.
     """
+    local, remote, baseline = (stages.kept(x) for x in (local, remote, baseline))
     mixed = detect.cold(local, remote, baseline, settings.keep)
     guards.check_listings(mixed)
     return run(mixed, local, remote, baseline, renames, settings, synced_at, velocity_tripped, calls)
