@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import fingerprint
-from tidemark.operators import exclude, merge, predicates
+from tidemark.functions import batches, fingerprint
+from tidemark.operators import exclude, merge, predicates, state
 from tidemark.operators.schema import BASELINE, ENTITY
 from tidemark.operators.snapshots import CommitConflict, SnapshotStore
 from tidemark.plans import cycle, fixtures
@@ -419,3 +419,21 @@ def test_sums_of_blocks_are_those_of_windows(spark, monkeypatch, blocks):
     assert {r["id"]: r["total"] for r in by_blocks.collect()} == {k: v[0] for k, v in window.items()}
     monkeypatch.setattr(guards, "MOST_KEY_ROWS", 400)
     assert {r["id"]: (r["total"], r["tripped"]) for r in guards.deletion_velocity(events, 300).collect()} == window
+
+
+@pytest.mark.parametrize("call", [lambda d: d.select(state.codec_encode(F.col("text"))), lambda d: d.select(state.codec_decode(F.col("text"))), lambda d: d.select(fingerprint.quickxor(F.col("text"))), lambda d: merge.merge_texts(d.select(*[F.col("text").cast("string").alias(c) for c in ("path", "base", "local", "remote")]))])
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, call):
+    import pyarrow as pa
+
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        rows = spark.range(2000).select(F.repeat(F.lit("x"), F.when(F.col("id") < 1000, 50_000).otherwise(1)).cast("binary").alias("text"))
+        call(rows)
+        sizes = rows.coalesce(1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in it), "rows long, bytes long").agg(F.max("rows"), F.max("bytes"), F.sum("rows")).first()
+        assert sizes[0] <= batches.ROWS and sizes[1] <= 2 * batches.BYTES and sizes[2] == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

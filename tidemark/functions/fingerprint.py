@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import batches
+
 #: Bytes of a block of the block hash.
 BLOCK = 4 * 1024 * 1024
 _WIDTH, _SHIFT = 160, 11
@@ -36,8 +38,13 @@ def quickxor_bytes(data: bytes) -> str:
     return base64.b64encode(ring.to_bytes(_WIDTH // 8, "little")).decode()
 
 
+def quickxor(content: Column) -> Column:
+    batches.bound()
+    return _quickxor(content)
+
+
 @F.pandas_udf(T.StringType())
-def quickxor(content: pd.Series) -> pd.Series:
+def _quickxor(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else quickxor_bytes(bytes(c)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidemark.functions import paths
+from tidemark.functions import batches, paths
 from tidemark.operators import predicates as p
 from tidemark.operators.schema import ENTITY_FIELDS
 
@@ -101,11 +101,13 @@ def reconcile_cache(touched: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
 
 def codec_encode(content: Column) -> Column:
     """One byte of format and the content: deflated where that is shorter, else as it is."""
+    batches.bound()
     return _encoded(content)
 
 
 def codec_decode(stored: Column) -> Column:
     """The content behind ``codec_encode``; another format is an error."""
+    batches.bound()
     return _decoded(stored)
 
 
