@@ -9,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidemark.operators import delta, tree
 from tidemark.operators.snapshots import SnapshotStore
 from tidemark.sources import crawl, feeds
 from tidemark.streaming import feed
@@ -173,3 +174,12 @@ def test_a_stream_of_pages_with_an_expired_cursor_and_a_batch_run_again(spark, t
     page(1, {"error": {"status": 410, "summary": ""}})
     drain()
     assert {r["id"] for r in own.nodes().collect()} == {"z"} and order == ["cursor", "listing"] * 2
+
+
+def test_a_batch_sends_no_nodes_through_the_driver(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("d:"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") == 0, F.array(F.lit("root"))).otherwise(F.array(F.lit("d:0"))).alias("parent_ids"), F.col("id").cast("string").alias("name"), (F.col("id") == 0).alias("is_folder"), F.lit("x").alias("payload"))
+    entries = rows.filter("id <> 'd:0'").select(F.lit(1).alias("page"), F.lit(1).alias("seq"), "id", F.lit(False).alias("tombstone"), "parent_ids", F.concat("name", F.lit("n")).alias("name"), "is_folder", "payload")
+    done = delta.apply_delta(rows, feed.filled(entries, rows))
+    for told in (done.nodes, done.changed, done.renames, tree.relevant_parent(rows, "root")):
+        assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+    assert done.renames.count() == 399

@@ -327,4 +327,4 @@ def followed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = told.unionByName(own)
     done = [follower.apply(batch, 0), follower.apply(batch, 1), follower.apply(batch, 1), follower.apply(gone, 2)]
     nodes = stages.cut(follower.nodes())
-    return nodes.join(tree.resolve_paths(nodes), "id").select("id", "path", "payload", F.lit(",".join(done)).alias("done"))
+    return nodes.join(stages.many(tree.resolve_paths(nodes)), "id").select("id", "path", "payload", F.lit(",".join(done)).alias("done"))

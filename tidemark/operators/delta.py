@@ -34,19 +34,19 @@ def apply_delta(nodes: DataFrame, delta: DataFrame, root: str = "root", reserved
     reserved path, is no longer tracked.
     """
     last = latest(delta)
-    kept = nodes.join(last.select("id"), "id", "left_anti").withColumn("at", F.lit(None).cast("struct<page:int,seq:int>"))
+    kept = nodes.join(stages.many(last.select("id")), "id", "left_anti").withColumn("at", F.lit(None).cast("struct<page:int,seq:int>"))
     put = last.filter(~F.col("tombstone")).select(*nodes.columns, F.struct(F.col("page").cast("int").alias("page"), F.col("seq").cast("int").alias("seq")).alias("at"))
     merged = stages.cut(kept.unionByName(put))
     inside = stages.cut(_inside(merged, root))
-    resolved = inside.join(tree.resolve_paths(inside, root), "id")
+    resolved = inside.join(stages.many(tree.resolve_paths(inside, root)), "id")
     claim = Window.partitionBy("path").orderBy(F.col("at").desc_nulls_last(), "id")
     ranked = stages.cut(resolved.withColumn("claim", F.row_number().over(claim)))
     losers = ranked.filter("claim > 1").select("id")
-    after = ranked.join(tree.reaching(inside, losers, root), "id", "left_anti")
+    after = ranked.join(stages.many(tree.reaching(inside, losers, root)), "id", "left_anti")
     for r in reserved:
         after = after.filter((F.col("path") != r) & ~F.startswith("path", F.lit(f"{r}/")))
     after = after.filter("path <> ''").select(*nodes.columns, "path")
-    before = nodes.join(tree.resolve_paths(nodes, root), "id")
+    before = nodes.join(stages.many(tree.resolve_paths(nodes, root)), "id")
     compared = compare_by_id(before, after, touched=put.select("id"))
     return Applied(after, compared.changed, compared.renames)
 
@@ -55,7 +55,7 @@ def _inside(nodes: DataFrame, root: str) -> DataFrame:
     """Nodes whose chain of parents reaches the root; orphans at the top are kept, as their parents may come later."""
     linked = tree.relevant_parent(nodes, root)
     outside = linked.filter(F.col("parent_id").isNull() & (F.size("parent_ids") > 0) & F.col("at").isNotNull()).select("id")
-    return nodes.join(tree.reaching(nodes, outside, root), "id", "left_anti")
+    return nodes.join(stages.many(tree.reaching(nodes, outside, root)), "id", "left_anti")
 
 
 @dataclass(frozen=True)
@@ -71,9 +71,9 @@ def compare_by_id(before: DataFrame, after: DataFrame, touched: DataFrame | None
     """
     a = before.select("id", F.col("path").alias("old_path"), F.col("payload").alias("old_payload"), F.col("is_folder").alias("was_folder"))
     b = after.select("id", F.col("path").alias("new_path"), F.col("payload").alias("new_payload"), "is_folder")
-    both = a.join(b, "id", "full")
+    both = a.join(stages.many(b), "id", "full")
     if touched is not None:
-        both = both.join(touched.select("id").distinct().withColumn("touched", F.lit(True)), "id", "left")
+        both = both.join(stages.many(touched.select("id").distinct().withColumn("touched", F.lit(True))), "id", "left")
     else:
         both = both.withColumn("touched", F.lit(False))
     moved = F.col("old_path") != F.col("new_path")
@@ -81,7 +81,7 @@ def compare_by_id(before: DataFrame, after: DataFrame, touched: DataFrame | None
     fresh = F.col("new_path").isNotNull() & (F.col("old_path").isNull() | moved | edited | F.coalesce("touched", F.lit(False)))
     left = F.col("old_path").isNotNull() & (F.col("new_path").isNull() | moved)
     put = both.filter(fresh).select(F.col("new_path").alias("path"))
-    gone = both.filter(left).select(F.col("old_path").alias("path")).join(after.select("path"), "path", "left_anti")
+    gone = both.filter(left).select(F.col("old_path").alias("path")).join(stages.many(after.select("path")), "path", "left_anti")
     changed = put.withColumn("kind", F.lit("modified")).union(gone.withColumn("kind", F.lit("deleted"))).distinct()
     renames = both.filter(moved).select("old_path", "new_path", F.coalesce("is_folder", F.lit(False)).alias("is_folder"))
     return Compared(changed, renames)

@@ -19,6 +19,8 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import stages
+
 #: Rows of a bucket that are aimed at, and buckets of a table at most.
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 4096
 #: Keys that are put into the scan's filter, so that it skips row groups.
@@ -176,7 +178,7 @@ class SnapshotStore:
 
     def _step(self, base: Version, table: str, upserts: DataFrame, deletes: DataFrame, key: str) -> tuple[str, dict]:
         place = base.tables[table]
-        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(upserts.select(key), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
+        rows = upserts.withColumn("gone_", F.lit(False)).unionByName(deletes.select(key).join(stages.many(upserts.select(key)), key, "left_anti").withColumn("gone_", F.lit(True)), allowMissingColumns=True)
         return "step", {"key": key, "step": self._write(rows, table, key if place["buckets"] else None, place["buckets"])}
 
     def _compacted(self, version: Version, table: str, most_steps: int = 20) -> Version:
@@ -239,7 +241,7 @@ class SnapshotStore:
             part = self._read(step, wanted, f"{place['schema']}, gone_ boolean").withColumn("step_", F.lit(i))
             steps = part if steps is None else steps.unionByName(part)
         last = steps.groupBy(place["key"]).agg(F.max_by(F.struct(*steps.columns), "step_").alias("row")).select("row.*")
-        kept = rows.join(last.select(place["key"]), place["key"], "left_anti")
+        kept = rows.join(stages.many(last.select(place["key"])), place["key"], "left_anti")
         return kept.unionByName(last.filter("not gone_").select(*rows.columns))
 
     # Cursor and retention

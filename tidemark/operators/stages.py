@@ -43,6 +43,11 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows if rows in _CUT else cut(rows)
 
 
+def many(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the input, for a join: always shuffled, so none are sent through the driver, where a chain of joins adds up."""
+    return rows.hint("merge")
+
+
 #: Rows of a few values that are broadcast at most.
 MOST_ROWS = 200_000
 

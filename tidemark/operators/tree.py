@@ -12,10 +12,10 @@ from tidemark.operators import stages
 def relevant_parent(nodes: DataFrame, root: str) -> DataFrame:
     """Add ``parent_id``: the root if it is a parent, else the first parent that is a node, else null. ``nodes`` has (id, parent_ids)."""
     listed = nodes.select("id", F.posexplode_outer("parent_ids").alias("at", "parent"))
-    known = listed.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
+    known = listed.join(stages.many(nodes.select(F.col("id").alias("parent"))), "parent", "left_semi")
     first = known.groupBy("id").agg(F.min_by("parent", "at").alias("known_parent"))
     at_root = F.coalesce(F.array_contains("parent_ids", root), F.lit(False))
-    return nodes.join(first, "id", "left").withColumn("parent_id", F.when(at_root, F.lit(root)).otherwise(F.col("known_parent"))).drop("known_parent")
+    return nodes.join(stages.many(first), "id", "left").withColumn("parent_id", F.when(at_root, F.lit(root)).otherwise(F.col("known_parent"))).drop("known_parent")
 
 
 def _doubled(state: DataFrame, rounds: int = 2) -> DataFrame:
@@ -23,7 +23,7 @@ def _doubled(state: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"))
         path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat_ws("/", "above", "path"))
-        state = state.join(above, "up", "left").select("id", path.alias("path"), F.col("next").alias("up"))
+        state = state.join(stages.many(above), "up", "left").select("id", path.alias("path"), F.col("next").alias("up"))
     return state
 
 
@@ -54,7 +54,7 @@ def cycle_members(links: DataFrame) -> DataFrame:
             return reached.select(F.col("up").alias("id")).distinct()
         size = now
         step = reached.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        reached = stages.cut(reached.join(step, "up").select("id", F.col("next").alias("up")))
+        reached = stages.cut(reached.join(stages.many(step), "up").select("id", F.col("next").alias("up")))
 
 
 def resolve_paths(nodes: DataFrame, root: str = "root") -> DataFrame:
@@ -78,13 +78,13 @@ def resolve_paths(nodes: DataFrame, root: str = "root") -> DataFrame:
 def reaching(nodes: DataFrame, tops: DataFrame, root: str = "root") -> DataFrame:
     """(id) of the nodes that are one of ``tops`` or below one, by the relevant parent, in rounds that double."""
     linked = relevant_parent(nodes.select("id", "parent_ids"), root)
-    marked = linked.join(tops.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
+    marked = linked.join(stages.many(tops.select("id").distinct().withColumn("hit", F.lit(True))), "id", "left")
     state = marked.select("id", F.when(F.col("parent_id") == root, None).otherwise(F.col("parent_id")).alias("up"), F.coalesce("hit", F.lit(False)).alias("hit"))
     levels = 1
     while True:
         for _ in range(2):
             above = state.select(F.col("id").alias("up"), F.col("hit").alias("hit_above"), F.col("up").alias("next"))
-            joined = state.join(above, "up", "left").withColumn("hit", F.col("hit") | F.coalesce("hit_above", F.lit(False)))
+            joined = state.join(stages.many(above), "up", "left").withColumn("hit", F.col("hit") | F.coalesce("hit_above", F.lit(False)))
             state = joined.select("id", F.when(~F.col("hit"), F.col("next")).alias("up"), "hit")
             levels *= 2
         state = stages.cut(state)

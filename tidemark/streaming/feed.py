@@ -62,7 +62,7 @@ class Follower:
         if listing.isEmpty() and not self.service.root_is_there():
             raise RootGone("the listing is empty and its root isn't there")
         before = self.nodes()
-        paths = lambda rows: rows.join(tree.resolve_paths(rows, self.service.root), "id")
+        paths = lambda rows: rows.join(stages.many(tree.resolve_paths(rows, self.service.root)), "id")
         compared = delta.compare_by_id(paths(before), paths(listing))
         self._commit(before, listing, compared.changed, compared.renames, {"cursor": cursor, "batch": last["batch"] if batch is None else batch}, whole=True)
 
@@ -100,7 +100,7 @@ class Follower:
             self.store.save(tables | {"nodes": after}, json.dumps(mark), keys={"nodes": "id"})
             return
         row = lambda rows, name: rows.select("id", F.struct("parent_ids", "name", "is_folder", "payload").alias(name))
-        both = stages.cut(row(before, "a").join(row(after, "b"), "id", "full").filter(~F.col("a").eqNullSafe(F.col("b"))))
+        both = stages.cut(row(before, "a").join(stages.many(row(after, "b")), "id", "full").filter(~F.col("a").eqNullSafe(F.col("b"))))
         self.store.save(tables, json.dumps(mark), increments={"nodes": (both.filter("b is not null").select("id", "b.*"), both.filter("b is null").select("id"))})
 
     def follow(self, stream: DataFrame, checkpoint: str):
@@ -111,5 +111,5 @@ class Follower:
 def filled(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries that tell of a new name alone, or of new content alone, with what the nodes know of the rest."""
     known = nodes.select("id", *[F.col(c).alias(f"known_{c}") for c in ("parent_ids", "name", "is_folder", "payload")])
-    joined = entries.join(known, "id", "left")
+    joined = entries.join(stages.many(known), "id", "left")
     return joined.select("page", "seq", "id", "tombstone", *[F.coalesce(c, f"known_{c}").alias(c) for c in ("parent_ids", "name", "is_folder", "payload")])
