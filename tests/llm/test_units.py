@@ -359,3 +359,18 @@ def test_licences_with_words_put_in_or_left_out(spark, label, change):
     found = {r["doc_id"]: r["labels"] for r in digest.collect()}
     assert label in found[1].split(",") and label not in found[2].split(",") and found[3] == ""
     assert len([r for r in spans.collect() if r["label"] == label and r["end"] - r["start"] > 24]) == (2 if change == "twice" else 1)
+
+
+def test_words_are_read_in_arrays_as_one_by_one(monkeypatch):
+    import random
+
+    draw = random.Random(1)
+    letters = "aZbÉßİıΣς日.!?:…'\"5$€%,-+kKªºŉ\x00"
+    words = sorted({"".join(draw.choice(letters) for _ in range(draw.randrange(1, 9))) for _ in range(5000)} | {"3", "km", "€4.50", "Paris", "McX", "«»"})
+    low, kind, first = contamination._words_looked_at(pa.array(words, pa.large_string()))
+    assert list(zip(low.to_pylist(), kind.tolist(), first.tolist(), strict=True)) == [contamination._looked_at(w) for w in words]
+    one_by_one = []
+    monkeypatch.setattr(contamination, "_looked_at", one_by_one.append)
+    text = contamination.read_all(pa.array(["Élan vital at 3 km. Then Bob a B, ... went ", "", " \n"], pa.large_string()))
+    assert not one_by_one and [len(t.value) for t in text] == [10, 0, 0]
+    assert text[0].kind.tolist() == [contamination.FIRST, 0, 0, contamination.NUMBER, contamination.UNIT, contamination.FIRST, contamination.NAME, *[contamination.WORD] * 3]

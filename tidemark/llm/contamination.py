@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,18 @@ MOST_WINDOWS = 500_000
 #: Units that a quantity may have.
 UNITS = "mm cm m km mg g kg t ml l s min h ms hz khz mhz v w kw kwh pa kpa bar °c °f % $ € £ ¥ usd eur gbp miles mile feet foot inches inch pounds pound ounces ounce hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent degrees degree liters litres meters metres kilometers kilometres grams kilograms".split()
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*")
 _EDGE = "\"'()[]{}<>.,;:!?¿¡…"
-_UNITS = frozenset(UNITS)
+_UNITS, _UNIT_SET = frozenset(UNITS), pa.array(UNITS, pa.large_string())
+_NUMBER_ALONE = rf"\A{_NUMBER.pattern}\z"
+#: Of words of ``_LATIN_ALONE``: a capital, and then letters of which none is one.
+_NAME_ALONE = r"\A\p{Lu}\P{Lu}*\p{Ll}\P{Lu}*\z"
+#: Without the letters whose case has a rule of its own, the ordinal indicators and the dotted capital I.
+_LATIN_ALONE = r"\A[\x{21}-\x{7E}\x{A1}-\x{A9}\x{AB}-\x{B9}\x{BB}-\x{12F}\x{131}-\x{17F}…€]*\z"
+#: What ends a sentence; a word of one letter does too.
+_ENDS = r"(?s)[.!?:]\z|[.!?].\z|\A.\z"
 #: How a word is read. A capitalised word that begins a sentence may be a name or not.
 WORD, NUMBER, UNIT, NAME, FIRST = range(5)
-#: Distinct words that a worker remembers, and the characters of the longest.
-MOST_WORDS, LONGEST_WORD = 200_000, 60
 PAIRS = "row long, doc_id long, item_id long, share double, exact boolean"
 
 
@@ -64,33 +69,40 @@ def _hash(word: str) -> int:
 _PLACEHOLDERS = np.array([0, _hash(" number"), _hash(" unit"), _hash(" name"), 0], np.uint64)
 
 
-class _Words(dict):
-    """For each word: its value (None without letters or digits), how it is read inside and at the start of a sentence, whether it ends one."""
-
-    def __missing__(self, raw: str) -> tuple[int | None, int, int, bool]:
-        core = raw.strip(_EDGE)
-        ends = raw[-1:] in ".!?:" or raw[-2:-1] in ".!?"
-        low = core.lower()
-        if _NUMBER.fullmatch(core) or (core and _NUMBER.fullmatch(core.strip("$€£¥%"))):
-            kind = first = NUMBER
-        elif low in _UNITS:
-            kind = first = UNIT
-        elif core and core[0].isupper() and core[1:].islower():
-            kind, first = NAME, FIRST
-        else:
-            kind = first = WORD
-        found = (_hash(low) if core else None, kind, first, ends)
-        if len(raw) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[raw] = found
-        return found
-
-    def release(self) -> None:
-        self.clear()
-
-
-_WORDS = _Words()
+def _looked_at(raw: str) -> tuple[str, int, int]:
+    """A word in lower case without its edges, and how it is read inside and at the start of a sentence."""
+    core = raw.strip(_EDGE)
+    low = core.lower()
+    if _NUMBER.fullmatch(core) or (core and _NUMBER.fullmatch(core.strip("$€£¥%"))):
+        return low, NUMBER, NUMBER
+    if low in _UNITS:
+        return low, UNIT, UNIT
+    if core and core[0].isupper() and core[1:].islower():
+        return low, NAME, FIRST
+    return low, WORD, WORD
+
+
+def _words_looked_at(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``_looked_at`` of each word. Words of Latin letters and ASCII are read in arrays; letters elsewhere may have cases that only Python knows."""
+    core = pc.utf8_trim(words, characters=_EDGE)
+    low = pc.utf8_lower(core)
+    number = pc.or_(pc.match_substring_regex(core, _NUMBER_ALONE), pc.match_substring_regex(pc.utf8_trim(core, characters="$€£¥%"), _NUMBER_ALONE))
+    name = np.asarray(pc.match_substring_regex(core, _NAME_ALONE))
+    kind = np.where(np.asarray(number), NUMBER, np.where(np.asarray(pc.is_in(low, _UNIT_SET)), UNIT, np.where(name, NAME, WORD))).astype(np.int8)
+    first = np.where(kind == NAME, FIRST, kind).astype(np.int8)
+    odd = np.flatnonzero(np.asarray(pc.invert(pc.match_substring_regex(words, _LATIN_ALONE))))
+    if len(odd):
+        seen = [_looked_at(raw) for raw in words.take(pa.array(odd)).to_pylist()]
+        mask = np.zeros(len(words), bool)
+        mask[odd] = True
+        low = pc.replace_with_mask(low, pa.array(mask), pa.array([x[0] for x in seen], low.type))
+        kind[odd], first[odd] = [x[1] for x in seen], [x[2] for x in seen]
+    return low, kind, first
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    data, at = textkit.buffers(words)
+    return textkit.Words(data, at[:-1], at[1:], at[:1], at[:1]).hashes()
 
 
 @dataclass
@@ -102,18 +114,29 @@ class Text:
     word: np.ndarray
 
 
+def read_all(texts: pa.Array) -> list[Text]:
+    """The words of each text of a large_string array without nulls. Distinct words are looked at once; words of edges alone don't count."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(lists).dictionary_encode()
+    low, inner, at_first = _words_looked_at(words.dictionary)
+    of = np.asarray(words.indices).astype(np.int64)
+    full = (np.asarray(pc.binary_length(low)) > 0)[of]
+    # text without a word before or after white space gives an empty one, which ends nothing
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.match_substring_regex(words.dictionary, _ENDS))[of])])
+    at = np.flatnonzero(full)
+    first = np.searchsorted(at, np.asarray(lists.offsets))
+    # a word begins a sentence if it is the first of its text, or if a word has ended one since the last that counts, that one included
+    begins = np.ones(len(at), bool)
+    begins[1:] = ends[at[1:]] > ends[at[:-1]]
+    begins[first[:-1][first[:-1] < first[1:]]] = True
+    of = of[at]
+    value, kind = _word_hashes(low)[of], np.where(begins, at_first[of], inner[of])
+    word = np.where((kind == NUMBER) | (kind == UNIT), _PLACEHOLDERS[kind], value)
+    return [Text(value[i:j], kind[i:j], word[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 def read(text: str) -> Text:
-    values, kinds, begins = [], [], True
-    for raw in _WORD.findall(text):
-        value, kind, first, ends = _WORDS[raw]
-        if value is None:
-            begins = begins or ends
-            continue
-        values.append(value)
-        kinds.append(first if begins else kind)
-        begins = ends
-    value, kind = np.array(values, np.uint64), np.array(kinds, np.int8)
-    return Text(value, kind, np.where((kind == NUMBER) | (kind == UNIT), _PLACEHOLDERS[kind], value))
+    return read_all(pa.array([text], pa.large_string()))[0]
 
 
 def read_item(text: str) -> Text:
@@ -229,7 +252,7 @@ def benchmark_windows(benchmark: DataFrame, rules: Rules) -> DataFrame:
     """(hash, item, at, item_words) of all seeds; ``item`` is the row's number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             items = [read_item(t or "") for t in batch.column(1).to_pylist()]
             h, of, at = item_seeds(items, rules)
             n = np.array([len(t.value) for t in items], np.int32)
@@ -250,8 +273,8 @@ def _near_items(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
         order = np.argsort(h, kind="stable")
         h, of, at = h[order], of[order], at[order]
         lengths = (rules.window, *sorted({len(t.value) for t in known} & {*range(1, rules.window)}))
-        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
-            docs = [read(t or "") for t in batch.column(2).to_pylist()]
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
+            docs = read_all(common.texts(batch))
             hits = []
             for k in lengths:
                 seen, text, pos = seeds(docs, k, short=k < rules.window)
@@ -286,14 +309,14 @@ def _joined_items(docs: DataFrame, items: DataFrame, windows: DataFrame, rules:
     lengths = [rules.window, *sorted(r[0] for r in windows.select("item_words").filter(F.col("item_words") < rules.window).distinct().collect())]  # fewer than a window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
-            texts = [read(t or "") for t in batch.column(2).to_pylist()]
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
+            texts = read_all(common.texts(batch))
             for k in lengths:
                 h, of, pos = seeds(texts, k, short=k < rules.window)
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(h)), batch.column(0).take(pa.array(of)), pa.array(pos)], names=["hash", "row", "pos"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES, memory=_WORDS):
+        for batch in common.slices(batches, limit=common.SMALL_SLICE_BYTES):
             out = []
             for r in batch.to_pylist():
                 if got := verify(read_item(r["item_text"] or ""), read(r["text"] or ""), np.array(r["places"], np.int64), rules):
