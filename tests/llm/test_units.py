@@ -30,6 +30,35 @@ def test_encoder_equals_library():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_equals_library_at_symbols_and_line_feeds():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, rng = encoder.Encoder(path), random.Random(11)
+    alphabet = ["the", "It", "7", "é", "日", "'", "'s", "'re", ",", ".", "...", "-", "\"", "@", "://", "_", "\x00", "\x7f", "…", "×"]
+    texts = ["".join(rng.choice(["", "", " ", "\n"]) + rng.choice(alphabet) for _ in range(rng.randrange(1, 30))).strip() for _ in range(3000)]
+    texts += ["it's", "'s", "a'sb,", "don't.", "x'", "'", "\n", "a\n.b", "I'LL 'tis", "a'", "1,000.5", "<|endoftext|>", "a\u0120b \u010a"]
+    for end_id in (None, 2):
+        ids, offsets = tool.encode(pa.array(["cut off", *texts], pa.large_string())[1:], end_id)
+        for i, t in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == tool.library.encode(t, add_special_tokens=False).ids + [end_id] * (end_id is not None), repr(t)
+
+
+def test_encoder_learns_a_word_once_whatever_symbols_stand_by_it():
+    tool = encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"quor{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    text = " ".join(f"{w} {w}, {w}. ({w}) \"{w}\" {w}!\n{w}; {w}?" for w in words)
+    ids, _ = tool.encode(pa.array([text], pa.large_string()))
+    assert ids.tolist() == tool.library.encode(text, add_special_tokens=False).ids
+    # with and without a space in front, and a few pieces of symbols
+    assert len(tool.place) < 2 * len(words) + 20
+
+
+def test_small_batches_are_joined():
+    batches = [pa.record_batch([pa.array([i]), pa.array(["x" * 100])], names=["doc_id", "text"]) for i in range(20)]
+    got = list(common.joined(iter([*batches, pa.record_batch([pa.array([20]), pa.array(["y" * 5000])], names=["doc_id", "text"])]), limit=1100))
+    assert [b.num_rows for b in got] == [10, 10, 1]
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(21))
+
+
 def test_transducer_equals_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     machine = token_counts.Transducer.of(path)

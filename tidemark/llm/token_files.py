@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
         from pyspark import TaskContext
 
         encoder, part, before = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in common.slices(batches, memory=encoder):
+        for batch in common.slices(common.joined(batches), memory=encoder):
             ids, offsets = encoder.encode_with_end(common.texts(batch), end_id)
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
